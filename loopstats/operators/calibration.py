@@ -72,42 +72,93 @@ def dim_union(a: DataFrame, b: DataFrame) -> DataFrame:
     return pick(a).union(pick(b)).distinct()
 
 
-def leniency(pairs: DataFrame, thresholds: DataFrame, weights: DataFrame) -> DataFrame:
-    """Per template and dimension: mean over false passes − mean over passes, 0 if a side is
-    empty. Dimensions: those of the weights and those seen in either set."""
-    used = _marked(pairs, thresholds).filter("false_pass or not rejected")
-    scores = used.select("template_id", "false_pass", F.explode("auto_dims").alias("dim", "score"))
-    observed = scores.groupBy("template_id", "dim").agg(
-        F.avg(F.when(F.col("false_pass"), F.col("score"))).alias("_fp"),
-        F.avg(F.when(~F.col("false_pass"), F.col("score"))).alias("_ok"),
+def evidence(pairs: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """What calibration needs from the labels, one row per template: counts, and per dimension
+    the means over false passes (`fp`) and over passes (`ok`).
+
+    One aggregation over the pairs; a row without dimension carries the counts. The second
+    groupBy sees a row per template and dimension.
+    """
+    entry = "struct<dim:string,score:double>"
+    entries = F.transform(
+        F.map_entries("auto_dims"), lambda e: F.struct(e["key"].alias("dim"), e["value"].alias("score"))
+    ).cast(f"array<{entry}>")
+    long = _marked(pairs, thresholds).select(
+        "template_id", "rejected", "false_pass",
+        F.explode(F.array_append(entries, F.lit(None).cast(entry))).alias("e"),
+    )
+    count = lambda c: F.count(F.when(F.col(c), 1))
+    per_dim = long.groupBy("template_id", F.col("e.dim").alias("dim")).agg(
+        F.count("*").alias("n"),
+        count("rejected").alias("rejected"),
+        count("false_pass").alias("false_pass"),
+        F.avg(F.when(F.col("false_pass"), F.col("e.score"))).alias("fp"),
+        F.avg(F.when(~F.col("rejected"), F.col("e.score"))).alias("ok"),
     )
-    dims = dim_union(weights_long(weights), observed)
-    gap = F.round(F.col("_fp") - F.col("_ok"), 2)
-    return dims.join(observed, ["template_id", "dim"], "left").select(
-        "template_id", "dim", F.coalesce(gap, F.lit(0.0)).alias("lenient")
+    whole = lambda c: F.max(F.when(F.col("dim").isNull(), F.col(c)))
+    seen = F.col("dim").isNotNull() & (F.col("fp").isNotNull() | F.col("ok").isNotNull())
+    means = F.when(seen, F.struct("dim", F.struct("fp", "ok")))
+    return per_dim.groupBy("template_id").agg(
+        whole("n").alias("sample_size"),
+        whole("rejected").alias("rejected"),
+        whole("false_pass").alias("false_pass_cnt"),
+        F.map_from_entries(F.collect_list(means)).alias("means"),
     )
 
 
-def fit_weights(lenient: DataFrame, weights: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """Lowers the weight of lenient dimensions, then floors and renormalises.
+def _lenient_map(weights: Column, means: Column) -> Column:
+    """Mean over false passes − mean over passes, 0 where a side is empty; the dimensions are
+    those of the weights and those seen."""
+    seen = F.coalesce(F.map_keys(means), F.array().cast("array<string>"))
+    dims = F.array_union(F.map_keys(weights), seen)
+    gap = lambda d: F.round(means[d]["fp"] - means[d]["ok"], 2)
+    return F.map_from_arrays(dims, F.transform(dims, lambda d: F.coalesce(gap(d), F.lit(0.0))))
+
+
+def _with_fitted(df: DataFrame, alpha: float) -> DataFrame:
+    """Adds `fitted`: lenient dimensions lose weight, then floor and renormalisation.
 
-    The largest leniency is taken over all dimensions, weighted or not. Windows run over the
-    dimensions of a template, a handful of rows.
+    The largest leniency is taken over all dimensions, weighted or not.
     """
-    template = Window.partitionBy("template_id")
-    declared = weights_long(weights).withColumnRenamed("weight", "default_weight")
-    worst = lenient.groupBy("template_id").agg(F.max("lenient").alias("_worst"))
-    rows = declared.join(lenient, ["template_id", "dim"], "left").join(worst, "template_id", "left")
-    share = F.try_divide(F.greatest(F.coalesce("lenient", F.lit(0.0)), F.lit(0.0)), F.col("_worst"))
-    fitted = (
-        rows.withColumn("_raw", F.col("default_weight") * (1.0 - F.lit(alpha) * share))
-        .withColumn("_raw", F.greatest("_raw", F.avg("_raw").over(template) * FLOOR_SHARE))
-        .withColumn("_total", F.sum("_raw").over(template))
-    )
-    new = F.when((F.col("_worst") > 0) & (F.col("_total") > 0), F.round(F.col("_raw") / F.col("_total"), 4))
-    return fitted.select(
-        "template_id", "dim", "default_weight", F.coalesce(new, "default_weight").alias("weight")
+    share = lambda k: F.try_divide(
+        F.greatest(F.coalesce(F.col("lenient")[k], F.lit(0.0)), F.lit(0.0)), F.col("_worst")
+    )
+    total = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda acc, x: acc + x)
+    floor = F.try_divide(total("_raw"), F.size("_raw")) * FLOOR_SHARE
+    usable = (F.col("_worst") > 0) & (F.col("_total") > 0)
+    return (
+        df.withColumn("_worst", F.array_max(F.map_values("lenient")))
+        .withColumn("_raw", F.transform_values("weights", lambda k, w: w * (1.0 - F.lit(alpha) * share(k))))
+        .withColumn("_floor", floor)
+        .withColumn("_kept", F.transform_values("_raw", lambda k, w: F.greatest(w, F.col("_floor"))))
+        .withColumn("_total", total("_kept"))
+        .withColumn(
+            "fitted",
+            F.when(usable, F.transform_values("_kept", lambda k, w: F.round(w / F.col("_total"), 4)))
+            .otherwise(F.col("weights")),
+        )
+        .drop("_worst", "_raw", "_floor", "_kept", "_total")
+    )
+
+
+def leniency(pairs: DataFrame, thresholds: DataFrame, weights: DataFrame) -> DataFrame:
+    """(template_id, dim, lenient) for every dimension of the weights or the labels."""
+    found = weights.select("template_id", "weights").join(
+        evidence(pairs, thresholds).select("template_id", "means"), "template_id", "left"
     )
+    gaps = _lenient_map(F.col("weights"), F.col("means"))
+    return found.select("template_id", F.explode(gaps).alias("dim", "lenient"))
+
+
+def fit_weights(lenient: DataFrame, weights: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """(template_id, dim, default_weight, weight) from the leniency of each dimension."""
+    gaps = lenient.groupBy("template_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("dim", "lenient"))).alias("lenient")
+    )
+    fitted = _with_fitted(weights.select("template_id", "weights").join(gaps, "template_id", "left"), alpha)
+    return fitted.select(
+        "template_id", "fitted", F.explode("weights").alias("dim", "default_weight")
+    ).select("template_id", "dim", "default_weight", F.col("fitted")[F.col("dim")].alias("weight"))
 
 
 def p10_rank(df: DataFrame, value: str, by: str) -> DataFrame:
@@ -145,27 +196,34 @@ def _dim_mean(dims: Column) -> Column:
     return F.try_divide(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x), F.size(values))
 
 
+def pass_p10(pairs: DataFrame) -> DataFrame:
+    """(template_id, p10_dim_mean): the passes' tenth percentile of mean dimension scores."""
+    passes = pairs.filter("manual != 0").select("template_id", _dim_mean(F.col("auto_dims")).alias("_mean"))
+    return p10_rank(passes, "_mean", "template_id").select(
+        "template_id", F.col("p10").alias("p10_dim_mean")
+    )
+
+
+def _raised(rate: Column, target: float) -> Column:
+    """The tightened threshold where reviewers reject too often, never below the current one."""
+    limit = F.greatest("threshold", F.round("p10_dim_mean", 1))
+    return F.when(rate > target, limit).otherwise(F.col("threshold"))
+
+
 def fit_threshold(
     pairs: DataFrame, thresholds: DataFrame, target: float = TARGET_REJECTION
 ) -> DataFrame:
-    """Tightens the threshold to the passes' tenth percentile of dimension means where reviewers
-    reject too often; never below the current threshold."""
     rates = false_pass_set(pairs, thresholds).select("template_id", "rejection_rate")
-    passes = pairs.filter("manual != 0").select("template_id", _dim_mean(F.col("auto_dims")).alias("_mean"))
-    p10 = p10_rank(passes, "_mean", "template_id").select(
-        "template_id", F.col("p10").alias("p10_dim_mean")
-    )
-    raised = F.greatest("threshold", F.round("p10_dim_mean", 1))
     return (
         thresholds.select("template_id", "threshold")
         .join(rates, "template_id", "left")
-        .join(p10, "template_id", "left")
+        .join(pass_p10(pairs), "template_id", "left")
         .select(
             "template_id",
             F.col("threshold").alias("default_threshold"),
             "rejection_rate",
             "p10_dim_mean",
-            F.when(F.col("rejection_rate") > target, raised).otherwise(F.col("threshold")).alias("threshold"),
+            _raised(F.col("rejection_rate"), target).alias("threshold"),
         )
     )
 
@@ -175,10 +233,6 @@ NOTE_SHORT = "样本不足（标注 %d 条，假阳性 %d 条），需 ≥%d 标
 NOTE_DONE = "校准成功：%d 个假阳性样本反向降权，驳回率 %s（目标 ≤5%%）"
 
 
-def _as_map(name: str, value: str) -> Column:
-    return F.map_from_entries(F.sort_array(F.collect_list(F.struct("dim", value)))).alias(name)
-
-
 def calibrate(
     records: DataFrame,
     content: DataFrame,
@@ -189,38 +243,36 @@ def calibrate(
 ) -> DataFrame:
     """One calibration row per template; too few labels keep the default weights and threshold."""
     pairs = label_pairs(records, content)
-    counts = false_pass_set(pairs, templates)
-    lenient = leniency(pairs, templates, templates)
-    fitted = fit_weights(lenient, templates, alpha)
-    maps = fitted.groupBy("template_id").agg(_as_map("_fitted", "weight"))
-    gaps = lenient.groupBy("template_id").agg(_as_map("_gaps", "lenient"))
-    limits = fit_threshold(pairs, templates).select("template_id", F.col("threshold").alias("_limit"))
+    found = templates.select("template_id", "weights", "threshold").join(
+        evidence(pairs, templates), "template_id", "left"
+    )
+    p10 = pass_p10(pairs)
+    fitted = _with_fitted(
+        found.join(p10, "template_id", "left").withColumn(
+            "lenient", _lenient_map(F.col("weights"), F.col("means"))
+        ),
+        alpha,
+    )
     count = lambda c: F.coalesce(c, F.lit(0)).cast("int")
     n, fp = count("sample_size"), count("false_pass_cnt")
+    rate = F.round(F.coalesce(F.try_divide("rejected", "sample_size"), F.lit(0.0)), 4)
     enough = (n >= min_samples) & (fp >= min_fp)
     # without passes there is nothing to compare the false passes with
     comparable = enough & (n > F.coalesce("rejected", F.lit(0)))
-    rate = F.coalesce("rejection_rate", F.lit(0.0))
     none = F.create_map().cast("map<string,double>")
+    limit = _raised(rate, TARGET_REJECTION)
     percent = F.format_string("%.1f%%", rate * 100)
-    return (
-        templates.select("template_id", "weights", "threshold")
-        .join(counts, "template_id", "left")
-        .join(maps, "template_id", "left")
-        .join(gaps, "template_id", "left")
-        .join(limits, "template_id", "left")
-        .select(
-            "template_id",
-            F.when(comparable, F.col("_fitted")).otherwise(F.col("weights")).alias("weights"),
-            F.when(enough, F.col("_limit")).otherwise(F.col("threshold")).alias("threshold"),
-            F.col("weights").alias("default_weights"),
-            F.col("threshold").alias("default_threshold"),
-            n.alias("sample_size"),
-            fp.alias("false_pass_cnt"),
-            F.when(comparable, F.col("_gaps")).otherwise(none).alias("lenient"),
-            rate.alias("rejection_rate"),
-            F.when(enough, F.format_string(NOTE_DONE, fp, percent))
-            .otherwise(F.format_string(NOTE_SHORT, n, fp, F.lit(min_samples), F.lit(min_fp)))
-            .alias("note"),
-        )
+    return fitted.select(
+        "template_id",
+        F.when(comparable, F.col("fitted")).otherwise(F.col("weights")).alias("weights"),
+        F.when(enough, limit).otherwise(F.col("threshold")).alias("threshold"),
+        F.col("weights").alias("default_weights"),
+        F.col("threshold").alias("default_threshold"),
+        n.alias("sample_size"),
+        fp.alias("false_pass_cnt"),
+        F.when(comparable, F.col("lenient")).otherwise(none).alias("lenient"),
+        rate.alias("rejection_rate"),
+        F.when(enough, F.format_string(NOTE_DONE, fp, percent))
+        .otherwise(F.format_string(NOTE_SHORT, n, fp, F.lit(min_samples), F.lit(min_fp)))
+        .alias("note"),
     )

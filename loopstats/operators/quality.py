@@ -142,7 +142,8 @@ def weighted_score(dims: DataFrame, rules: DataFrame, override: DataFrame | None
     values = F.map_values(scores)
     plain = F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
     score = F.when(total > 0, F.try_divide(weighted, total)).otherwise(plain)
-    return joined.withColumn("score", F.round(score, 2)).drop("_rules", "_override")
+    # the inner rounding takes away what the order of summation leaves in the last bits
+    return joined.withColumn("score", F.round(F.round(score, 8), 2)).drop("_rules", "_override")
 
 
 def latest_quality(records: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def _bounds(schema: Mapping, value: Column, path: Column) -> list[Column]:
     ]
 
 
-def _check(schema: Mapping, value: Column, path: Column) -> Column:
+def _check(schema: Mapping, value: Column, path: Column, at_parent: bool) -> Column:
     """Violations of a value that is present."""
     found = []
     kinds = schema.get("type")
@@ -100,8 +100,10 @@ def _check(schema: Mapping, value: Column, path: Column) -> Column:
         field = F.try_variant_get(value, f"$['{quoted}']", "variant")
         where = _child(path, F.lit(name))
         absent = field.isNull()
-        checks = _check(schema.get("properties", {}).get(name, {}), field, where)
-        gap = _report(absent, path, "required", f"missing {name}", value) if name in required else _none()
+        checks = _check(schema.get("properties", {}).get(name, {}), field, where, at_parent)
+        gap = _none()
+        if name in required:
+            gap = _report(absent, path if at_parent else where, "required", f"missing {name}", value)
         inside.append(F.when(absent, gap).otherwise(checks))
     if inside:
         found.append(F.when(_is(value, "object"), F.concat(*inside)).otherwise(_none()))
@@ -110,14 +112,17 @@ def _check(schema: Mapping, value: Column, path: Column) -> Column:
         elements = F.try_variant_get(value, "$", "array<variant>")
         each = F.transform(
             elements,
-            lambda element, i: _check(schema["items"], element, _child(path, i.cast("string"))),
+            lambda element, i: _check(schema["items"], element, _child(path, i.cast("string")), at_parent),
         )
         found.append(F.when(_is(value, "array"), F.flatten(each)).otherwise(_none()))
     return F.concat(*found) if found else _none()
 
 
-def violations(payload: Column, schema: Mapping) -> Column:
-    """array<struct<path, keyword, message, input>>; empty when the payload conforms."""
+def violations(payload: Column, schema: Mapping, at_parent: bool = False) -> Column:
+    """array<struct<path, keyword, message, input>>; empty when the payload conforms.
+
+    A missing field is reported at its own path, or with at_parent=True at its object's.
+    """
     parsed = F.try_parse_json(payload)
     broken = F.array(
         F.struct(
@@ -127,7 +132,7 @@ def violations(payload: Column, schema: Mapping) -> Column:
             payload.alias("input"),
         )
     ).cast(VIOLATION)
-    return F.when(parsed.isNull(), broken).otherwise(_check(schema, parsed, F.lit("")))
+    return F.when(parsed.isNull(), broken).otherwise(_check(schema, parsed, F.lit(""), at_parent))
 
 
 def validate_payload(df: DataFrame, payload: str, schema: Mapping) -> DataFrame:
@@ -139,9 +144,9 @@ def validate_payload(df: DataFrame, payload: str, schema: Mapping) -> DataFrame:
 def validate_params(df: DataFrame, params: str, schema: Mapping) -> DataFrame:
     """Adds the first violation of request parameters as `field_path` and `validation_keyword`.
 
-    Parameter values are left out of the report.
+    Parameter values are left out; a missing parameter is reported at the object that lacks it.
     """
-    first = F.get(violations(F.col(params), schema), F.lit(0))
+    first = F.get(violations(F.col(params), schema, at_parent=True), F.lit(0))
     return df.withColumn("_v", first).withColumns(
         {
             "valid": F.col("_v").isNull(),
