@@ -30,8 +30,12 @@ def secret_scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 def active_duplicates(
     requests: DataFrame, tasks: DataFrame, active_statuses: Sequence[str] = TASK_ACTIVE
 ) -> DataFrame:
-    """Requests whose hash already has an active task."""
-    active = tasks.filter(F.col("status").isin(*active_statuses)).select("request_hash")
+    """Requests whose hash already has an active task.
+
+    Active hashes are made distinct first (combined before the shuffle the join needs anyway), so
+    a hash with very many tasks is one row on that side.
+    """
+    active = tasks.filter(F.col("status").isin(*active_statuses)).select("request_hash").distinct()
     return requests.join(active, "request_hash", "left_semi")
 
 

@@ -229,7 +229,7 @@ def notifications(
                  _event("content:", ":awaiting-review"))
     )
     due = from_tasks.unionByName(from_reviews).unionByName(from_gray)
-    return due.join(existing.select("event_id"), "event_id", "left_anti")
+    return due.join(existing.select("event_id").distinct(), "event_id", "left_anti")
 
 
 def lifecycle_events(calls: DataFrame, stages=("workflow", "queue_item")) -> DataFrame:

@@ -30,7 +30,7 @@ def sample_sync(
 ) -> DataFrame:
     """Samples to append for eligible items not pooled yet; a second run yields none."""
     fresh = eligible_content(content).join(
-        pool.select(F.col("item_id").alias("id")), "id", "left_anti"
+        pool.select(F.col("item_id").alias("id")).distinct(), "id", "left_anti"
     )
     return sample_kp_join(fresh, tasks).select(
         F.sha2(F.concat(F.lit("sample:"), F.col("id")), 256).alias("id"),

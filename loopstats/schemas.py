@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 SCORES = "map<string,double>"
 RULES = "array<struct<id:string,weight:double,description:string,rubric:map<string,string>>>"
 
-_DDL = {
+TABLES: dict[str, str] = {
     "question_template": f"""id string, type_id string, name string, version int, template_hash string,
         prompt_hash string, skill_hash string, input_schema string, output_schema string,
         quality_rules {RULES}, gen_prompt string, run_config string, status string,
@@ -51,7 +49,6 @@ _DDL = {
     "knowledge_chunk": """id string, source_type string, source_name string, knowledge_point string,
         content string, embedding array<float>, meta string, tenant_id string, created_at timestamp""",
 }
-TABLES: dict[str, T.StructType] = {name: T.StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
 
 # Status vocabularies shared by every producer of these tables.
 TASK_ACTIVE = ("pending", "dispatched", "running", "awaiting_review")
