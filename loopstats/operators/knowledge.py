@@ -123,9 +123,11 @@ def _top(hits: pa.Table, k: int) -> pa.Table:
 def _search(
     queries: pa.Table, batches: Iterable[pa.Table], k: int, filters: Sequence[str]
 ) -> pa.Table | None:
+    if not len(queries):
+        return None
     q_unit, best = _matrix(queries["embedding"]), None
     for chunks in batches:
-        if not len(chunks) or not len(queries):
+        if not len(chunks):
             continue
         found = _candidates(queries, q_unit, chunks, k, filters)
         best = _top(found if best is None else pa.concat_tables([best, found]), k)

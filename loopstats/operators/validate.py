@@ -74,6 +74,14 @@ def _bounds(schema: Mapping, value: Column, path: Column) -> list[Column]:
     ]
 
 
+def _field(value: Column, name: str) -> Column:
+    """A member of an object; paths know no escapes, so a name with both quotes goes by map."""
+    for quote in "'\"":
+        if quote not in name:
+            return F.try_variant_get(value, f"$[{quote}{name}{quote}]", "variant")
+    return F.try_variant_get(value, "$", "map<string,variant>")[name]
+
+
 def _check(schema: Mapping, value: Column, path: Column, at_parent: bool) -> Column:
     """Violations of a value that is present."""
     found = []
@@ -96,8 +104,7 @@ def _check(schema: Mapping, value: Column, path: Column, at_parent: bool) -> Col
     required = set(schema.get("required") or [])
     inside = []
     for name in names:
-        quoted = name.replace("\\", "\\\\").replace("'", "\\'")
-        field = F.try_variant_get(value, f"$['{quoted}']", "variant")
+        field = _field(value, name)
         where = _child(path, F.lit(name))
         absent = field.isNull()
         checks = _check(schema.get("properties", {}).get(name, {}), field, where, at_parent)

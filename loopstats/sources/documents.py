@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Accepted plain-text extensions and the upload limit. Office and PDF files are
 # accepted by name but need parsers that are not part of this library.
@@ -12,7 +12,7 @@ PARSER_EXTENSIONS = (".docx", ".pdf")
 MAX_BYTES = 10 * 1024 * 1024
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode_fallback(blobs: pd.Series) -> pd.Series:
     return blobs.map(lambda b: None if b is None else bytes(b).decode("gb18030", errors="replace"))
 
@@ -27,9 +27,19 @@ def _reject_reason(extension: Column, length: Column) -> Column:
 
 
 def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(ok, rejected). The size guard is pushed into the file source, so oversized files and the
-    contents of rejects are never read. Only bytes that are not UTF-8 go through Python."""
+    """(ok, rejected) of all files under a folder.
+
+    The size guard is pushed into the file source, so oversized files and the contents of rejects
+    are never read. Spark's file sources skip hidden names and files of no bytes themselves;
+    those give no row at all.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return screen_documents(files)
+
+
+def screen_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ok, rejected) of a table of files (path, length, content). Only bytes that are not UTF-8
+    go through Python."""
     name = F.element_at(F.split("path", "/"), -1)
     stem = F.regexp_replace(name, r"(?<!^)\.[^.]*$", "")
     extension = F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1))
