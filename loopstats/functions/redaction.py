@@ -35,21 +35,49 @@ BLANK = (
 KEY_NAMES = r"api[_-]?key|authorization|password|secret|access[_-]?token|refresh[_-]?token|token"
 BEARER = rf"(?i)(bearer[{BLANK}]+)([^{BLANK},;]+)"
 KEY_VALUE = rf"(?i)({KEY_NAMES})([{BLANK}]*[:=][{BLANK}]*)([^{BLANK},;]+)"
+# one of these is in every text that either pattern matches
+MARKS = ("bearer", "api", "authorization", "password", "secret", "token")
 MASK = "[REDACTED]"
 CUT_MARK = "...[truncated]"
 MAX_LENGTH = 2000
 
 
+def java_pattern(pattern: str) -> Column:
+    """Case folding over all of Unicode, as in the producer's patterns."""
+    return F.lit(pattern.replace("(?i)", "(?iu)", 1))
+
+
+def _bind(c: Column, body) -> Column:
+    """body(c) with c computed once per row."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
+def may_hold_credentials(c: Column) -> Column:
+    """Cheap test that lets most texts skip the patterns. A `ſ` counts as a hit: it folds to `s`
+    in the patterns, but not by lower()."""
+
+    def any_mark(folded: Column) -> Column:
+        hit = F.contains(folded, F.lit("ſ"))
+        for mark in MARKS:
+            hit = hit | F.contains(folded, F.lit(mark))
+        return hit
+
+    return _bind(F.lower(c), any_mark)
+
+
 def mask_text(c: Column) -> Column:
     """Bearer values first: otherwise the key rule would take the word `Bearer` for the value."""
-    bearer = F.regexp_replace(c, F.lit(BEARER), F.lit("$1" + MASK))
-    return F.regexp_replace(bearer, F.lit(KEY_VALUE), F.lit("$1$2" + MASK))
+    bearer = F.regexp_replace(c, java_pattern(BEARER), F.lit("$1" + MASK))
+    masked = F.regexp_replace(bearer, java_pattern(KEY_VALUE), F.lit("$1$2" + MASK))
+    return F.when(may_hold_credentials(c), masked).otherwise(c)
 
 
 def redact_text(c: Column, max_len: int = MAX_LENGTH) -> Column:
-    masked = mask_text(c)
-    cut = F.concat(F.substring(masked, 1, max_len), F.lit(CUT_MARK))
-    return F.when(F.length(masked) > max_len, cut).otherwise(masked)
+    def cut(masked: Column) -> Column:
+        short = F.concat(F.substring(masked, 1, max_len), F.lit(CUT_MARK))
+        return F.when(F.length(masked) > max_len, short).otherwise(masked)
+
+    return _bind(mask_text(c), cut)
 
 
 def redact_map(c: Column, max_len: int = MAX_LENGTH) -> Column:
@@ -80,7 +108,9 @@ def redact_json(c: Column, max_len: int = MAX_LENGTH) -> Column:
     bearer, pair = _python_pattern(BEARER), _python_pattern(KEY_VALUE)
 
     def text(value: str) -> str:
-        masked = pair.sub(rf"\1\2{MASK}", bearer.sub(rf"\1{MASK}", value))
+        masked, folded = value, value.lower().replace("ſ", "s")
+        if any(mark in folded for mark in MARKS):
+            masked = pair.sub(rf"\1\2{MASK}", bearer.sub(rf"\1{MASK}", value))
         return masked[:max_len] + CUT_MARK if len(masked) > max_len else masked
 
     def hidden(key: str) -> bool:

@@ -60,8 +60,9 @@ def version_snapshot(templates: DataFrame, profiles: DataFrame | None = None) ->
             F.col("name").alias("_name"),
             F.struct("name", "provider", "model_name", "model_hash").alias("model"),
         )
-        named = profile_name(F.col("run_config"), F.lit(None).cast("string"))
-        hashed = hashed.withColumn("_named", named).join(model, F.col("_named") == F.col("_name"), "left")
+        named = profile_name(F.lit(None).cast("string"))
+        hashed = with_routes(hashed).withColumn("_named", named)
+        hashed = hashed.join(model, F.col("_named") == F.col("_name"), "left")
         fields.append(F.col("model"))
     return hashed.select("type_id", F.to_json(F.struct(*fields), KEEP_NULLS).alias("snapshot"))
 
@@ -70,40 +71,44 @@ def _configured(run_config: Column) -> Column:
     return F.try_variant_get(F.try_parse_json(run_config), "$.model_profile", "variant")
 
 
-def _tiers(run_config: Column) -> Column:
-    """Tier map of a run configuration; null when it names one profile."""
-    configured = _configured(run_config)
-    is_map = F.startswith(F.schema_of_variant(configured), F.lit("OBJECT"))
-    return F.when(is_map, F.try_variant_get(configured, "$", "map<string,variant>"))
-
-
 def _as_name(value: Column) -> Column:
     """Profile names are strings; any other JSON value is no reference."""
     is_text = F.schema_of_variant(value) == "STRING"
     return F.when(is_text, F.try_variant_get(value, "$", "string"))
 
 
-def profile_name(run_config: Column, difficulty: Column, explicit: Column | None = None) -> Column:
-    """Profile a request asks for: explicit, plain name, tier of its difficulty, `default`, or
-    the first tier in key order."""
-    tiers = _tiers(run_config)
+def with_routes(templates: DataFrame) -> DataFrame:
+    """Templates with the profile they name (`_plain`) or their tiers (`_tiers`, map). Run
+    configurations are parsed here, once per template, and not once per request."""
+    read = templates.withColumn("_configured", _configured(F.col("run_config")))
+    is_map = F.startswith(F.schema_of_variant("_configured"), F.lit("OBJECT"))
+    tiers = F.when(is_map, F.try_variant_get("_configured", "$", "map<string,variant>"))
+    return read.withColumns(
+        {
+            "_plain": _as_name(F.col("_configured")),
+            "_tiers": F.transform_values(tiers, lambda k, v: _as_name(v)),
+        }
+    ).drop("_configured")
+
+
+def profile_name(difficulty: Column, explicit: Column | None = None) -> Column:
+    """Profile a request asks for, over the columns of `with_routes`: explicit, plain name, tier
+    of its difficulty, `default`, or the first tier in key order."""
+    tiers = F.col("_tiers")
     # keys of a JSON object come sorted, so the first value is that of the smallest key
     tier = (
-        F.when(F.map_contains_key(tiers, F.coalesce(difficulty, F.lit(""))) & difficulty.isNotNull(), tiers[difficulty])
+        F.when(F.map_contains_key(tiers, difficulty), tiers[difficulty])
         .when(F.map_contains_key(tiers, F.lit("default")), tiers["default"])
         .otherwise(F.get(F.map_values(tiers), F.lit(0)))
     )
-    name = F.coalesce(_as_name(_configured(run_config)), _as_name(tier))
+    name = F.coalesce("_plain", tier)
     return name if explicit is None else F.coalesce(explicit, name)
 
 
 def referenced_profiles(templates: DataFrame) -> DataFrame:
     """(type_id, name) for every profile a template's run configuration names."""
-    configured = _configured(F.col("run_config"))
-    names = F.when(_as_name(configured).isNotNull(), F.array(_as_name(configured))).otherwise(
-        F.transform(F.map_values(_tiers(F.col("run_config"))), _as_name)
-    )
-    return templates.select("type_id", F.explode(names).alias("name")).filter("name is not null")
+    names = F.coalesce(F.map_values("_tiers"), F.array("_plain"))
+    return with_routes(templates).select("type_id", F.explode(names).alias("name")).filter("name is not null")
 
 
 def missing_refs(refs: DataFrame, names: DataFrame) -> DataFrame:
@@ -139,10 +144,10 @@ def profile_resolution(
     fallback = eligible.filter("is_default").agg(
         F.max_by("name", F.struct("created_at", "name"))
     ).scalar()
-    configs = templates.select(F.col("type_id").alias("template_id"), "run_config")
+    configs = with_routes(templates).select(F.col("type_id").alias("template_id"), "_plain", "_tiers")
     explicit = F.col("profile") if "profile" in requests.columns else None
     asked = requests.join(configs, "template_id", "left").withColumn(
-        "requested", profile_name(F.col("run_config"), F.col("difficulty"), explicit)
+        "requested", profile_name(F.col("difficulty"), explicit)
     )
     found = asked.join(
         eligible.select(F.col("name").alias("requested"), F.lit(True).alias("_found")),

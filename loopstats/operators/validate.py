@@ -29,12 +29,15 @@ def _none() -> Column:
     return F.array().cast(VIOLATION)
 
 
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def _bind(value: Column, body) -> Column:
+    """body(value, kind) with both computed once per row: a transform over a one-element array,
+    which is as near to a `let` as column expressions come."""
+    pair = F.array(F.struct(value.alias("v"), F.schema_of_variant(value).alias("kind")))
+    return F.flatten(F.transform(pair, lambda p: body(p["v"], p["kind"])))
 
 
-def _is(value: Column, name: str) -> Column:
-    fits = F.rlike(_kind(value), F.lit("^" + _KINDS[name]))
+def _is(value: Column, kind: Column, name: str) -> Column:
+    fits = F.rlike(kind, F.lit("^" + _KINDS[name]))
     if name == "integer":
         number = F.try_variant_get(value, "$", "double")
         fits = fits & (number == F.floor(number))
@@ -55,10 +58,10 @@ def _child(path: Column, name: Column) -> Column:
     return F.when(path == "", name).otherwise(F.concat(path, F.lit("."), name))
 
 
-def _bounds(schema: Mapping, value: Column, path: Column) -> list[Column]:
-    text = F.when(_is(value, "string"), F.try_variant_get(value, "$", "string"))
-    items = F.when(_is(value, "array"), F.size(F.try_variant_get(value, "$", "array<variant>")))
-    number = F.when(_is(value, "number"), F.try_variant_get(value, "$", "double"))
+def _bounds(schema: Mapping, value: Column, kind: Column, path: Column) -> list[Column]:
+    text = F.when(_is(value, kind, "string"), F.try_variant_get(value, "$", "string"))
+    items = F.when(_is(value, kind, "array"), F.size(F.try_variant_get(value, "$", "array<variant>")))
+    number = F.when(_is(value, kind, "number"), F.try_variant_get(value, "$", "double"))
     measures = (
         ("minLength", F.length(text), "at least %s characters", lambda m, n: m < n),
         ("maxLength", F.length(text), "at most %s characters", lambda m, n: m > n),
@@ -84,44 +87,50 @@ def _field(value: Column, name: str) -> Column:
 
 def _check(schema: Mapping, value: Column, path: Column, at_parent: bool) -> Column:
     """Violations of a value that is present."""
+    return _bind(value, lambda v, kind: _check_bound(schema, v, kind, path, at_parent))
+
+
+def _check_bound(schema: Mapping, value: Column, kind: Column, path: Column, at_parent: bool) -> Column:
     found = []
-    kinds = schema.get("type")
-    if kinds is not None:
-        names = [kinds] if isinstance(kinds, str) else list(kinds)
-        known = [n for n in names if n in _KINDS]
-        if known:
-            fits = F.lit(False)
-            for name in known:
-                fits = fits | _is(value, name)
-            found.append(_report(~fits, path, "type", "expected " + " or ".join(names), value))
+    names = schema.get("type", [])
+    names = [names] if isinstance(names, str) else list(names)
+    known = [n for n in names if n in _KINDS]
+    if known:
+        fits = F.lit(False)
+        for name in known:
+            fits = fits | _is(value, kind, name)
+        found.append(_report(~fits, path, "type", "expected " + " or ".join(names), value))
     if "enum" in schema:
         allowed = [F.to_json(F.parse_json(F.lit(json.dumps(v)))) for v in schema["enum"]]
         text = "one of " + json.dumps(schema["enum"], ensure_ascii=False)
         found.append(_report(~F.to_json(value).isin(*allowed), path, "enum", text, value))
-    found += _bounds(schema, value, path)
+    found += _bounds(schema, value, kind, path)
 
-    names = list(dict.fromkeys([*schema.get("properties", {}), *(schema.get("required") or [])]))
-    required = set(schema.get("required") or [])
-    inside = []
-    for name in names:
-        field = _field(value, name)
+    properties, required = schema.get("properties", {}), list(schema.get("required") or [])
+
+    def member(name: str) -> Column:
         where = _child(path, F.lit(name))
-        absent = field.isNull()
-        checks = _check(schema.get("properties", {}).get(name, {}), field, where, at_parent)
         gap = _none()
         if name in required:
-            gap = _report(absent, path if at_parent else where, "required", f"missing {name}", value)
-        inside.append(F.when(absent, gap).otherwise(checks))
-    if inside:
-        found.append(F.when(_is(value, "object"), F.concat(*inside)).otherwise(_none()))
+            place = path if at_parent else where
+            gap = _report(F.lit(True), place, "required", f"missing {name}", value)
+
+        def checks(field: Column, field_kind: Column) -> Column:
+            inner = _check_bound(properties.get(name, {}), field, field_kind, where, at_parent)
+            return F.when(field.isNull(), gap).otherwise(inner)
+
+        return _bind(_field(value, name), checks)
+
+    members = [member(name) for name in dict.fromkeys([*properties, *required])]
+    if members:
+        found.append(F.when(_is(value, kind, "object"), F.concat(*members)).otherwise(_none()))
 
     if isinstance(schema.get("items"), Mapping) and schema["items"]:
-        elements = F.try_variant_get(value, "$", "array<variant>")
         each = F.transform(
-            elements,
+            F.try_variant_get(value, "$", "array<variant>"),
             lambda element, i: _check(schema["items"], element, _child(path, i.cast("string")), at_parent),
         )
-        found.append(F.when(_is(value, "array"), F.flatten(each)).otherwise(_none()))
+        found.append(F.when(_is(value, kind, "array"), F.flatten(each)).otherwise(_none()))
     return F.concat(*found) if found else _none()
 
 
@@ -130,7 +139,6 @@ def violations(payload: Column, schema: Mapping, at_parent: bool = False) -> Col
 
     A missing field is reported at its own path, or with at_parent=True at its object's.
     """
-    parsed = F.try_parse_json(payload)
     broken = F.array(
         F.struct(
             F.lit("").alias("path"),
@@ -139,7 +147,12 @@ def violations(payload: Column, schema: Mapping, at_parent: bool = False) -> Col
             payload.alias("input"),
         )
     ).cast(VIOLATION)
-    return F.when(parsed.isNull(), broken).otherwise(_check(schema, parsed, F.lit(""), at_parent))
+
+    def checks(parsed: Column, kind: Column) -> Column:
+        found = _check_bound(schema, parsed, kind, F.lit(""), at_parent)
+        return F.when(parsed.isNull(), broken).otherwise(found)
+
+    return _bind(F.try_parse_json(payload), checks)
 
 
 def validate_payload(df: DataFrame, payload: str, schema: Mapping) -> DataFrame:

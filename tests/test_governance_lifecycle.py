@@ -29,8 +29,9 @@ NOW = datetime(2024, 1, 2, tzinfo=timezone.utc)
     ],
 )
 def test_profile_name(spark, config, difficulty, explicit, expected):
-    row = spark.createDataFrame([(json.dumps(config), difficulty, explicit)], "c string, d string, e string")
-    assert row.select(governance.profile_name(F.col("c"), F.col("d"), F.col("e"))).first()[0] == expected
+    row = spark.createDataFrame([(json.dumps(config), difficulty, explicit)], "run_config string, d string, e string")
+    name = governance.profile_name(F.col("d"), F.col("e"))
+    assert governance.with_routes(row).select(name).first()[0] == expected
 
 
 def profiles(spark, rows):
