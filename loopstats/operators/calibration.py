@@ -261,7 +261,7 @@ def calibrate(
     comparable = enough & (n > F.coalesce("rejected", F.lit(0)))
     none = F.create_map().cast("map<string,double>")
     limit = _raised(rate, TARGET_REJECTION)
-    percent = F.format_string("%.1f%%", rate * 100)
+    percent = F.format_string("%.1f%%", F.round(rate * 100, 1))
     return fitted.select(
         "template_id",
         F.when(comparable, F.col("fitted")).otherwise(F.col("weights")).alias("weights"),

@@ -67,6 +67,23 @@ def version_snapshot(templates: DataFrame, profiles: DataFrame | None = None) ->
     return hashed.select("type_id", F.to_json(F.struct(*fields), KEEP_NULLS).alias("snapshot"))
 
 
+def quality_snapshot(templates: DataFrame, effective: DataFrame, model: Column | None = None) -> DataFrame:
+    """version_snapshot with the judge model, threshold and weights a judgement was made with.
+
+    `effective` holds (template_id, weights, threshold), as effective_weights gives them; without
+    a judge model the template's `judge_model` is taken.
+    """
+    judge = F.get_json_object("run_config", "$.judge_model") if model is None else model
+    used = effective.select(F.col("template_id").alias("type_id"), "weights", "threshold")
+    named = templates.select("type_id", judge.alias("model_name"))
+    extra = named.join(used, "type_id", "left").select(
+        "type_id", F.to_json(F.struct("model_name", "threshold", "weights"), KEEP_NULLS).alias("_extra")
+    )
+    head = F.expr("substr(snapshot, 1, length(snapshot) - 1)")
+    merged = F.concat(head, F.lit(","), F.expr("substr(_extra, 2)"))
+    return version_snapshot(templates).join(extra, "type_id").select("type_id", merged.alias("snapshot"))
+
+
 def _configured(run_config: Column) -> Column:
     return F.try_variant_get(F.try_parse_json(run_config), "$.model_profile", "variant")
 

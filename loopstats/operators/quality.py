@@ -117,6 +117,24 @@ def judge_rounds_mean(rounds: DataFrame, templates: DataFrame) -> DataFrame:
     return means.withColumn("error", F.when(empty, "no valid dimension scores"))
 
 
+def template_defaults(templates: DataFrame) -> DataFrame:
+    """(template_id, weights, threshold) as a template's own rules and run configuration state
+    them; of rules with the same id the last one counts."""
+    rules = F.filter("quality_rules", lambda r: F.coalesce(r["id"], F.lit("")) != "")
+    ids = F.array_distinct(F.transform(rules, lambda r: r["id"]))
+
+    def weight(name: Column) -> Column:
+        last = F.element_at(F.filter(rules, lambda r: r["id"] == name), -1)
+        return F.coalesce(last["weight"], F.lit(0.0))
+
+    own = F.get_json_object("run_config", "$.quality_threshold").try_cast("double")
+    return templates.select(
+        F.col("type_id").alias("template_id"),
+        F.map_from_arrays(ids, F.transform(ids, weight)).alias("weights"),
+        F.coalesce(own, F.lit(QUALITY_THRESHOLD)).alias("threshold"),
+    )
+
+
 def _sum_over(names: Column, value) -> Column:
     return F.aggregate(names, F.lit(0.0), lambda acc, d: acc + F.coalesce(value(d), F.lit(0.0)))
 

@@ -28,11 +28,16 @@ def sample_sync(
     source: str = "auto",
     purpose: str = "sft",
 ) -> DataFrame:
-    """Samples to append for eligible items not pooled yet; a second run yields none."""
-    fresh = eligible_content(content).join(
-        pool.select(F.col("item_id").alias("id")).distinct(), "id", "left_anti"
+    """Samples to append for eligible items not pooled yet; a second run yields none.
+
+    Which items, and their knowledge points, is settled on ids alone, so the payloads are
+    shuffled once at most, and never by the skewed task key.
+    """
+    fresh = eligible_content(content).select("id", "task_id").join(
+        pool.select(F.col("item_id").alias("id")), "id", "left_anti"
     )
-    return sample_kp_join(fresh, tasks).select(
+    points = sample_kp_join(fresh, tasks).select("id", "knowledge_point")
+    return content.join(points, "id").select(
         F.sha2(F.concat(F.lit("sample:"), F.col("id")), 256).alias("id"),
         F.col("id").alias("item_id"),
         "template_id",

@@ -498,7 +498,7 @@ def _printf(pattern: str) -> str:
 
 
 _SHORT = f"printf('{_printf(NOTE_SHORT)}', f.sample_size, f.false_pass_cnt, 20, 5)"
-_DONE = f"printf('{_printf(NOTE_DONE)}', f.false_pass_cnt, printf('%.1f%%', f.rejection_rate * 100))"
+_DONE = f"printf('{_printf(NOTE_DONE)}', f.false_pass_cnt, printf('%.1f%%', round(f.rejection_rate * 100, 1)))"
 add("calibrate", "fitted fits", f"""SELECT t.template_id, t.dim,
     CASE WHEN f.enough THEN t.weight ELSE t.default_weight END AS weight,
     CASE WHEN f.enough THEN t.lenient END AS lenient, t.default_weight AS default_weights, f.threshold,
@@ -697,6 +697,14 @@ add("profile_hash", "profiles", """SELECT name, sha256('{"budget_per_task":' ||
     FROM profiles""")
 add("version_snapshot", "hashes profiles", """SELECT h.type_id, h.template_hash, p.name AS model, h.version,
     CASE WHEN h.refs IS NULL THEN 3 END AS max_retry FROM hashes h LEFT JOIN profiles p ON p.name = h.refs[1]""")
+_KP = "CASE WHEN k % 13 <> 0 THEN CASE WHEN size % 10 = 0 THEN 0.4::double ELSE 0.3::double END END"
+add("quality_snapshot", "hashes", f"""SELECT type_id, template_hash, NULL::varchar AS model_name,
+    70.0::double AS threshold, {_KP} AS kp_weight FROM (SELECT h.*, t.size FROM hashes h JOIN templates t USING (type_id))""")
+add("template_defaults", "templates", f"""SELECT * FROM (
+    SELECT type_id AS template_id, 70.0::double AS threshold, 'kp_match' AS dim, {_KP} AS weight FROM templates
+    UNION ALL SELECT type_id, 70.0::double, d.dim, CASE WHEN k % 13 <> d.i THEN d.w::double END FROM templates,
+        (VALUES (1, 'diff_match', 0.2), (2, 'distractor', 0.3), (3, 'unambiguous', 0.2)) d(i, dim, w))
+    WHERE weight IS NOT NULL""")
 add("config_change_log", "changes", "SELECT * FROM changes")
 
 # --- life cycle ---------------------------------------------------------------------------------------

@@ -722,6 +722,24 @@ def version_snapshot(s, p):
     )
 
 
+@query
+def quality_snapshot(s, p):
+    templates = d.question_template(s, p)
+    rows = governance.quality_snapshot(templates, quality.template_defaults(templates))
+    field = lambda path: F.get_json_object("snapshot", path)
+    return rows.select(
+        "type_id", field("$.template_hash").alias("template_hash"), field("$.model_name").alias("model_name"),
+        field("$.threshold").cast("double").alias("threshold"),
+        field("$.weights.kp_match").cast("double").alias("kp_weight"),
+    )
+
+
+@query
+def template_defaults(s, p):
+    rows = quality.template_defaults(d.question_template(s, p))
+    return rows.select("template_id", "threshold", F.explode("weights").alias("dim", "weight"))
+
+
 @query
 def config_change_log(s, p):
     return governance.config_change_log(d.config_snapshots(s, p))

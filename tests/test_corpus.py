@@ -131,3 +131,11 @@ def test_sync_is_idempotent(spark):
     }
     assert samples.sample_sync(content, tasks, fresh.select("item_id")).count() == 0
     assert tuple(samples.sync_counts(content, fresh, pool).first()) == (3, 3)
+
+
+def test_chunks_in_sql(spark):
+    from loopstats.functions.register import register
+
+    register(spark)
+    rows = spark.sql("SELECT d.id, c.* FROM VALUES (1, repeat('a', 25)), (2, null) d(id, t), LATERAL chunks(d.t, 10, 2) c")
+    assert sorted((r.id, r.chunk_index, len(r.content)) for r in rows.collect()) == [(1, 0, 10), (1, 1, 10), (1, 2, 9)]

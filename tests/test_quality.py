@@ -228,3 +228,10 @@ def test_snapshot_threshold(spark):
     content = spark.createDataFrame([("i", "t")], "id string, template_id string")
     got = quality.quality_buckets(df, content).orderBy("effective_threshold", "total").collect()
     assert [(r.effective_threshold, r.total, r.passed) for r in got] == [(50.0, 1, 1), (70.0, 1, 0), (70.0, 2, 0)]
+
+
+def test_template_defaults(spark):
+    rows = [("t", [("a", 0.5), ("", 9.0), (None, 1.0), ("b", None), ("a", 0.7)], '{"quality_threshold": 55}'), ("u", [], "{}")]
+    df = spark.createDataFrame(rows, "type_id string, quality_rules array<struct<id:string,weight:double>>, run_config string")
+    got = {r.template_id: (r.weights, r.threshold) for r in quality.template_defaults(df).collect()}
+    assert got == {"t": ({"a": 0.7, "b": 0.0}, 55.0), "u": ({}, 70.0)}
