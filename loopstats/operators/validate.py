@@ -25,6 +25,13 @@ _KINDS = {
 }
 
 
+def _variant_text(value) -> str:
+    """A constant as variants spell it: sorted keys, no blanks, no `.0`."""
+    if isinstance(value, float) and value.is_integer():
+        value = int(value)
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
 def _none() -> Column:
     return F.array().cast(VIOLATION)
 
@@ -85,12 +92,20 @@ def _field(value: Column, name: str) -> Column:
     return F.try_variant_get(value, "$", "map<string,variant>")[name]
 
 
+def _members(schema: Mapping) -> list[str]:
+    return list(dict.fromkeys([*schema.get("properties", {}), *(schema.get("required") or [])]))
+
+
 def _check(schema: Mapping, value: Column, path: Column, at_parent: bool) -> Column:
     """Violations of a value that is present."""
     return _bind(value, lambda v, kind: _check_bound(schema, v, kind, path, at_parent))
 
 
-def _check_bound(schema: Mapping, value: Column, kind: Column, path: Column, at_parent: bool) -> Column:
+def _check_bound(
+    schema: Mapping, value: Column, kind: Column, path: Column, at_parent: bool, staged: _Staged | None = None
+) -> Column:
+    """`staged` holds the members' columns where they have been projected before; else each
+    member is bound inside the expression."""
     found = []
     names = schema.get("type", [])
     names = [names] if isinstance(names, str) else list(names)
@@ -101,12 +116,12 @@ def _check_bound(schema: Mapping, value: Column, kind: Column, path: Column, at_
             fits = fits | _is(value, kind, name)
         found.append(_report(~fits, path, "type", "expected " + " or ".join(names), value))
     if "enum" in schema:
-        allowed = [F.to_json(F.parse_json(F.lit(json.dumps(v)))) for v in schema["enum"]]
+        allowed = [_variant_text(v) for v in schema["enum"]]
         text = "one of " + json.dumps(schema["enum"], ensure_ascii=False)
         found.append(_report(~F.to_json(value).isin(*allowed), path, "enum", text, value))
     found += _bounds(schema, value, kind, path)
 
-    properties, required = schema.get("properties", {}), list(schema.get("required") or [])
+    properties, required = schema.get("properties", {}), schema.get("required") or []
 
     def member(name: str) -> Column:
         where = _child(path, F.lit(name))
@@ -116,12 +131,15 @@ def _check_bound(schema: Mapping, value: Column, kind: Column, path: Column, at_
             gap = _report(F.lit(True), place, "required", f"missing {name}", value)
 
         def checks(field: Column, field_kind: Column) -> Column:
-            inner = _check_bound(properties.get(name, {}), field, field_kind, where, at_parent)
+            below = staged and staged.members[name]
+            inner = _check_bound(properties.get(name, {}), field, field_kind, where, at_parent, below)
             return F.when(field.isNull(), gap).otherwise(inner)
 
+        if staged:
+            return checks(*staged.members[name].columns())
         return _bind(_field(value, name), checks)
 
-    members = [member(name) for name in dict.fromkeys([*properties, *required])]
+    members = [member(name) for name in _members(schema)]
     if members:
         found.append(F.when(_is(value, kind, "object"), F.concat(*members)).otherwise(_none()))
 
@@ -134,12 +152,48 @@ def _check_bound(schema: Mapping, value: Column, kind: Column, path: Column, at_
     return F.concat(*found) if found else _none()
 
 
-def violations(payload: Column, schema: Mapping, at_parent: bool = False) -> Column:
-    """array<struct<path, keyword, message, input>>; empty when the payload conforms.
-
-    A missing field is reported at its own path, or with at_parent=True at its object's.
-    """
-    broken = F.array(
+class _Staged:
+    """The columns of one value of a document: itself, its kind, and its members'."""
+
+    def __init__(self, name: str):
+        self.name, self.members = name, {}
+
+    def columns(self) -> tuple[Column, Column]:
+        return F.col(self.name), F.col(self.name + "_kind")
+
+
+def _stage(df: DataFrame, payload: str, schema: Mapping) -> tuple[DataFrame, _Staged]:
+    """Projects every member that is reachable without an array, level by level. The checks over
+    these columns are generated code; only array elements need lambdas."""
+    root = _Staged("_doc")
+    level, values, count = [(schema, root)], {"_doc": F.try_parse_json(payload)}, 0
+    while values:
+        df = df.withColumns(values)
+        df = df.withColumns({name + "_kind": F.schema_of_variant(name) for name in values})
+        values, below = {}, []
+        for node, place in level:
+            for name in _members(node):
+                count += 1
+                child = place.members[name] = _Staged(f"_doc{count}")
+                values[child.name] = _field(F.col(place.name), name)
+                below.append((node.get("properties", {}).get(name, {}), child))
+        level = below
+    return df, root
+
+
+def _with_violations(df: DataFrame, payload: str, schema: Mapping, at_parent: bool) -> DataFrame:
+    staged, root = _stage(df, payload, schema)
+    value, kind = root.columns()
+    found = _check_bound(schema, value, kind, F.lit(""), at_parent, root)
+    found = F.when(value.isNull(), _broken(F.col(payload))).otherwise(found)
+    # always true, but tied to the task: Spark does not copy such a column into the filters that
+    # explode() or `valid` put on it, which would evaluate all checks again for each copy
+    once = F.when(F.spark_partition_id() >= 0, found)
+    return staged.select(*df.columns, once.alias("violations"))
+
+
+def _broken(payload: Column) -> Column:
+    return F.array(
         F.struct(
             F.lit("").alias("path"),
             F.lit("json").alias("keyword"),
@@ -148,17 +202,22 @@ def violations(payload: Column, schema: Mapping, at_parent: bool = False) -> Col
         )
     ).cast(VIOLATION)
 
+
+def violations(payload: Column, schema: Mapping, at_parent: bool = False) -> Column:
+    """array<struct<path, keyword, message, input>>; empty when the payload conforms.
+
+    A missing field is reported at its own path, or with at_parent=True at its object's.
+    """
     def checks(parsed: Column, kind: Column) -> Column:
         found = _check_bound(schema, parsed, kind, F.lit(""), at_parent)
-        return F.when(parsed.isNull(), broken).otherwise(found)
+        return F.when(parsed.isNull(), _broken(payload)).otherwise(found)
 
     return _bind(F.try_parse_json(payload), checks)
 
 
 def validate_payload(df: DataFrame, payload: str, schema: Mapping) -> DataFrame:
     """Adds `violations` and `valid` for generated payloads against their output schema."""
-    found = df.withColumn("violations", violations(F.col(payload), schema))
-    return found.withColumn("valid", F.size("violations") == 0)
+    return _with_violations(df, payload, schema, at_parent=False).withColumn("valid", F.size("violations") == 0)
 
 
 def validate_params(df: DataFrame, params: str, schema: Mapping) -> DataFrame:
@@ -166,14 +225,14 @@ def validate_params(df: DataFrame, params: str, schema: Mapping) -> DataFrame:
 
     Parameter values are left out; a missing parameter is reported at the object that lacks it.
     """
-    first = F.get(violations(F.col(params), schema, at_parent=True), F.lit(0))
-    return df.withColumn("_v", first).withColumns(
-        {
-            "valid": F.col("_v").isNull(),
-            "field_path": F.col("_v.path"),
-            "validation_keyword": F.col("_v.keyword"),
-        }
-    ).drop("_v")
+    found = _with_violations(df, params, schema, at_parent=True)
+    first = F.get("violations", F.lit(0))
+    return found.select(
+        *df.columns,
+        first.isNull().alias("valid"),
+        first["path"].alias("field_path"),
+        first["keyword"].alias("validation_keyword"),
+    )
 
 
 def has_required(df: DataFrame, payload: str, required: Sequence[str]) -> DataFrame:

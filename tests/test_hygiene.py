@@ -109,6 +109,9 @@ def test_secret_scan_counts(spark):
 def check(spark, doc, schema, keyword=None):
     text = doc if isinstance(doc, str) else json.dumps(doc)
     found = one(spark, text, lambda c: validate.violations(c, schema))
+    rows = spark.createDataFrame([(text,)], "p string")
+    staged = validate.validate_payload(rows, "p", schema).first()
+    assert staged.violations == found and staged.valid == (not found)
     return [(v.path, v.keyword) for v in found]
 
 
