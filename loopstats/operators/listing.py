@@ -61,12 +61,21 @@ def scope_filter(
     return matching(df, {"tenant_id": requested if role == "admin" else tenant})
 
 
-def time_range(df: DataFrame, start=None, end=None, column: str = "created_at") -> DataFrame:
-    """Half-open [start, end)."""
-    if start is not None:
-        df = df.filter(F.col(column) >= F.lit(start).cast("timestamp"))
-    if end is not None:
-        df = df.filter(F.col(column) < F.lit(end).cast("timestamp"))
+def time_range(
+    df: DataFrame, start=None, end=None, column: str = "created_at", day: str | None = None
+) -> DataFrame:
+    """Half-open [start, end). Where the table is partitioned by day, name that column in `day`
+    and the days outside the range are not even listed."""
+    bounds = {"start": start, "end": end}
+    at = {k: F.lit(v).cast("timestamp") for k, v in bounds.items() if v is not None}
+    if "start" in at:
+        df = df.filter(F.col(column) >= at["start"])
+    if "end" in at:
+        df = df.filter(F.col(column) < at["end"])
+    if day and "start" in at:
+        df = df.filter(F.col(day) >= F.to_date(at["start"]))
+    if day and "end" in at:
+        df = df.filter(F.col(day) <= F.to_date(at["end"]))
     return df
 
 

@@ -44,11 +44,15 @@ def export_jsonl(
     ).json(path)
 
 
-def parquet_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """A sink that can be replayed: each micro-batch owns one directory."""
+def parquet_sink(path: str, day: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink that can be replayed: each micro-batch owns one directory. `day` names a column to
+    partition by, for time_range to prune on."""
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        writer = batch.write.mode("overwrite")
+        if day:
+            writer = writer.partitionBy(day)
+        writer.parquet(f"{path}/batch_id={batch_id}")
 
     return emit
 
