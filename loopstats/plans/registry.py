@@ -38,7 +38,12 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = lambda spark, sf_dir: flat(fn(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # the tables hold instants without a zone; all of them are UTC
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return flat(fn(spark, sf_dir))
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
