@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.redaction import BEARER, BLANK, KEY_NAMES, KEY_VALUE
+from ..functions.redaction import BEARER, KEY_VALUE
 from ..operators.calibration import NOTE_DONE, NOTE_SHORT
 from ..operators.knowledge import CONTEXT_HEADING
 from ..operators.lifecycle import REJECTED_NOTICE, REVIEW_NOTICE, TASK_NOTICES

@@ -11,7 +11,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..functions import costing, jsons, redaction, rules, vectors
+from ..functions import jsons, redaction, rules, vectors
 from ..operators import (
     agreement, calibration, cost, governance, hygiene, knowledge, lifecycle, listing, quality, samples, validate,
 )
