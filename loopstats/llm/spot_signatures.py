@@ -7,8 +7,8 @@ similarity of their sets; sets whose sizes differ too much for a wanted similari
 
 Words are runs of letters and digits in lower case.
 
-Defined cases: null is the empty text; a text without words has an empty fingerprint, and is alike (1) to another such
-only; rows that repeat an id follow one another, in the order of a hash of their texts; rows without an id come before
+Defined cases: null is the empty text; a text without content words has an empty fingerprint, and is alike (1) to another
+such only; rows that repeat an id follow one another, in the order of a hash of their texts; rows without an id come before
 all others; a table of one row is followed by itself; an empty table gives no row; other columns are not looked at.
 """
 
@@ -45,9 +45,9 @@ def _signatures(tokens: Column, contents: Column, chain: int) -> Column:
         words = F.concat_ws(" ", F.slice(contents, i + 1, chain))
         return F.transform(anchors, lambda a: F.substring(F.md5(F.concat(a, F.lit(":"), words)), 1, 12))
 
-    starts = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: (i == 0) | F.get(tokens, i).contains(MARK))
+    starts = F.filter(F.sequence(F.lit(0), F.size(contents) - 1), lambda i: (i == 0) | F.get(tokens, i).contains(MARK))
     found = F.array_sort(F.array_distinct(F.flatten(F.transform(starts, of))))
-    return F.when(F.size(tokens) > 0, found).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(contents) > 0, found).otherwise(F.array().cast("array<string>"))
 
 
 def fingerprints(df: DataFrame, texts: dict[str, str], chain: int = CHAIN) -> DataFrame:
