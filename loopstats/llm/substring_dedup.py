@@ -132,7 +132,7 @@ def _group(hashes: np.ndarray, at: np.ndarray, size: int, heavy: list[np.ndarray
 def repeats(docs: DataFrame, folder: str, size: int = SIZE, core: int = CORE) -> DataFrame:
     """(doc_id, at, n): `n` windows from word `at` on (0-based) whose words also start in a document of lesser id.
 
-    `docs`: (doc_id, text), ids not null. Runs of one document may touch or overlap.
+    `docs`: (id, words): texts by id, ids not null. Runs of one document may touch or overlap.
     """
     signed = C.cut(_signed(docs, size, core), folder, "signed")
     long = signed.where(F.col("n_words") >= size)
@@ -141,7 +141,7 @@ def repeats(docs: DataFrame, folder: str, size: int = SIZE, core: int = CORE) ->
     copies = tagged.where("doc_id > least").select("doc_id", F.lit(0).alias("at"), (F.col("n_words") - size + 1).cast("int").alias("n"))
     cores = tagged.where("doc_id = least").select("doc_id", F.explode("cores").alias("core"))
     shared = cores.groupBy("core").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("core")
-    wanted = cores.join(shared, "core").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("core").alias("cores"))
+    wanted = cores.join(shared, "core").groupBy("doc_id").agg(F.collect_set("core").alias("cores"))
     heavy = choose_prefixes(docs, size)
 
     def suffixes(batches):
@@ -205,23 +205,25 @@ def repeats(docs: DataFrame, folder: str, size: int = SIZE, core: int = CORE) ->
                 columns = (doc[take], at[take], np.maximum(n[take], 1))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "at", "n"])
 
-    rows = docs.join(wanted, docs.doc_id == wanted.id).select("doc_id", "text", "cores")
+    rows = docs.join(wanted, docs.id == wanted.doc_id).select("id", "words", "cores")
     sent = rows.mapInArrow(suffixes, "g long, node long, doc_id long, at int, n int")
     nodes = sent.repartition("g").sortWithinPartitions("g", "node", "doc_id")
     return nodes.mapInArrow(subtrees, "doc_id long, at int, n int").union(copies)
 
 
 def without_repeats(docs: DataFrame, folder: str, size: int = SIZE, core: int = CORE) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): the words that stay, joined by one space."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    named = docs.where("doc_id is not null")
-    found = repeats(named, folder, size, core)
-    marks = found.groupBy(F.col("doc_id").alias("id")).agg(
+    """(doc_id, n_words, n_removed, kept): the words that stay, joined by one space.
+
+    Texts are dealt by id once: the columns are renamed, so that both joins read one and the same exchange.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("words"))
+    named = docs.where("id is not null")
+    marks = repeats(named, folder, size, core).groupBy("doc_id").agg(
         F.collect_list("at").alias("at"), F.collect_list("n").alias("n")
     )
-    joined = named.join(marks, named.doc_id == marks.id, "left").select("doc_id", "text", "at", "n")
+    joined = named.join(marks, F.col("id") == F.col("doc_id"), "left").select("id", "words", "at", "n")
     none = F.lit(None).cast("array<int>")
-    joined = joined.union(docs.where("doc_id is null").select("doc_id", "text", none, none))
+    joined = joined.union(docs.where("id is null").select("id", "words", none, none))
 
     def run(batches):
         for batch in batches:
