@@ -10,7 +10,7 @@ checked exactly.
 
 Defined cases: a text without words is compared as one element, its whole bytes; null and empty texts are alike
 nothing and form classes of their own. A text of fewer than five words is one run. Rows that repeat an id share one
-class. Rows without an id are left out of the search and come back with a null class.
+class and come back as one. Rows without an id are left out of the search and come back as one with a null class.
 """
 
 from __future__ import annotations
@@ -277,5 +277,5 @@ def near_duplicates(
         "k1", "k2", F.coalesce("class_id", "rep").alias("class_id")
     )
     return signed.select("doc_id", "k1", "k2").join(final, ["k1", "k2"], "left").groupBy("doc_id").agg(
-        F.coalesce(F.min("class_id"), F.col("doc_id")).alias("class_id")
+        F.when(F.col("doc_id").isNotNull(), F.coalesce(F.min("class_id"), F.col("doc_id"))).alias("class_id")
     )

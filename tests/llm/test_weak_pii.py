@@ -1,0 +1,102 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+
+import cases
+from loopstats.llm import weak_pii as W
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+
+
+def brute(text):
+    out = [(0, *m.span()) for m in EMAIL.finditer(text)]
+    out += [(1, *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    for k, pattern in ((2, CARD), (3, PHONE)):
+        for m in pattern.finditer(text):
+            d = re.sub("[^0-9]", "", m.group())
+            if (16 <= len(d) <= 19 and luhn(d)) if k == 2 else 8 <= len(d) <= 15:
+                out.append((k, *m.span()))
+    return out
+
+
+PARTS = ["a", "b.c", "@", "x@y.z", "@@", ".", "-", "+", "1", "255", "256", "0001", "1.2.3.4", ".5", " ", "é", "(555) ", "+1 (457) 555-7958",
+         "4111 1111 1111 1111", "4111-1111-1111-1112", "foo@bar", ".com", "\n", "+12", "00"]
+
+
+def test_base_spans_against_plain_expressions():
+    rng = random.Random(8)
+    for _ in range(4000):
+        text = "".join(rng.choice(PARTS) for _ in range(rng.randrange(1, 12)))
+        assert W.base_spans(text) == brute(text), text
+
+
+def test_long_runs_take_no_square_time():
+    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "a@" * 100_000, "+1 " * 100_000, "1-" * 100_000, "a.b" * 100_000 + "@"):
+        W.candidates(text)
+
+
+def test_em_finds_the_reliable_labeler():
+    rng = np.random.default_rng(1)
+    truth = rng.random(4000) < 0.5
+    noise = [0.02, 0.1, 0.4, 0.45, 0.1]
+    vote = np.stack([np.where(rng.random(4000) < e, ~truth, truth) * 2 for e in noise], 1)
+    code, count = np.unique(vote @ 3 ** np.arange(4, -1, -1), return_counts=True)
+    kind, unpacked, _ = W._unpack(code * W.SHAPES)
+    p, table = W.reliabilities(kind, unpacked, count.astype(float))
+    right = [(table[0, j, 1, 2] + table[0, j, 0, 0]) / 2 for j in range(5)]
+    assert np.argmax(right) == 0 and all(abs(1 - e - r) < 0.05 for e, r in zip(noise, right))
+    by = dict(zip(code.tolist(), p > 0.5))
+    assert np.mean([by[c] == t for c, t in zip((vote @ 3 ** np.arange(4, -1, -1)).tolist(), truth)]) > 0.95
+
+
+def pages(n):
+    rng = random.Random(2)
+    rows = []
+    for i in range(n):
+        d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+        body = rng.choice([
+            f"please call +1 (4{d(2)}) 555-{d(4)} now", f"phone: (4{d(2)}) 555-{d(4)} today", f"order 2{d(2)}-555-{d(4)} shipped",
+            f"mail joe{i}@mail{i % 5}.example.com soon", f"contact joe{i} [at] example [dot] com soon", "nothing at all here", f"version 1.2.3.{d(2)}",
+        ])
+        rows.append((i, f"some words {body} and more", "en", "s", 1))
+    return rows
+
+
+def test_method_adds_spans_and_keeps_base(spark, folder):
+    rows = pages(400)
+    got = {r.doc_id: r.spans for r in W.found_spans(cases.frame(spark, rows), folder).collect()}
+    added = 0
+    for i, text, *_ in rows:
+        base = [(s.kind, s.start, s.end) for s in got[i] if s.base]
+        assert base == brute(text)
+        more = [s for s in got[i] if not s.base]
+        added += len(more)
+        if "nothing" in text or "version" in text:
+            assert not more
+        if "phone:" in text:
+            assert [text[s.start : s.end][:2] for s in more] == ["(4"]
+    assert added > 50
+
+
+def test_report_and_awkward_rows(spark, folder):
+    rows = cases.edge_rows() + [(20, "é joe@x.example.com 10.0.0.1 +1 (457) 555-7958 4111 1111 1111 1111", "en", "a", 1)]
+    got = W.report(W.found_spans(cases.frame(spark, rows, clashes=True), folder)).collect()
+    assert len(got) == len(rows)
+    one = next(r for r in got if r.doc_id == 20)
+    spans = "email:2:19,ip:20:28,card:48:67,phone:29:47"
+    assert (one.n_email, one.n_ip, one.n_card, one.n_phone) == (1, 1, 1, 1)
+    assert one.base_sha256 == hashlib.sha256(spans.encode()).hexdigest() and one.spans == spans
+    assert all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got if r.doc_id != 20)
+
+
+def test_empty_table(spark, folder):
+    assert W.report(W.found_spans(cases.empty(spark), folder)).count() == 0
