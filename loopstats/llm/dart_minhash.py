@@ -25,6 +25,8 @@ SIZE, BANDS, ROWS, SIMILARITY = 5, 20, 6, 0.8
 #: Ends of the rank cells below 1; above, a cell is one rank wide.
 EDGES = np.array([0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0])
 SALT = 1 << 9
+#: Elements times cells that are worked on at once; bytes of text in a chunk.
+GROUP, CHUNK = 1 << 14, 1 << 23
 
 
 def _poisson_steps(width: float) -> np.ndarray:
@@ -67,25 +69,36 @@ def sketch(rows: np.ndarray, values: np.ndarray, n: int, k: int) -> np.ndarray:
     reach = (k * np.log(k) + 2 * k) / np.maximum(weight, 1)
     best = np.full(n * k, np.inf)
     dart = np.zeros(n * k, np.uint64)
-    live, low = np.arange(len(rows)), np.zeros(n)
+    live, first_round = np.arange(len(rows)), True
     while len(live):
-        top = reach[rows[live]].max()
+        # by reach, the elements that have a cell's rank within theirs are one run; those of a later round begin
+        # where the round before it ended, at half their reach
+        live = live[np.argsort(reach[rows[live]], kind="stable")]
+        far = reach[rows[live]]
         cell = 0
         while True:
             lo = EDGES[cell] if cell < 5 else float(cell - 4)
-            hi = EDGES[cell + 1] if cell < 5 else lo + 1
-            if lo >= top:
+            if lo >= far[-1]:
                 break
-            mine = live[(reach[rows[live]] > lo) & (low[rows[live]] < hi)]
-            h = C.mix(unit[mine] ^ np.uint64((cell + 1) * int(C.PLACES[41]) % (1 << 64)))
-            count = np.searchsorted(STEPS[hi - lo], _unit(h), "right")
+            begin = int(np.searchsorted(far, lo, "right"))
+            # where few elements are left, many cells of width 1 are taken at once
+            many = max(1, GROUP // (len(far) - begin)) if cell >= 5 else 1
+            hi = EDGES[cell + 1] if cell < 5 else lo + many
+            stop = len(far) if first_round else int(np.searchsorted(far, 2 * hi, "left"))
+            mine, cells = live[begin:stop], cell + np.arange(many)
+            width, cell = (hi - lo) / many, cell + many
+            if many > 1:
+                mine, cells = np.repeat(mine, many), np.tile(cells, stop - begin)
+            h = C.mix(unit[mine] ^ ((cells + 1).astype(np.uint64) * C.PLACES[41]))
+            count = np.searchsorted(STEPS[width], _unit(h), "right")
             hit = np.flatnonzero(count)
             hit = np.repeat(hit, count[hit])
             if len(hit):
+                low = lo if many == 1 else (cells[hit] - 4).astype(np.float64)
                 turn = np.arange(len(hit)) - np.searchsorted(hit, hit)
                 d = C.mix(h[hit] + (turn.astype(np.uint64) + np.uint64(1)) * C.PLACES[42])
                 row = rows[mine[hit]]
-                rank = lo + (hi - lo) * _unit(d)
+                rank = low + width * _unit(d)
                 coordinate = (C.mix(d ^ C.PLACES[43]) >> np.uint64(33)).astype(np.int64) % k
                 slot = row * k + coordinate
                 keep = (rank <= reach[row]) & (rank < best[slot])
@@ -95,11 +108,9 @@ def sketch(rows: np.ndarray, values: np.ndarray, n: int, k: int) -> np.ndarray:
                 one = np.ones(len(slot), bool)
                 one[1:] = slot[1:] != slot[:-1]
                 best[slot[one]], dart[slot[one]] = rank[one], d[one]
-            cell += 1
         gaps = np.isinf(best.reshape(n, k)).any(1) & (weight > 0)
-        low = np.where(gaps, reach, low)
         reach = np.where(gaps, reach * 2, reach)
-        live = live[gaps[rows[live]]]
+        live, first_round = live[gaps[rows[live]]], False
     return dart.reshape(n, k)
 
 
@@ -117,7 +128,7 @@ def signatures(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int
     def run(batches):
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
-            for a, b in C.chunks(text):
+            for a, b in C.chunks(text, CHUNK):
                 raw, offsets = C.text_bytes(text.slice(a, b - a))
                 row, value = elements(raw, offsets, size)
                 n = b - a

@@ -66,8 +66,8 @@ KNOWN = (
         "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
 )
-#: A line that is a copyright statement, with comment marks before it.
-COPYRIGHT = r"(?m)^[ \t#*/;!-]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line that is a copyright statement, with comment marks before it; not one that merely begins with the word.
+COPYRIGHT = r"(?m)^[ \t#*/;!-]*(copyright[ \t]*(\(c\)|©|[0-9]{4}|by\b|:)|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*$"
 #: (expression, replacement), in this order.
 SPELLINGS = (
     (r"licenc", "licens"),
