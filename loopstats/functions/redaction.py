@@ -39,7 +39,8 @@ KEY_VALUE = rf"(?i)({KEY_NAMES})([{BLANK}]*[:=][{BLANK}]*)([^{BLANK},;]+)"
 MARKS = ("bearer", "api", "authorization", "password", "secret", "token")
 MASK = "[REDACTED]"
 CUT_MARK = "...[truncated]"
-MAX_LENGTH = 2000
+#: Fixed value: where the service cuts a stored string. Masking alone keeps the whole text.
+STORED_LENGTH = 2000
 
 
 def java_pattern(pattern: str) -> Column:
@@ -72,7 +73,11 @@ def mask_text(c: Column) -> Column:
     return F.when(may_hold_credentials(c), masked).otherwise(c)
 
 
-def redact_text(c: Column, max_len: int = MAX_LENGTH) -> Column:
+def redact_text(c: Column, max_len: int | None = None) -> Column:
+    """The whole text with its credentials masked; with `max_len`, cut behind so many characters and marked."""
+    if max_len is None:
+        return mask_text(c)
+
     def cut(masked: Column) -> Column:
         short = F.concat(F.substring(masked, 1, max_len), F.lit(CUT_MARK))
         return F.when(F.length(masked) > max_len, short).otherwise(masked)
@@ -80,7 +85,7 @@ def redact_text(c: Column, max_len: int = MAX_LENGTH) -> Column:
     return _bind(mask_text(c), cut)
 
 
-def redact_map(c: Column, max_len: int = MAX_LENGTH) -> Column:
+def redact_map(c: Column, max_len: int | None = None) -> Column:
     """Flat map<string,string>: JVM-only form of redact_json."""
     return F.transform_values(
         c, lambda k, v: F.when(is_sensitive(k), F.lit(MASK)).otherwise(redact_text(v, max_len))
@@ -99,7 +104,7 @@ def _python_pattern(pattern: str) -> re.Pattern:
     return re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: "\\u" + m[1].zfill(4), pattern))
 
 
-def redact_json(c: Column, max_len: int = MAX_LENGTH) -> Column:
+def redact_json(c: Column, max_len: int | None = None) -> Column:
     """Masks values under credential keys at any depth and credentials inside any string.
 
     Depth is unbounded, which column expressions cannot follow: an Arrow batch function.
@@ -111,7 +116,7 @@ def redact_json(c: Column, max_len: int = MAX_LENGTH) -> Column:
         masked, folded = value, value.lower().replace("ſ", "s")
         if any(mark in folded for mark in MARKS):
             masked = pair.sub(rf"\1\2{MASK}", bearer.sub(rf"\1{MASK}", value))
-        return masked[:max_len] + CUT_MARK if len(masked) > max_len else masked
+        return masked[:max_len] + CUT_MARK if max_len is not None and len(masked) > max_len else masked
 
     def hidden(key: str) -> bool:
         name = key.lower().replace("-", "_")

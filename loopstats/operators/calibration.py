@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 FLOOR_SHARE = 0.05
 TARGET_REJECTION = 0.05
-ROUND_BUCKETS = 100
 
 
 def label_pairs(records: DataFrame, content: DataFrame) -> DataFrame:
@@ -161,36 +160,43 @@ def fit_weights(lenient: DataFrame, weights: DataFrame, alpha: float = 1.0) -> D
     ).select("template_id", "dim", "default_weight", F.col("fitted")[F.col("dim")].alias("weight"))
 
 
+#: Buckets of one step of p10_rank.
+STEPS = 4096
+
+
 def p10_rank(df: DataFrame, value: str, by: str) -> DataFrame:
     """Element number n div 10 (from 0) of the sorted values of each group, exactly.
 
-    No group is sorted whole: values are counted per bucket of 1/100, the bucket that holds the
-    rank is found from the counts, and only that bucket's distinct values are ranked. Scores are
-    0 to 100, so the first window sees at most 10 001 rows per group.
+    No group is sorted whole, whatever its values: distinct values are counted in `STEPS` equal buckets between the
+    least and the greatest of the group, the counts tell the bucket that holds the rank, and that bucket is cut into as
+    many again. Only what is left after that is ranked. Each window sees a fixed number of rows per group.
     """
     group = Window.partitionBy(by)
-    distinct = df.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("_v")).agg(
-        F.count("*").alias("_n")
-    )
-    bucket = F.floor(F.col("_v") * ROUND_BUCKETS).alias("_bucket")
-    cumulated = (
-        distinct.groupBy(by, bucket)
-        .agg(F.sum("_n").alias("_n"))
-        .withColumn("n", F.sum("_n").over(group))
-        .withColumn("_upto", F.sum("_n").over(group.orderBy("_bucket")))
-    )
-    wanted = F.floor(F.col("n") / 10) + 1
-    holder = cumulated.filter(
-        (F.col("_upto") >= wanted) & (F.col("_upto") - F.col("_n") < wanted)
-    ).select(by, "_bucket", "n", (wanted - F.col("_upto") + F.col("_n")).alias("_rank"))
-    inside = distinct.withColumn("_bucket", bucket).join(holder, [by, "_bucket"])
-    upto = F.sum("_n").over(group.orderBy("_v"))
-    ranked = inside.withColumn("_upto", upto)
+    left = df.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    n = left.groupBy(by).agg(F.sum("_n").alias("n")).select(by, "n", (F.floor(F.col("n") / 10) + 1).alias("_rank"))
+    for _ in range(2):
+        span = left.groupBy(by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+        step = F.coalesce(F.least(F.floor(share * STEPS), F.lit(STEPS - 1)), F.lit(0)).cast("int")
+        left = _with_group(left, span, by).withColumn("_bucket", step).drop("_lo", "_hi")
+        upto = F.sum("_n").over(group.orderBy("_bucket"))
+        counts = left.groupBy(by, "_bucket").agg(F.sum("_n").alias("_n")).withColumn("_before", upto - F.col("_n"))
+        holder = _with_group(counts, n, by).filter((F.col("_before") < F.col("_rank")) & (F.col("_before") + F.col("_n") >= F.col("_rank")))
+        n = holder.select(by, "n", (F.col("_rank") - F.col("_before")).alias("_rank"))
+        inside = holder.select(F.col(by).alias("_by"), F.col("_bucket").alias("_at"))
+        left = left.join(inside, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_bucket") == F.col("_at"))).select(by, "_v", "_n")
+    ranked = _with_group(left, n, by).withColumn("_upto", F.sum("_n").over(group.orderBy("_v")))
     return ranked.filter(
         (F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank"))
     ).select(by, "n", F.col("_v").alias("p10"))
 
 
+def _with_group(rows: DataFrame, facts: DataFrame, by: str) -> DataFrame:
+    """`rows` with the facts of their group; null is a group."""
+    named = facts.withColumnRenamed(by, "_group")
+    return rows.join(named, F.col(by).eqNullSafe(F.col("_group"))).drop("_group")
+
+
 def _dim_mean(dims: Column) -> Column:
     values = F.map_values(dims)
     return F.try_divide(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x), F.size(values))

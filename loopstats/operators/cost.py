@@ -10,7 +10,7 @@ from ..functions.costing import call_cost, token_breakdown
 from ..functions.rules import blank_to_null
 from ..schemas import FLAT_PRICE_PER_1K
 from .listing import matching, time_range
-from .ordered import HOT_ROWS, ordered_groups, running
+from .ordered import ordered_groups, running
 
 
 def _zero_sum(name: str) -> Column:
@@ -112,11 +112,12 @@ def cost_join_content(
     template, and only then is the content table read."""
     key = {"template": "template_id", "model": "model", "task": "task_id"}[by]
     if template is not None:
-        # the OR spans both sides, so it cannot be pushed; content is reduced to its matching ids
-        wanted = content.filter(F.col("template_id") == template)
-        wanted = wanted.select(F.col("id").alias("_item"), F.lit(True).alias("_hit"))
-        joined = calls.join(wanted, calls["item_id"] == wanted["_item"], "left")
-        calls = joined.filter((F.col("template_id") == template) | F.col("_hit"))
+        # calls of the template need no join and are filtered in the scan; of the others only those with an item are
+        # shuffled, against the ids of the template's content
+        wanted = content.filter(F.col("template_id") == template).select(F.col("id").alias("item_id"))
+        own = calls.filter(F.col("template_id") == template)
+        others = calls.filter(~F.col("template_id").eqNullSafe(F.lit(template)) & F.col("item_id").isNotNull())
+        calls = own.unionByName(others.join(wanted, "item_id", "left_semi").select(*calls.columns))
     grouped = calls.groupBy(key).agg(
         F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 6).alias("total_cost"),
         F.count("*").alias("count"),
@@ -221,7 +222,7 @@ def structured_stats(
 def trace_summary(
     calls: DataFrame, limit: int | None = 50, offset: int = 0, approximate_total: bool = False
 ) -> DataFrame:
-    """Traces by last call, newest first, with the number of traces in `total`."""
+    """A page of traces by last call, newest first, with the number of traces in `total`; `limit=None`: all, unsorted."""
     count = F.approx_count_distinct if approximate_total else F.count_distinct
     total = calls.agg(count("trace_id")).scalar()
     rows = calls.groupBy("trace_id").agg(
@@ -233,10 +234,9 @@ def trace_summary(
         F.min("created_at").alias("first_at"),
         F.max("created_at").alias("last_at"),
     )
-    ranked = rows.orderBy(F.desc("last_at"), "trace_id")
-    if limit is not None:
-        ranked = ranked.offset(offset).limit(limit)
-    return ranked.withColumn("total", total)
+    if limit is not None:  # a page is a top-k; all traces are not sorted
+        rows = rows.orderBy(F.desc("last_at"), "trace_id").offset(offset).limit(limit)
+    return rows.withColumn("total", total)
 
 
 def price_lookup(calls: DataFrame, prices: DataFrame, flat: float = FLAT_PRICE_PER_1K) -> DataFrame:
@@ -267,21 +267,19 @@ def priced_calls(calls: DataFrame, prices: DataFrame, flat: float = FLAT_PRICE_P
     )
 
 
-def attempt_number(calls: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def attempt_number(calls: DataFrame) -> DataFrame:
     """Position of a call among the calls of its trace and stage."""
-    groups = ordered_groups(calls, ["trace_id", "stage"], ["created_at", "id"], hot_rows)
+    groups = ordered_groups(calls, ["trace_id", "stage"], ["created_at", "id"])
     return running(groups, {"attempt": ("sum", F.lit(1))}).result()
 
 
-def budget_guard(
-    calls: DataFrame, budgets: DataFrame, global_budget: float = 0.0, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def budget_guard(calls: DataFrame, budgets: DataFrame, global_budget: float = 0.0) -> DataFrame:
     """Calls made after their task's spend had reached the budget of the model (0 = no budget)."""
     limits = budgets.select(F.col("model").alias("_model"), "budget_per_task")
     tasked = calls.filter(F.coalesce(F.col("task_id"), F.lit("")) != "").select(
         "id", "task_id", "model", "cost", "created_at"
     )
-    groups = ordered_groups(tasked, ["task_id"], ["created_at", "id"], hot_rows)
+    groups = ordered_groups(tasked, ["task_id"], ["created_at", "id"])
     spend = running(
         groups, {"spent_before": ("sum", F.coalesce("cost", F.lit(0.0)))}, inclusive=False
     ).result()
@@ -300,15 +298,13 @@ def budget_guard(
 def model_health(
     calls: DataFrame,
     threshold: int = 2,
-    cooldown_seconds: int = 60,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+    cooldown_seconds: int = 60) -> DataFrame:
     """State of each model after each call: failures since its last success, health, cooldown.
 
     Failures since the last success = position − position of the last success.
     """
     rows = calls.select("id", "model", "success", "created_at")
-    groups = ordered_groups(rows, ["model"], ["created_at", "id"], hot_rows)
+    groups = ordered_groups(rows, ["model"], ["created_at", "id"])
     groups = running(groups, {"_position": ("sum", F.lit(1))})
     groups = running(groups, {"_good": ("max", F.when(F.col("success"), F.col("_position")))})
     failures = F.col("_position") - F.coalesce("_good", F.lit(0))

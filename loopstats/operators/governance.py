@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.jsons import canonical_json, config_hash
-from .ordered import HOT_ROWS, ordered_groups, previous
+from .ordered import ordered_groups, previous
 
 # The fields a hash or snapshot covers.
 TEMPLATE_FIELDS = (
@@ -192,13 +192,13 @@ def default_uniqueness(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("_newest", newest).withColumn("is_default", keep).drop("_newest")
 
 
-def config_change_log(snapshots: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def config_change_log(snapshots: DataFrame) -> DataFrame:
     """Real configuration changes: each save against the one before it by canonical JSON.
 
     The first save is a `create`; later ones are `sync` for templates and `update` for the rest.
     """
     saves = snapshots.withColumn("_canonical", canonical_json(F.col("snapshot")))
-    groups = ordered_groups(saves, ["entity_type", "entity_id"], ["created_at", "id"], hot_rows)
+    groups = ordered_groups(saves, ["entity_type", "entity_id"], ["created_at", "id"])
     rows = previous(groups, "_p", ["_canonical", "snapshot"]).result()
     first = F.col("_p").isNull()
     changed = first | ~F.col("_p._canonical").eqNullSafe(F.col("_canonical"))

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.chunking import chunk_array
@@ -47,7 +48,7 @@ def index_documents(
         doc_key,
         "chunk_index",
         F.lit(source_type).alias("source_type"),
-        F.col(doc_key).cast("string").alias("source_name"),
+        (F.col("source_name") if "source_name" in docs.columns else F.col(doc_key)).cast("string").alias("source_name"),
         optional("knowledge_point"),
         optional("tenant_id"),
         "content",
@@ -59,16 +60,21 @@ def chunk_counts(chunks: DataFrame, doc_key: str = "doc_id") -> DataFrame:
     return chunks.groupBy(doc_key).agg(F.count("*").alias("chunks"))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Unit vectors, one per row; a zero or missing vector becomes NaN and never matches."""
+def _lengths(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Length of each vector; 0 for null."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    rows = array.to_pylist() if array.null_count else None
-    if rows is None:
-        matrix = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        matrix = matrix.reshape(len(array), -1)
-    else:
-        width = max((len(r) for r in rows if r is not None), default=0)
-        matrix = np.array([[np.nan] * width if r is None else r for r in rows], np.float64)
+    return pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False)
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Unit vectors of `width` numbers, one per row; a zero, missing or differently long vector, or one with a null
+    in it, is NaN and never matches."""
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    fits = _lengths(array) == width
+    matrix = np.full((len(array), width), np.nan)
+    if width and fits.any():
+        flat = array.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False)
+        matrix[fits] = flat.astype(np.float64).reshape(-1, width)
     with np.errstate(invalid="ignore", divide="ignore"):
         return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
@@ -77,7 +83,7 @@ def _candidates(
     queries: pa.Table, q_unit: np.ndarray, chunks: pa.Table, k: int, filters: Sequence[str]
 ) -> pa.Table:
     """Per query every chunk at least as near as its k-th: k rows and the ties of the last."""
-    c_unit = _matrix(chunks["embedding"])
+    c_unit = _matrix(chunks["embedding"], q_unit.shape[1])
     c_filters = [np.asarray(chunks[f].to_pylist(), object) for f in filters]
     parts = []
     for start in range(0, len(q_unit), QUERIES_PER_STEP):
@@ -123,14 +129,16 @@ def _top(hits: pa.Table, k: int) -> pa.Table:
 def _search(
     queries: pa.Table, batches: Iterable[pa.Table], k: int, filters: Sequence[str]
 ) -> pa.Table | None:
-    if not len(queries):
-        return None
-    q_unit, best = _matrix(queries["embedding"]), None
+    """Vectors are compared with those of their own length."""
+    lengths, best = _lengths(queries["embedding"]), None
+    by_width = [queries.filter(pa.array(lengths == w)) for w in sorted(set(lengths.tolist()) - {0})]
+    units = [_matrix(own["embedding"], len(own["embedding"][0])) for own in by_width]
     for chunks in batches:
         if not len(chunks):
             continue
-        found = _candidates(queries, q_unit, chunks, k, filters)
-        best = _top(found if best is None else pa.concat_tables([best, found]), k)
+        found = [_candidates(own, unit, chunks, k, filters) for own, unit in zip(by_width, units)]
+        if found:
+            best = _top(pa.concat_tables(found if best is None else [best, *found]), k)
     return best
 
 
@@ -146,11 +154,12 @@ def knn_topk(
     """Exact cosine top-k: query_id, chunk_id, similarity, rank.
 
     No pair table is ever built: tasks multiply blocks of vectors and pass on k rows per query.
-    - Queries whose measured size is below the limit are broadcast, and chunks are searched where
+    - Queries whose measured size (all vectors and filter values) is below the limit are broadcast, and chunks are searched where
       they are scanned, without a shuffle.
     - Beyond it both sides are dealt into blocks of `rows_per_cell`, and every (query block,
       chunk block) cell is one group of bounded size whatever the filter values' skew.
-    A null filter value of a query means no filter. Similarities are rounded to six digits and
+    A null filter value of a query means no filter. Only vectors of equal length are compared; a null, zero or empty
+    vector finds nothing and is not found. Similarities are rounded to six digits and
     ties go by chunk id, so the result does not depend on the partitioning.
     """
     filters = [c for c in filter_cols if c in queries.columns and c in chunks.columns]
@@ -160,11 +169,10 @@ def knn_topk(
     chunk_id = c.schema["id"].dataType.simpleString()
     schema = f"query_id {types['id']}, chunk_id {chunk_id}, similarity double"
 
-    width = q.select(F.size("embedding")).limit(1).collect()
-    row_bytes = 8 * max(width[0][0] if width else 1, 1) + 64
-    limit = max(max_broadcast_bytes // row_bytes, 0)
-    head = q.limit(limit + 1).toArrow() if limit else None
-    if head is not None and len(head) <= limit:
+    strings = [F.coalesce(F.sum(F.octet_length(F.col(f).cast("string"))), F.lit(0)) for f in filters]
+    measured = F.coalesce(F.sum(F.greatest(F.size("embedding"), F.lit(0))), F.lit(0)) * 8 + F.count(F.lit(1)) * 64
+    if q.select(sum(strings, measured)).first()[0] <= max_broadcast_bytes:
+        head = q.toArrow()
         partial = _search_in_scan(c, head, k, filters, schema)
     else:
         partial = _search_in_cells(q, c, k, filters, schema, rows_per_cell)

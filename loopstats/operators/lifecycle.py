@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rules import failure_class, item_retry_seconds, seconds_between
@@ -16,7 +18,7 @@ from ..schemas import (
     TASK_TERMINAL,
 )
 from .listing import matching
-from .ordered import HOT_ROWS, ordered_groups, previous
+from .ordered import ordered_groups, previous
 
 
 def _now(as_of) -> Column:
@@ -255,16 +257,24 @@ def lifecycle_durations(calls: DataFrame) -> DataFrame:
     return rows.withColumn("duration_s", F.round(duration, 3))
 
 
-def transition_audit(events: DataFrame, allowed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def transition_audit(events: DataFrame, allowed: DataFrame | Sequence[tuple[str, str]]) -> DataFrame:
     """Status moves that are not allowed: each status against the one before it of its entity.
 
-    `allowed` holds (from_status, to_status).
+    `allowed` holds (from_status, to_status). A status machine is a short list: given as pairs it is a predicate and
+    the moves are not shuffled for it; a table is joined.
     """
     rows = events.select("entity_id", "status", "created_at", "id")
-    groups = ordered_groups(rows, ["entity_id"], ["created_at", "id"], hot_rows)
+    groups = ordered_groups(rows, ["entity_id"], ["created_at", "id"])
     moves = previous(groups, "_p", ["status"]).result().filter("_p is not null")
     moves = moves.select(
         "id", "entity_id", F.col("_p.status").alias("from_status"),
         F.col("status").alias("to_status"), "created_at",
     )
-    return moves.join(allowed, ["from_status", "to_status"], "left_anti")
+    if isinstance(allowed, DataFrame):
+        return moves.join(allowed, ["from_status", "to_status"], "left_anti")
+    known = F.map_from_arrays(
+        F.array(*(F.lit(a) for a in dict.fromkeys(a for a, _ in allowed))),
+        F.array(*(F.array(*(F.lit(b) for x, b in allowed if x == a)) for a in dict.fromkeys(a for a, _ in allowed))),
+    )
+    legal = F.array_contains(F.try_element_at(known, F.col("from_status")), F.col("to_status"))
+    return moves.filter(~F.coalesce(legal, F.lit(False)))

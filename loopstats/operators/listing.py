@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import ELIGIBLE_STATUSES
-from .ordered import HOT_ROWS, ordered_groups, running
+from .ordered import ordered_groups, running
 
 
 def matching(df: DataFrame, filters: Mapping[str, object]) -> DataFrame:
@@ -93,26 +93,26 @@ def eligible_content(content: DataFrame) -> DataFrame:
     return content.filter(F.col("status").isin(*ELIGIBLE_STATUSES))
 
 
-def _in_call_order(calls: DataFrame, key: str, value, hot_rows: int) -> DataFrame:
-    groups = ordered_groups(matching(calls, {key: value}), [key], ["created_at", "id"], hot_rows)
+def _in_call_order(calls: DataFrame, key: str, value) -> DataFrame:
+    groups = ordered_groups(matching(calls, {key: value}), [key], ["created_at", "id"])
     return running(groups, {"step": ("sum", F.lit(1))}).result()
 
 
-def trace_replay(calls: DataFrame, trace_id: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def trace_replay(calls: DataFrame, trace_id: str | None = None) -> DataFrame:
     """Calls of one trace, or of every trace, numbered in time order; a blank stage is inferred."""
     scored = F.array_contains(F.json_object_keys("output_data"), "dimension_scores")
     inferred = F.when(F.coalesce(scored, F.lit(False)), "qc").otherwise("generate")
     blank = F.coalesce(F.col("stage"), F.lit("")) == ""
     staged = calls.withColumn("stage", F.when(blank, inferred).otherwise(F.col("stage")))
-    return _in_call_order(staged, "trace_id", trace_id, hot_rows)
+    return _in_call_order(staged, "trace_id", trace_id)
 
 
-def task_calls(calls: DataFrame, task_id: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    return _in_call_order(calls, "task_id", task_id, hot_rows)
+def task_calls(calls: DataFrame, task_id: str | None = None) -> DataFrame:
+    return _in_call_order(calls, "task_id", task_id)
 
 
-def item_calls(calls: DataFrame, item_id: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    return _in_call_order(calls, "item_id", item_id, hot_rows)
+def item_calls(calls: DataFrame, item_id: str | None = None) -> DataFrame:
+    return _in_call_order(calls, "item_id", item_id)
 
 
 def audit_log_query(

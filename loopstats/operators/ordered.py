@@ -1,22 +1,17 @@
-"""Running aggregates over ordered groups of any size.
+"""Running aggregates over ordered groups of any size, in one plan.
 
-A window over a key puts the whole key into one task. When the largest group is small that is
-the best plan: one shuffle. Otherwise the rows are range-partitioned on (key, order), so a hot
-key is cut into blocks of consecutive rows; each block runs its own window, and the totals of
-the blocks before it (one row per key and block) are added to it. Block numbers must be the same
-on both sides of that join, even after an executor is lost, hence the checkpoint.
+A window over a key alone puts the whole key into one task. Here a group is cut into sub-blocks that follow from the
+data: the key and the order column cut to a coarser unit (the hour of an instant, the month of a date, 65,536 numbers).
+Each sub-block runs its own window; the totals of the blocks before it (one row per key and block) are added to it. The
+cut is the same wherever and whenever it is computed, so nothing has to be written down, sampled or counted first.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..session import ensure_checkpoint_dir
-
-HOT_ROWS = 5_000_000
-SKETCH_ITEMS = 65_536
 BLOCK = "_block"
 
 
@@ -25,37 +20,32 @@ class OrderedGroups:
     rows: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    blocked: bool
 
     @property
     def group(self) -> tuple[str, ...]:
-        return self.keys + ((BLOCK,) if self.blocked else ())
+        return self.keys + (BLOCK,)
 
     def result(self) -> DataFrame:
         return self.rows.drop(BLOCK)
 
 
-def largest_group(df: DataFrame, keys) -> int:
-    """Rows of the largest group, from a mergeable frequent-items sketch.
-
-    One pass over the key columns, no shuffle of keys, one number back. The sketch may be off
-    by a small part of the row count, which only moves the choice of plan, never the result.
-    """
-    quoted = ", ".join(f"`{key}`" for key in keys)
-    top = df.agg(F.expr(f"approx_top_k(xxhash64({quoted}), 1, {SKETCH_ITEMS})").alias("top"))
-    found = top.first()["top"]
-    return found[0]["count"] if found else 0
+def block_of(df: DataFrame, column: str, unit: str = "hour") -> Column:
+    """The order column cut to a coarser unit; it rises with the column, and is null with it."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_trunc(unit, column)
+    if isinstance(kind, T.DateType):
+        return F.trunc(column, "month")
+    if isinstance(kind, T.IntegralType):
+        return F.shiftright(F.col(column).cast("long"), 16)
+    raise TypeError(f"{column}: give `block` for an order column of type {kind.simpleString()}")
 
 
-def ordered_groups(df: DataFrame, keys, order, hot_rows: int = HOT_ROWS) -> OrderedGroups:
+def ordered_groups(df: DataFrame, keys, order, block: Column | None = None) -> OrderedGroups:
+    """`block`: sub-block of a row; it must rise with the first order column. By default from that column."""
     keys, order = tuple(keys), tuple(order)
-    if largest_group(df, keys) <= hot_rows:
-        return OrderedGroups(df, keys, order, False)
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(blocks, *keys, *order).withColumn(BLOCK, F.spark_partition_id())
-    return OrderedGroups(cut.checkpoint(), keys, order, True)
+    cut = df.withColumn(BLOCK, block_of(df, order[0]) if block is None else block)
+    return OrderedGroups(cut, keys, order)
 
 
 def _same_group(left: DataFrame, right: DataFrame, keys) -> Column:
@@ -90,10 +80,6 @@ def running(
     window = Window.partitionBy(*groups.group).orderBy(*groups.order)
     window = window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     rows = groups.rows.withColumns({n: _over(kind, v, window) for n, (kind, v) in outs.items()})
-    if not groups.blocked:
-        zero = {n: F.coalesce(n, F.lit(0)) for n, (kind, _) in outs.items() if kind == "sum"}
-        return replace(groups, rows=rows.withColumns(zero) if zero else rows)
-
     position = F.struct(*groups.order)
     totals = {
         n: {

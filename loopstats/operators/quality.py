@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.jsons import config_hash
 from ..schemas import QUALITY_THRESHOLD
 from .listing import matching, time_range
-from .ordered import HOT_ROWS, ordered_groups, running
+from .ordered import ordered_groups, running
 
 
 def quality_content_join(records: DataFrame, content: DataFrame) -> DataFrame:
@@ -94,23 +94,20 @@ def judge_rounds_mean(rounds: DataFrame, templates: DataFrame) -> DataFrame:
 
     An item none of whose rounds has a declared dimension keeps an empty map and an `error`.
     """
-    long = (
-        rounds.select("item_id", "template_id", F.explode_outer("scores").alias("dim", "score"))
-        .groupBy("item_id", "template_id", "dim")
-        .agg(F.avg("score").alias("score"))
-    )
+    # an item's rounds are few, so one shuffle brings them together as a list
+    gathered = rounds.groupBy("item_id", "template_id").agg(F.sort_array(F.collect_list(F.array_sort(F.map_entries("scores")))).alias("_rounds"))
     declared = templates.select("template_id", F.map_keys("weights").alias("_declared"))
-    kept = long.join(declared, "template_id", "left").withColumn(
-        "_entry",
-        F.when(
-            F.array_contains("_declared", F.col("dim")) & F.col("score").isNotNull(),
-            F.struct("dim", "score"),
-        ),
-    )
-    # one row per dimension and item: the collected list is as long as the rule list
-    means = kept.groupBy("item_id", "template_id").agg(
-        F.map_from_entries(F.sort_array(F.collect_list("_entry"))).alias("dimension_scores")
+    scored = gathered.join(declared, "template_id", "left").select(
+        "item_id", "template_id", "_declared", F.filter(F.flatten("_rounds"), lambda e: e["value"].isNotNull()).alias("_scores")
     )
+
+    def mean(dim: Column) -> Column:
+        own = F.transform(F.filter("_scores", lambda e: e["key"] == dim), lambda e: e["value"].cast("double"))
+        return F.struct(dim.alias("dim"), F.try_divide(F.reduce(own, F.lit(0.0), lambda a, x: a + x), F.size(own)).alias("score"))
+
+    found = F.filter(F.transform(F.array_sort("_declared"), mean), lambda m: m["score"].isNotNull())
+    none = F.create_map().cast("map<string,double>")
+    means = scored.select("item_id", "template_id", F.coalesce(F.map_from_entries(found), none).alias("dimension_scores"))
     empty = F.size("dimension_scores") == 0
     return means.withColumn("error", F.when(empty, "no valid dimension scores"))
 
@@ -182,9 +179,7 @@ def effective_weights(templates: DataFrame, calibrations: DataFrame) -> DataFram
     )
 
 
-def effective_weights_asof(
-    records: DataFrame, calibrations: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def effective_weights_asof(records: DataFrame, calibrations: DataFrame) -> DataFrame:
     """Adds the calibration in force at each record's own time: as-of join by template.
 
     Both sides are stacked and read in time order; a calibration of the same instant counts.
@@ -206,7 +201,7 @@ def effective_weights_asof(
         F.lit(None).cast(marks.schema["_calibration"].dataType).alias("_calibration"),
     )
     groups = ordered_groups(
-        marks.unionByName(rows), ["template_id"], ["_at", "_side", "_id"], hot_rows
+        marks.unionByName(rows), ["template_id"], ["_at", "_side", "_id"]
     )
     seen = running(groups, {"_in_force": ("last", F.col("_calibration"))}).result()
     return seen.filter("_side = 1").select(

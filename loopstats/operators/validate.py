@@ -65,6 +65,17 @@ def _child(path: Column, name: Column) -> Column:
     return F.when(path == "", name).otherwise(F.concat(path, F.lit("."), name))
 
 
+def _in_enum(members: Sequence, value: Column, kind: Column) -> Column:
+    """Numbers are compared as numbers, whatever their spelling (1e3 is 1000); anything else by its text."""
+    is_number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
+    numbers = [float(v) for v in members if is_number(v)]
+    texts = [_variant_text(v) for v in members if not is_number(v)]
+    fits = F.to_json(value).isin(*texts) if texts else F.lit(False)
+    if numbers:
+        fits = fits | F.coalesce(_is(value, kind, "number") & F.try_variant_get(value, "$", "double").isin(*numbers), F.lit(False))
+    return fits
+
+
 def _bounds(schema: Mapping, value: Column, kind: Column, path: Column) -> list[Column]:
     text = F.when(_is(value, kind, "string"), F.try_variant_get(value, "$", "string"))
     items = F.when(_is(value, kind, "array"), F.size(F.try_variant_get(value, "$", "array<variant>")))
@@ -116,9 +127,8 @@ def _check_bound(
             fits = fits | _is(value, kind, name)
         found.append(_report(~fits, path, "type", "expected " + " or ".join(names), value))
     if "enum" in schema:
-        allowed = [_variant_text(v) for v in schema["enum"]]
         text = "one of " + json.dumps(schema["enum"], ensure_ascii=False)
-        found.append(_report(~F.to_json(value).isin(*allowed), path, "enum", text, value))
+        found.append(_report(~_in_enum(schema["enum"], value, kind), path, "enum", text, value))
     found += _bounds(schema, value, kind, path)
 
     properties, required = schema.get("properties", {}), schema.get("required") or []
@@ -220,6 +230,29 @@ def validate_payload(df: DataFrame, payload: str, schema: Mapping) -> DataFrame:
     return _with_violations(df, payload, schema, at_parent=False).withColumn("valid", F.size("violations") == 0)
 
 
+def validate_by_template(
+    df: DataFrame, payload: str, templates: DataFrame, schema: str = "output_schema", key: str = "template_id",
+    at_parent: bool = False, most: int = 500,
+) -> DataFrame:
+    """Adds `violations` and `valid` for payloads against the schema of their own template.
+
+    `templates` (key, schema text) is a dimension: its distinct schemas are read when the plan is built and each is
+    compiled once; rows take the branch of their template and are not shuffled. More than `most` schemas are refused.
+    Rows whose template is unknown or has no schema have no violations.
+    """
+    rows = templates.select(key, schema).where(F.col(schema).isNotNull()).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} schemas; validate the templates in parts")
+    by_text: dict[str, list] = {}
+    for name, text in rows:
+        by_text.setdefault(text, []).append(name)
+    found = _none()
+    for text, names in sorted(by_text.items()):
+        found = F.when(F.col(key).isin(*names), violations(F.col(payload), json.loads(text), at_parent)).otherwise(found)
+    once = F.when(F.spark_partition_id() >= 0, found)
+    return df.select("*", once.alias("violations")).withColumn("valid", F.size("violations") == 0)
+
+
 def validate_params(df: DataFrame, params: str, schema: Mapping) -> DataFrame:
     """Adds the first violation of request parameters as `field_path` and `validation_keyword`.
 

@@ -8,13 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.agreement import confusion
 from ..operators.calibration import calibrate, label_pairs
-from ..operators.cost import (
-    cost_by_date,
-    cost_by_model_since,
-    cost_rollup,
-    structured_stats,
-)
-from ..operators.listing import recent_calls
+from ..operators.cost import cost_rollup, structured_stats
+from ..operators.listing import matching, recent_calls, time_range
 from ..functions.rules import seconds_between
 from ..schemas import FLAT_PRICE_PER_1K, QUALITY_THRESHOLD
 
@@ -115,25 +110,28 @@ def deep_cost_report(
 
 
 def cost_period_report(calls: DataFrame, tenant: str | None, as_of, days: int = 7) -> DataFrame:
-    """Period totals and both breakdowns as rows (tenant_id, part, name, …)."""
-    since = as_of - timedelta(days=days)
-    by_model = cost_by_model_since(calls, tenant, since)
-    by_date = cost_by_date(calls, tenant, since)
-    totals = by_model.groupBy("tenant_id").agg(
-        F.round(F.sum("total_cost"), 6).alias("total_cost"),
-        F.sum("total_tokens").alias("total_tokens"),
-        F.sum("call_count").alias("call_count"),
+    """Period totals and both breakdowns as rows (tenant_id, part, name, …), from one scan.
+
+    The totals add up the models' rows, which come from the same exchange.
+    """
+    rows = time_range(matching(calls, {"tenant_id": tenant}), as_of - timedelta(days=days))
+    rows = rows.withColumn("date", F.to_date("created_at").cast("string"))
+    tokens = F.coalesce(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")), F.lit(0))
+    by = rows.groupingSets([["tenant_id", "model"], ["tenant_id", "date"]], "tenant_id", "model", "date").agg(
+        F.grouping("model").alias("_dated"),
+        F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 6).alias("total_cost"),
+        tokens.alias("total_tokens"), F.count("*").alias("call_count"),
     )
-    shape = lambda df, part, name, tokens: df.select(
-        "tenant_id", F.lit(part).alias("part"), name.alias("name"), "total_cost",
-        tokens.alias("total_tokens"), "call_count",
+    dated = F.col("_dated") == 1
+    parts = by.select(
+        "tenant_id", F.when(dated, "date").otherwise("model").alias("part"), F.when(dated, F.col("date")).otherwise(F.col("model")).alias("name"),
+        "total_cost", F.when(~dated, F.col("total_tokens")).alias("total_tokens"), "call_count",
     )
-    none = F.lit(None).cast("bigint")
-    return (
-        shape(totals, "total", F.lit("all"), F.col("total_tokens"))
-        .unionByName(shape(by_model, "model", F.col("model"), F.col("total_tokens")))
-        .unionByName(shape(by_date, "date", F.col("date").cast("string"), none))
+    of_models = lambda c: F.sum(F.when(~dated, F.col(c)))
+    totals = by.groupBy("tenant_id").agg(
+        F.round(of_models("total_cost"), 6).alias("total_cost"), of_models("total_tokens").alias("total_tokens"), of_models("call_count").alias("call_count"),
     )
+    return parts.unionByName(totals.select("tenant_id", F.lit("total").alias("part"), F.lit("all").alias("name"), "total_cost", "total_tokens", "call_count"))
 
 
 def calibration_report(

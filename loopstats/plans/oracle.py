@@ -505,6 +505,9 @@ add("calibrate", "fitted fits", f"""SELECT t.template_id, t.dim,
     70.0::double AS default_threshold, f.sample_size, f.false_pass_cnt, f.rejection_rate,
     CASE WHEN f.enough THEN {_DONE} ELSE {_SHORT} END AS note
     FROM fitted t JOIN fits f ON f.template_id = t.template_id""")
+add("recalibrated_weights", "fitted fits", """SELECT t.template_id, f.threshold, true AS calibrated, t.dim,
+    CASE WHEN f.enough THEN t.weight ELSE t.default_weight END AS weight
+    FROM fitted t JOIN fits f ON f.template_id = t.template_id""")
 _CELLS = """count(*) AS n, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND NOT p) AS tn,
     count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn"""
 _RATES = """n, tp, tn, fp, fn, round((tp + tn) / n, 4) AS accuracy, round(tp / nullif(tp + fp, 0), 4) AS precision,
@@ -543,6 +546,11 @@ add("sample_sync", "content tasks pool", f"""SELECT sha256('sample:' || c.id) AS
     'auto' AS source, 'sft' AS purpose, t.kp AS knowledge_point, sha256(c.payload) AS payload,
     '{{"qc_score":' || c.qc_score::varchar || ',"status":"' || c.status || '"}}' AS meta
     FROM content c LEFT JOIN tasks t ON t.id = c.task_id WHERE {_FRESH}""")
+add("pool_after_sync", "content tasks pool", f"""SELECT id, template_id, knowledge_point, row_number() OVER w AS rank FROM (
+        SELECT id, template_id, knowledge_point, created_at FROM pool WHERE purpose = 'fewshot'
+        UNION ALL SELECT sha256('sample:' || c.id), c.template_id, t.kp, TIMESTAMP '2030-01-01'
+        FROM content c LEFT JOIN tasks t ON t.id = c.task_id WHERE {_FRESH})
+    WINDOW w AS (PARTITION BY template_id, knowledge_point ORDER BY created_at DESC, id DESC) QUALIFY rank <= 3""")
 add("sync_counts", "content pool", f"""SELECT count(*) AS added, count(*) + (SELECT count(*) FROM pool) AS total
     FROM content c WHERE {_FRESH}""")
 add("fewshot_topk", "pool", """SELECT id, template_id, knowledge_point, row_number() OVER w AS rank FROM pool
@@ -610,16 +618,20 @@ def _masked(column: str) -> str:
     )
 
 
-def _redacted(column: str) -> str:
-    m = _masked(column)
-    return f"CASE WHEN length({m}) > 2000 THEN substr({m}, 1, 2000) || '...[truncated]' ELSE {m} END"
+def _cut(masked: str, most: int) -> str:
+    return f"CASE WHEN length({masked}) > {most} THEN substr({masked}, 1, {most}) || '...[truncated]' ELSE {masked} END"
+
+
+def _redact_sql(r: str) -> str:
+    return f"""SELECT doc_id, r <> text AS changed, length(r)::int AS chars, sha256(r) AS digest
+    FROM (SELECT doc_id, text, {r} AS r FROM documents)"""
 
 
-add("redact_text", "", f"""SELECT doc_id, r <> text AS changed, length(r)::int AS chars, sha256(r) AS digest
-    FROM (SELECT doc_id, text, {_redacted('text')} AS r FROM documents)""")
+add("redact_text", "", _redact_sql(_masked("text")))
+add("redact_text_cut", "", _redact_sql(_cut(_masked("text"), 2000)))
 add("redact_json", "", f"""SELECT doc_id, '[REDACTED]' AS api_key, '[REDACTED]' AS password, n_chars AS token_count,
-    sha256({_redacted('text')}) AS digest FROM documents""")
-add("redact_map", "", f"""SELECT doc_id, '[REDACTED]' AS token, sha256({_redacted('text')}) AS digest FROM documents""")
+    sha256({_masked('text')}) AS digest FROM documents""")
+add("redact_map", "", f"""SELECT doc_id, '[REDACTED]' AS token, sha256({_masked('text')}) AS digest FROM documents""")
 add("secret_scan", "", f"""SELECT doc_id, kind, count(*) AS hits FROM (
         SELECT doc_id, 'bearer' AS kind FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{BEARER}', 1)) FROM h)
         UNION ALL SELECT doc_id, replace(lower(k), '-', '_') FROM (SELECT doc_id, unnest(regexp_extract_all(
@@ -640,6 +652,13 @@ add("first_of_batch", "", """SELECT event_id AS id, sha256(event_type || '|{"k":
     || '}|v1') AS request_hash, epoch_us(ts) AS created_at FROM events
     QUALIFY row_number() OVER (PARTITION BY request_hash ORDER BY ts, event_id) = 1""")
 add("validate_payload", "found", "SELECT id, path, keyword, input FROM found")
+add("validate_by_template", "found shapes", """SELECT id, 'tpl_' || k % 3 AS template_id, path, keyword, input FROM (
+        SELECT f.id, s.k, f.path, f.keyword, f.input FROM found f JOIN shapes s ON s.id = f.id WHERE s.k % 3 = 0
+        UNION ALL SELECT id, k, '', 'json', payload FROM shapes WHERE k % 3 <> 0 AND k % 13 = 0
+        UNION ALL SELECT id, k, 'result', 'required', CASE WHEN k % 6 = 1 THEN '{"items":[{"x":1},' || sorted || ']}' ELSE sorted END
+            FROM shapes WHERE k % 3 = 1 AND k % 13 <> 0 AND k % 6 <> 0
+        UNION ALL SELECT id, k, 'meta.level', 'maximum', (size % 12)::varchar FROM shapes
+            WHERE k % 3 = 2 AND plain AND size % 12 > 5)""")
 _WHAT = """CASE keyword WHEN 'json' THEN 'not a JSON text' WHEN 'required' THEN 'missing ' || path
     WHEN 'minLength' THEN 'at least 10 characters' WHEN 'maxLength' THEN 'at most 14 characters'
     WHEN 'minItems' THEN 'at least 2 items' WHEN 'maxItems' THEN 'at most 4 items'

@@ -6,6 +6,7 @@ that they can be compared with another engine.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -17,12 +18,14 @@ from ..operators import (
 )
 from ..schemas import CONTENT_MOVES
 from ..sources import derive as d
+from ..sources.tables import as_table
 from . import dashboards
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 EVENTS_AS_OF = datetime(2024, 1, 31, tzinfo=timezone.utc)
+LOOP_AS_OF = datetime(2030, 1, 1, tzinfo=timezone.utc)
 TASKS_AS_OF = datetime(1998, 1, 1, tzinfo=timezone.utc)
 
 
@@ -326,6 +329,16 @@ def effective_weights(s, p):
     return rows.select("template_id", "threshold", "calibrated", F.explode("weights").alias("dim", "weight"))
 
 
+@query
+def recalibrated_weights(s, p):
+    """Calibrate, append to the log, read the weights in force."""
+    templates = d.quality_templates(s, p)
+    rows = calibration.calibrate(d.quality_record(s, p), d.content_item(s, p), templates)
+    log = d.calibrations(s, p).unionByName(as_table(rows, "quality_calibration", LOOP_AS_OF, ["template_id"]), allowMissingColumns=True)
+    rows = quality.effective_weights(templates, log)
+    return rows.select("template_id", "threshold", "calibrated", F.explode("weights").alias("dim", "weight"))
+
+
 @query
 def effective_weights_asof(s, p):
     records = quality.quality_content_join(d.quality_record(s, p), d.content_item(s, p))
@@ -442,6 +455,15 @@ def sync_counts(s, p):
     return samples.sync_counts(content, fresh, pool)
 
 
+@query
+def pool_after_sync(s, p):
+    """Sync, append to the pool, pick few-shot samples from it."""
+    pool = d.sample_pool(s, p)
+    fresh = samples.sample_sync(d.content_item(s, p), d.generation_task(s, p), pool, purpose="fewshot")
+    pool = pool.unionByName(as_table(fresh, "sample_pool", LOOP_AS_OF), allowMissingColumns=True)
+    return samples.fewshot_topk(pool).select("id", "template_id", "knowledge_point", "rank")
+
+
 @query
 def fewshot_topk(s, p):
     rows = samples.fewshot_topk(d.sample_pool(s, p))
@@ -537,13 +559,21 @@ def render_prompts(s, p):
 
 
 # --- hygiene ----------------------------------------------------------------------------------------
+def _redacted(docs: DataFrame, max_len: int | None) -> DataFrame:
+    rows = docs.select("doc_id", "text", redaction.redact_text(F.col("text"), max_len).alias("r"))
+    return rows.select(
+        "doc_id", (F.col("r") != F.col("text")).alias("changed"), F.length("r").alias("chars"), F.sha2("r", 256).alias("digest")
+    )
+
+
 @query
 def redact_text(s, p):
-    masked = redaction.redact_text(F.col("text"))
-    return _documents(s, p).select(
-        "doc_id", (masked != F.col("text")).alias("changed"), F.length(masked).alias("chars"),
-        F.sha2(masked, 256).alias("digest"),
-    )
+    return _redacted(_documents(s, p), None)
+
+
+@query
+def redact_text_cut(s, p):
+    return _redacted(_documents(s, p), redaction.STORED_LENGTH)
 
 
 @query
@@ -650,6 +680,15 @@ def validate_payload(s, p):
     return rows.select("id", F.explode("violations").alias("v")).select("id", "v.path", "v.keyword", "v.input")
 
 
+@query
+def validate_by_template(s, p):
+    rows = d.payloads(s, p).withColumn("template_id", F.concat(F.lit("tpl_"), (F.col("id").cast("long") % 3).cast("string")))
+    schemas = (d.PAYLOAD_SCHEMA, {"type": "object", "required": ["result"]}, d.LEVEL_SCHEMA)
+    texts = F.array(*(F.struct(F.lit(f"tpl_{i}").alias("template_id"), F.lit(json.dumps(x)).alias("output_schema")) for i, x in enumerate(schemas)))
+    found = validate.validate_by_template(rows, "payload", s.range(1).select(F.inline(texts)))
+    return found.select("id", "template_id", F.explode("violations").alias("v")).select("id", "template_id", "v.path", "v.keyword", "v.input")
+
+
 @query
 def validate_params(s, p):
     rows = validate.validate_params(d.generation_task(s, p), "params", d.PARAMS_SCHEMA)
@@ -842,5 +881,4 @@ def lifecycle_durations(s, p):
 
 @query
 def transition_audit(s, p):
-    moves = s.createDataFrame(CONTENT_MOVES, "from_status string, to_status string")
-    return lifecycle.transition_audit(d.status_log(s, p), moves)
+    return lifecycle.transition_audit(d.status_log(s, p), CONTENT_MOVES)

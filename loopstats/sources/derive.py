@@ -433,6 +433,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Output schema of the derived payloads and input schema of the derived task parameters.
+LEVEL_SCHEMA = {"properties": {"meta": {"type": "object", "properties": {"level": {"type": "integer", "maximum": 5}}}}}
 PAYLOAD_SCHEMA = {
     "type": "object",
     "properties": {

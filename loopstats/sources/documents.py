@@ -17,16 +17,16 @@ def _decode_fallback(blobs: pd.Series) -> pd.Series:
     return blobs.map(lambda b: None if b is None else bytes(b).decode("gb18030", errors="replace"))
 
 
-def _reject_reason(extension: Column, length: Column) -> Column:
+def _reject_reason(extension: Column, length: Column, max_bytes: int) -> Column:
     return (
         F.when(length == 0, "empty")
-        .when(length > MAX_BYTES, "too_large")
+        .when(length > max_bytes, "too_large")
         .when(extension.isin(*PARSER_EXTENSIONS), "no_parser")
         .when(~extension.isin(*TEXT_EXTENSIONS), "unsupported_extension")
     )
 
 
-def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_documents(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
     """(ok, rejected) of all files under a folder.
 
     The size guard is pushed into the file source, so oversized files and the contents of rejects
@@ -34,10 +34,10 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     those give no row at all.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return screen_documents(files)
+    return screen_documents(files, max_bytes)
 
 
-def screen_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def screen_documents(files: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
     """(ok, rejected) of a table of files (path, length, content). Only bytes that are not UTF-8
     go through Python."""
     name = F.element_at(F.split("path", "/"), -1)
@@ -50,13 +50,13 @@ def screen_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B"))).alias("source_name"),
         extension.alias("extension"),
     )
-    reason = _reject_reason(F.col("extension"), F.col("length"))
+    reason = _reject_reason(F.col("extension"), F.col("length"), max_bytes)
     rejected = named.select("path", "source_name", "length", reason.alias("reason")).filter(
         "reason is not null"
     )
     readable = named.filter(
         (F.col("length") > 0)
-        & (F.col("length") <= MAX_BYTES)
+        & (F.col("length") <= max_bytes)
         & F.col("extension").isin(*TEXT_EXTENSIONS)
     )
     utf8 = F.is_valid_utf8(F.col("content").cast("string"))

@@ -14,10 +14,15 @@ log = logging.getLogger(__name__)
 EXPORT_KEYS = ("template_id", "source", "purpose", "knowledge_point", "payload", "meta")
 
 
-def _as_variant(name: str) -> Column:
-    """JSON objects and arrays as JSON; any other text stays a string."""
-    parsed = F.when(F.ltrim(name).rlike(r"^[\[{]"), F.try_parse_json(name))
-    return F.coalesce(parsed, F.col(name).cast("variant"))
+def _as_json(name: str) -> Column:
+    """JSON objects and arrays as they are stored, spelling and order kept; any other text as a JSON string."""
+    stored = F.ltrim(name).rlike(r"^[\[{]") & F.try_parse_json(name).isNotNull()
+    # line breaks of valid JSON stand between its values, never inside a string
+    line = F.translate(name, "\r\n", "  ")
+    field = F.to_json(F.struct(F.col(name)), {"ignoreNullFields": "false"})
+    start = len(name) + 5  # behind {"name":
+    value = F.substring(field, F.lit(start), F.length(field) - start)
+    return F.when(stored, line).otherwise(value)
 
 
 def export_rows(
@@ -27,9 +32,14 @@ def export_rows(
     rows = matching(pool, filters or {}).orderBy(F.desc("created_at"), F.desc("id"))
     if cap is not None:
         rows = rows.limit(cap)
-    return rows.select(
-        *EXPORT_KEYS[:4], *(_as_variant(name).alias(name) for name in EXPORT_KEYS[4:])
-    )
+    return rows.select(*EXPORT_KEYS)
+
+
+def export_lines(rows: DataFrame) -> DataFrame:
+    """One JSON object per row, in the column `value`; stored payloads are spliced in unparsed."""
+    head = F.to_json(F.struct(*EXPORT_KEYS[:4]), {"ignoreNullFields": "false"})
+    tail = [F.concat(F.lit(f',"{name}":'), _as_json(name)) for name in EXPORT_KEYS[4:]]
+    return rows.select(F.concat(F.rtrim(head, F.lit("}")), *tail, F.lit("}")).alias("value"))
 
 
 def export_jsonl(
@@ -39,9 +49,7 @@ def export_jsonl(
     cap: int | None = None,
 ) -> None:
     """One JSON object per line; part files sort by name in the row order."""
-    export_rows(pool, filters, cap).write.mode("overwrite").option(
-        "ignoreNullFields", "false"
-    ).json(path)
+    export_lines(export_rows(pool, filters, cap)).write.mode("overwrite").text(path)
 
 
 def parquet_sink(path: str, day: str | None = None) -> Callable[[DataFrame, int], None]:
@@ -63,18 +71,26 @@ def write_traces(
     checkpoint: str,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Every micro-batch to every sink; a failing sink is logged and the others go on."""
+    """Every micro-batch to every sink.
+
+    All sinks are tried; if one failed the batch fails, so its offsets are not committed and the next start brings it
+    again to all of them. Sinks must replace what they wrote for a batch, as `parquet_sink` does.
+    """
 
     def fan_out(batch: DataFrame, batch_id: int) -> None:
+        failed = []
         batch.persist()
         try:
             for name, emit in sinks.items():
                 try:
                     emit(batch, batch_id)
-                except Exception:
+                except Exception as error:
                     log.warning("sink %s failed on batch %s", name, batch_id, exc_info=True)
+                    failed.append((name, error))
         finally:
             batch.unpersist()
+        if failed:
+            raise RuntimeError(f"batch {batch_id} failed in {', '.join(n for n, _ in failed)}") from failed[0][1]
 
     writer = stream.writeStream.foreachBatch(fan_out).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.start()

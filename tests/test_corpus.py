@@ -139,3 +139,12 @@ def test_chunks_in_sql(spark):
     register(spark)
     rows = spark.sql("SELECT d.id, c.* FROM VALUES (1, repeat('a', 25)), (2, null) d(id, t), LATERAL chunks(d.t, 10, 2) c")
     assert sorted((r.id, r.chunk_index, len(r.content)) for r in rows.collect()) == [(1, 0, 10), (1, 1, 10), (1, 2, 9)]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_vectors_of_other_lengths_or_none_never_match(spark, limit):
+    schema = "id bigint, embedding array<float>"
+    q = spark.createDataFrame([(1, None), (2, []), (3, [1.0, 0.0]), (4, [0.0, 1.0, 5.0]), (5, [0.0, 0.0])], schema).coalesce(1)
+    c = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0, 5.0]), (3, [2.0]), (4, None), (5, [3.0, 4.0]), (6, [None, 1.0])], schema).coalesce(1)
+    got = knowledge.knn_topk(q, c, 3, (), max_broadcast_bytes=limit)
+    assert sorted((r.query_id, r.chunk_id, r.similarity) for r in got.collect()) == [(3, 1, 1.0), (3, 5, 0.6), (4, 2, 1.0)]

@@ -1,55 +1,81 @@
-"""Blocks of a hot group give what one window gives, and do not put the group into one task."""
+"""Running aggregates over sub-blocks give what one pass over the sorted group gives, and spread a group over tasks."""
+
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from loopstats.operators import cost, governance, lifecycle, listing, quality
-from loopstats.operators.ordered import BLOCK, ordered_groups
+from loopstats.operators.ordered import BLOCK, ordered_groups, running
 from loopstats.sources import derive as d
 
 
-def rows(df):
-    return sorted(map(tuple, df.collect()), key=repr)
+def jobs(spark):
+    return set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+
+
+OPERATORS = {
+    "attempt": lambda s, p: cost.attempt_number(d.trace_log(s, p)),
+    "health": lambda s, p: cost.model_health(d.trace_log(s, p)),
+    "budget": lambda s, p: cost.budget_guard(d.trace_log(s, p), d.model_budgets(s, p), 0.05),
+    "replay": lambda s, p: listing.trace_replay(d.trace_log(s, p)),
+    "changes": lambda s, p: governance.config_change_log(d.config_snapshots(s, p)),
+    "transitions": lambda s, p: lifecycle.transition_audit(d.status_log(s, p), [("pending_qc", "passed")]),
+    "asof": lambda s, p: quality.effective_weights_asof(
+        d.quality_record(s, p).join(d.content_item(s, p).select(F.col("id").alias("item_id"), "template_id"), "item_id")
+        .select("id", "template_id", "created_at"),
+        d.calibrations(s, p),
+    ),
+}
 
 
-@pytest.mark.parametrize(
-    "operator",
-    [
-        lambda s, p, hot: cost.attempt_number(d.trace_log(s, p), hot).select("id", "stage", "attempt"),
-        lambda s, p, hot: cost.model_health(d.trace_log(s, p), hot_rows=hot),
-        lambda s, p, hot: cost.budget_guard(d.trace_log(s, p), d.model_budgets(s, p), 0.05, hot),
-        lambda s, p, hot: listing.trace_replay(d.trace_log(s, p), hot_rows=hot).select("id", "stage", "step"),
-        lambda s, p, hot: lifecycle.transition_audit(
-            d.status_log(s, p), s.createDataFrame([("pending_qc", "passed")], "from_status string, to_status string"), hot
-        ),
-        lambda s, p, hot: governance.config_change_log(d.config_snapshots(s, p), hot),
-        lambda s, p, hot: quality.effective_weights_asof(
-            d.quality_record(s, p).join(d.content_item(s, p).select(F.col("id").alias("item_id"), "template_id"), "item_id")
-            .select("id", "template_id", "created_at"),
-            d.calibrations(s, p), hot,
-        ).select("id", "effective_threshold"),
-    ],
-    ids=["attempt", "health", "budget", "replay", "transitions", "changes", "asof"],
-)
-def test_blocked_equals_plain(spark, sf_dir, operator):
-    assert rows(operator(spark, sf_dir, 0)) == rows(operator(spark, sf_dir, 10**9))
+@pytest.mark.parametrize("name", OPERATORS)
+def test_building_runs_nothing_but_footers(spark, sf_dir, name):
+    OPERATORS[name](spark, sf_dir)  # footers may be read by small jobs of the readers
+    for source in ("trace_log", "model_budgets", "config_snapshots", "status_log", "quality_record", "content_item", "calibrations"):
+        getattr(d, source)(spark, sf_dir)
+    before = jobs(spark)
+    frame = OPERATORS[name](spark, sf_dir)
+    tables = len(set(frame.inputFiles()))
+    assert len(jobs(spark) - before) <= 2 * tables + 2
+    assert "_block" not in frame.columns
 
 
-def test_hot_group_is_cut(spark):
-    one_key = spark.range(1000).select(F.lit("k").alias("key"), "id")
-    groups = ordered_groups(one_key, ["key"], ["id"], hot_rows=10)
-    sizes = [r["count"] for r in groups.rows.groupBy(BLOCK).count().collect()]
-    assert groups.blocked and len(sizes) == 4 and max(sizes) < 500
+def test_one_key_spreads(spark, sf_dir):
+    one = d.trace_log(spark, sf_dir).select(F.lit("k").alias("key"), "created_at", "id", "cost")
+    groups = ordered_groups(one, ["key"], ["created_at", "id"])
+    totals = running(groups, {"n": ("sum", F.lit(1)), "top": ("max", F.col("cost")), "seen": ("last", F.col("cost"))})
+    sizes = [r["count"] for r in totals.rows.groupBy(BLOCK).count().collect()]
+    assert len(sizes) > 100 and max(sizes) < sum(sizes) / 50
+    rows = totals.result().orderBy("created_at", "id").collect()
+    assert [r.n for r in rows] == list(range(1, len(rows) + 1))
+    top, seen = None, None
+    for r in rows:
+        top = r.cost if top is None or (r.cost is not None and r.cost > top) else top
+        seen = r.cost if r.cost is not None else seen
+        assert (r.top, r.seen) == (top, seen)
 
 
-def test_cold_groups_need_no_checkpoint(spark):
-    groups = ordered_groups(spark.range(10), ["id"], ["id"], hot_rows=10)
-    assert not groups.blocked
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_against_brute_force(spark, inclusive):
+    random.seed(4)
+    data = [(random.choice(["a", "b", None]), random.randrange(400_000), i, random.choice([None, 1, 5])) for i in range(300)]
+    frame = spark.createDataFrame(data, "key string, place bigint, id bigint, v bigint")
+    groups = ordered_groups(frame, ["key"], ["place", "id"])
+    got = running(groups, {"s": ("sum", F.col("v")), "m": ("max", F.col("v")), "l": ("last", F.col("v"))}, inclusive).result()
+    got = {r.id: (r.s, r.m, r.l) for r in got.collect()}
+    for key in ("a", "b", None):
+        done = []
+        for _, place, i, v in sorted((r for r in data if r[0] == key), key=lambda r: (r[1], r[2])):
+            past = [x for x in done + ([v] if inclusive else []) if x is not None]
+            assert got[i] == (sum(past), max(past, default=None), past[-1] if past else None)
+            done.append(v)
 
 
-def test_null_keys_survive_blocks(spark):
+def test_null_keys_and_times_survive(spark):
     data = [(None, 1), (None, 2), ("a", 3), (None, 4)] * 5
     log = spark.createDataFrame([(k, i) for i, (k, _) in enumerate(data)], "stage string, id bigint")
-    log = log.withColumns({"trace_id": F.lit("t"), "created_at": F.lit("2024-01-01").cast("timestamp")})
-    got = cost.attempt_number(log, hot_rows=0).groupBy("stage").agg(F.max("attempt").alias("n"))
-    assert {(r.stage, r.n) for r in got.collect()} == {(None, 15), ("a", 5)}
+    at = F.when(F.col("id") % 3 > 0, F.timestamp_seconds(F.col("id") * 4000))
+    log = log.withColumns({"trace_id": F.lit("t"), "created_at": at})
+    got = cost.attempt_number(log).groupBy("stage").agg(F.max("attempt").alias("n"), F.count_distinct("attempt").alias("d"))
+    assert {(r.stage, r.n, r.d) for r in got.collect()} == {(None, 15, 15), ("a", 5, 5)}

@@ -86,10 +86,23 @@ def test_export(spark, tmp_path):
     assert [list(x) for x in lines] == [list(sinks.EXPORT_KEYS)] * 3
     assert [x["payload"] for x in lines] == ["plain text", {"a": 1}, {"stem": "题", "n": [1, 2]}]
     assert lines[0]["meta"] is None and lines[0]["knowledge_point"] is None and lines[2]["meta"] == {"qc_score": 95}
+    stored = "".join(part.read_text() for part in sorted((tmp_path / "all").glob("part-*")))
+    assert '"payload":{"stem":"题","n":[1,2]},"meta":{"qc_score":95.0}}' in stored  # spelling and order as stored
     sinks.export_jsonl(pool(spark), str(tmp_path / "some"), {"source": "auto"}, cap=1)
     assert [x["payload"] for x in read_lines(tmp_path / "some")] == ["plain text"]
 
 
+def test_export_of_odd_payloads(spark, tmp_path):
+    odd = ['{"z":1e3,\n"a":"}"}', "[1.0]", "{broken", '"quoted"', "", "a\nb", "}}", "95"]
+    rows = [(str(i), "t}", "s", "p", "k}", x, x, i) for i, x in enumerate(odd)]
+    columns = "id string, template_id string, source string, purpose string, knowledge_point string, payload string, meta string, s bigint"
+    frame = spark.createDataFrame(rows, columns).withColumn("created_at", F.timestamp_seconds(-F.col("s")))
+    sinks.export_jsonl(frame.coalesce(1), str(tmp_path / "odd"))
+    lines = read_lines(tmp_path / "odd")
+    assert [x["payload"] for x in lines] == [{"z": 1000.0, "a": "}"}, [1.0], *odd[2:]]
+    assert all(x["meta"] == x["payload"] and x["knowledge_point"] == "k}" for x in lines)
+
+
 def test_chunks_and_append(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a" * 600)], "doc_id bigint, text string")
     vectors = spark.createDataFrame([], "doc_id bigint, chunk_index int, embedding array<float>")

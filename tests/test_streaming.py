@@ -40,13 +40,21 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-def test_ingest_redacts_prices_and_survives_a_bad_sink(spark, sf_dir, calls_dir, tmp_path):
-    def broken(batch, batch_id):
-        raise OSError("down")
+def test_ingest_redacts_prices_and_brings_a_failed_batch_again(spark, sf_dir, calls_dir, tmp_path):
+    down, keep = [1], parquet_sink(str(tmp_path / "a"))
 
-    sinks = {"broken": broken, "a": parquet_sink(str(tmp_path / "a")), "b": parquet_sink(str(tmp_path / "b"))}
+    def once_broken(batch, batch_id):
+        if down and down.pop():
+            raise OSError("down")
+        keep(batch, batch_id)
+
+    sinks = {"a": once_broken, "b": parquet_sink(str(tmp_path / "b"))}
     prices = d.model_prices(spark, sf_dir)
-    query = jobs.st_trace_ingest(stream(spark, calls_dir), prices, sinks, str(tmp_path / "ck"))
+    start = lambda: jobs.st_trace_ingest(stream(spark, calls_dir), prices, sinks, str(tmp_path / "ck"))
+    with pytest.raises(Exception, match="batch 0 failed in a"):
+        start().awaitTermination(300)
+    assert not (tmp_path / "a").exists()
+    query = start()
     query.awaitTermination(300)
     assert query.exception() is None
     a, b = (spark.read.parquet(str(tmp_path / n)) for n in "ab")
