@@ -68,8 +68,23 @@ def _digests(words: C.Words) -> np.ndarray:
     return out
 
 
-def _signed(docs: DataFrame, size: int, core: int) -> DataFrame:
-    """(doc_id, n_words, k1, k2, cores): digest of the words in order and the distinct minimizers."""
+def _keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, k1, k2): digest of the words in order."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b in C.chunks(batch.column(1)):
+                words = C.Words(*C.text_bytes(batch.column(1).slice(a, b - a)))
+                keys = _digests(words).view(np.int64)
+                columns = [pa.array(words.n, pa.int64()), *(pa.array(np.ascontiguousarray(keys[:, i])) for i in (0, 1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], ["doc_id", "n_words", "k1", "k2"])
+
+    return docs.mapInArrow(run, "doc_id long, n_words long, k1 long, k2 long")
+
+
+def _cores(docs: DataFrame, size: int, core: int) -> DataFrame:
+    """(doc_id, k1, cores): the distinct minimizers of each text. They are as large as a third of the text, and cheap to
+    make, so they are made again where they are needed rather than stored."""
 
     def run(batches):
         for batch in batches:
@@ -86,12 +101,11 @@ def _signed(docs: DataFrame, size: int, core: int) -> DataFrame:
                 new[1:] = (low[1:] != low[:-1]) | (rows[1:] != rows[:-1])
                 rows, low = rows[new], low[new]
                 offsets = np.searchsorted(rows, np.arange(b - a + 1)).astype(np.int32)
-                keys = _digests(words).view(np.int64)
                 cores = pa.ListArray.from_arrays(pa.array(offsets), pa.array(low.view(np.int64)))
-                columns = [pa.array(words.n, pa.int64()), *(pa.array(np.ascontiguousarray(keys[:, i])) for i in (0, 1)), cores]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], ["doc_id", "n_words", "k1", "k2", "cores"])
+                k1 = pa.array(np.ascontiguousarray(_digests(words)[:, 0]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), k1, cores], ["doc_id", "k1", "cores"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, k1 long, k2 long, cores array<long>")
+    return docs.mapInArrow(run, "doc_id long, k1 long, cores array<long>")
 
 
 def choose_prefixes(docs: DataFrame, size: int, share: float = SHARE, sample: int = SAMPLE) -> list[np.ndarray]:
@@ -134,14 +148,14 @@ def repeats(docs: DataFrame, folder: str, size: int = SIZE, core: int = CORE) ->
 
     `docs`: (id, words): texts by id, ids not null. Runs of one document may touch or overlap.
     """
-    signed = C.cut(_signed(docs, size, core), folder, "signed")
-    long = signed.where(F.col("n_words") >= size)
-    firsts = long.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
-    tagged = long.join(firsts, ["k1", "k2"])
-    copies = tagged.where("doc_id > least").select("doc_id", F.lit(0).alias("at"), (F.col("n_words") - size + 1).cast("int").alias("n"))
-    cores = tagged.where("doc_id = least").select("doc_id", F.explode("cores").alias("core"))
+    keys = C.cut(_keys(docs), folder, "keys").where(F.col("n_words") >= size)
+    firsts = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
+    copies = C.cut(keys.join(firsts, ["k1", "k2"]).where("doc_id > least").select("doc_id", "k1", "n_words"), folder, "copies")
+    cores = _cores(docs, size, core).join(copies.select("doc_id", "k1"), ["doc_id", "k1"], "left_anti")
+    cores = cores.select("doc_id", F.explode("cores").alias("core"))
     shared = cores.groupBy("core").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("core")
     wanted = cores.join(shared, "core").groupBy("doc_id").agg(F.collect_set("core").alias("cores"))
+    whole = copies.select("doc_id", F.lit(0).alias("at"), (F.col("n_words") - size + 1).cast("int").alias("n"))
     heavy = choose_prefixes(docs, size)
 
     def suffixes(batches):
@@ -208,7 +222,7 @@ def repeats(docs: DataFrame, folder: str, size: int = SIZE, core: int = CORE) ->
     rows = docs.join(wanted, docs.id == wanted.doc_id).select("id", "words", "cores")
     sent = rows.mapInArrow(suffixes, "g long, node long, doc_id long, at int, n int")
     nodes = sent.repartition("g").sortWithinPartitions("g", "node", "doc_id")
-    return nodes.mapInArrow(subtrees, "doc_id long, at int, n int").union(copies)
+    return nodes.mapInArrow(subtrees, "doc_id long, at int, n int").union(whole)
 
 
 def without_repeats(docs: DataFrame, folder: str, size: int = SIZE, core: int = CORE) -> DataFrame:
