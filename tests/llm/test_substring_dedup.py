@@ -42,7 +42,7 @@ def test_one_passage_in_every_text(spark, folder):
     rows = [(i, " ".join(cases.words(rng, 20, 9000)) + f" {passage} " + " ".join(cases.words(rng, 14, 9000))) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     assert result(B.without_repeats(docs, folder)) == sorted(brute(rows), key=repr)
-    nodes = B.repeats(docs, C.scratch(spark))
+    nodes = B.repeats(docs.toDF("id", "words"), C.scratch(spark))
     assert nodes.count() < 300 * 9
 
 
