@@ -1,7 +1,8 @@
 """Personal data by weak supervision.
 
 Candidates are found by plain expressions (`base`: e-mail, IP, card and phone in their strict forms) and by looser ones
-(written-out e-mail addresses, IPv6, cards of 13 to 15 digits, phone numbers without a plus). Five labelers vote for (1),
+(written-out e-mail addresses, IPv6, cards of 15 digits, phone numbers without a plus, and cards and phone numbers
+whose strict form ran on into digits behind them and failed). Five labelers vote for (1),
 against (-1) or abstain (0) on every candidate: the strict expression, a check of its digits or parts, a gazetteer, the
 words before it, and whether it stands alone. Expectation-maximisation over the counts of vote patterns estimates how
 reliable each labeler is and how likely each pattern is personal data; these probabilities train a logistic classifier
@@ -35,8 +36,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOSE = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]++)+"),
     "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
-    "card": re.compile(r"(?<![0-9A-Za-z+.-])[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}(?![0-9A-Za-z])"),
-    "phone": re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])"),
+    "card": re.compile(
+        r"(?<![0-9A-Za-z+.-])(?:[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}|[0-9]{16}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9A-Za-z]|[.-][0-9])"
+    ),
+    "phone": re.compile(
+        r"(?<![0-9A-Za-z+.-])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])"
+    ),
 }
 #: Gazetteers: top-level domains, country codes, first digits of cards, words before a candidate.
 DOMAINS = set("com org net edu gov info de fr es uk eu io it nl ch at be pl us ca br ru jp cn in au".split())
