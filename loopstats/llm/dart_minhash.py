@@ -268,8 +268,9 @@ def near_duplicates(
     keyed = reps.select(F.explode("bands").alias("band"), "rep")
     shared = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = C.cut(keyed.join(shared, "band"), folder, "buckets")
+    # a merge join at every size: the ids grow with the table, and a plan that is tried small is the one that runs large
     wanted = met.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted.hint("merge"), "doc_id")
     texts = C.cut(texts.groupBy("doc_id").agg(F.min("text").alias("text")), folder, "candidates")
 
     score = met.groupBy("rep").agg(F.sum("n").alias("score"))
