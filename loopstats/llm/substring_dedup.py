@@ -133,14 +133,14 @@ def choose_prefixes(docs: DataFrame, size: int, share: float = SHARE, sample: in
 
 
 def _group(hashes: np.ndarray, at: np.ndarray, size: int, heavy: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Group (fingerprint of the variable-length prefix) and node (of all `size` words) of suffixes."""
+    """Group (of the variable-length prefix: 16 bits of its fingerprint) and node (of all `size` words) of suffixes."""
     group = np.zeros(len(at), np.uint64)
     open_ = np.ones(len(at), bool)
     for d, value in enumerate(_prefixes(hashes, at, size)):
         group[open_] = value[open_]
         if d < size - 1:
             open_ &= np.isin(value, heavy[d]) if len(heavy[d]) else False
-    return group, C.mix(value ^ MIX2)
+    return group & np.uint64(0xFFFF), C.mix(value ^ MIX2)
 
 
 def repeats(docs: DataFrame, folder: str, size: int = SIZE, core: int = CORE) -> DataFrame:
@@ -151,7 +151,7 @@ def repeats(docs: DataFrame, folder: str, size: int = SIZE, core: int = CORE) ->
     keys = C.cut(_keys(docs), folder, "keys").where(F.col("n_words") >= size)
     firsts = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
     copies = C.cut(keys.join(firsts, ["k1", "k2"]).where("doc_id > least").select("doc_id", "k1", "n_words"), folder, "copies")
-    cores = _cores(docs, size, core).join(copies.select("doc_id", "k1"), ["doc_id", "k1"], "left_anti")
+    cores = _cores(docs, size, core).join(copies.select("doc_id", "k1").hint("merge"), ["doc_id", "k1"], "left_anti")
     cores = cores.select("doc_id", F.explode("cores").alias("core"))
     shared = cores.groupBy("core").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("core")
     wanted = cores.join(shared, "core").groupBy("doc_id").agg(F.collect_set("core").alias("cores"))
@@ -193,7 +193,7 @@ def repeats(docs: DataFrame, folder: str, size: int = SIZE, core: int = CORE) ->
                 else:
                     length = np.zeros(0, np.int64)
                 columns = (
-                    np.concatenate([group[send], C.mix(doc[runs].astype(np.uint64))]).view(np.int64),
+                    np.concatenate([group[send], C.mix(doc[runs].astype(np.uint64)) & np.uint64(0xFFFF)]).astype(np.int32),
                     np.concatenate([node[send], np.zeros(len(runs), np.uint64)]).view(np.int64),
                     np.concatenate([doc[send], doc[runs]]),
                     np.concatenate([place[send], place[runs]]).astype(np.int32),
@@ -220,7 +220,7 @@ def repeats(docs: DataFrame, folder: str, size: int = SIZE, core: int = CORE) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "at", "n"])
 
     rows = docs.join(wanted, docs.id == wanted.doc_id).select("id", "words", "cores")
-    sent = rows.mapInArrow(suffixes, "g long, node long, doc_id long, at int, n int")
+    sent = rows.mapInArrow(suffixes, "g int, node long, doc_id long, at int, n int")
     nodes = sent.repartition("g").sortWithinPartitions("g", "node", "doc_id")
     return nodes.mapInArrow(subtrees, "doc_id long, at int, n int").union(whole)
 
