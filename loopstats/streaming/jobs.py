@@ -14,10 +14,14 @@ from ..functions.costing import call_cost
 from ..functions.redaction import redact_json
 from ..operators.cost import price_lookup
 from ..operators.lifecycle import final_status
+from ..session import ROCKSDB
 from ..sources.sinks import write_traces
 from .processors import BudgetAlert, ModelHealth, TaskProgress
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+#: With state that ends, Spark runs batches without data as well, so such a stream needs a processing-time trigger;
+#: `availableNow` ends only with NO_DATA_BATCHES off.
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def clean_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
@@ -60,10 +64,13 @@ def st_event_dedup(stream: DataFrame, watermark: str = "1 hour", key: str = "eve
     return stream.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark([key])
 
 
-def _stateful(stream: DataFrame, key: str, processor, schema: str, mode: str = "Append") -> DataFrame:
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def _stateful(
+    stream: DataFrame, key: str, processor, schema: str, mode: str = "Append", ttl_ms: int | None = None
+) -> DataFrame:
+    if stream.sparkSession.conf.get(STATE_STORE, None) != ROCKSDB:
+        raise RuntimeError(f"set {STATE_STORE} to {ROCKSDB}, as build_session does")
     return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode="None"
+        statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode="ProcessingTime" if ttl_ms else "None"
     )
 
 
@@ -78,25 +85,37 @@ def st_model_health(stream: DataFrame, threshold: int = 2, cooldown_seconds: int
     return _stateful(columns, "model", ModelHealth(threshold, cooldown_seconds), schema)
 
 
-def st_budget_alert(stream: DataFrame, budget: float) -> DataFrame:
-    """One row per task, at the call that takes its spend to the budget. State: spend and flag."""
+def st_budget_alert(
+    stream: DataFrame, budget: float = 0.0, budgets: DataFrame | None = None, ttl_ms: int | None = None
+) -> DataFrame:
+    """One row per task, at the call that takes its spend to the budget.
+
+    `budgets` (model, budget_per_task) goes before the global `budget`; 0 is no budget. State: spend and flag, kept
+    until `ttl_ms` after the task's last call, or for good.
+    """
     schema = "task_id string, id bigint, spent double, created_at timestamp"
-    columns = stream.filter("task_id is not null").select("task_id", "id", "cost", "created_at")
-    return _stateful(columns, "task_id", BudgetAlert(budget), schema)
+    calls, limit = stream.filter("task_id is not null"), F.lit(float(budget))
+    if budgets is not None:
+        named = budgets.select(F.col("model").alias("_model"), F.col("budget_per_task").cast("double").alias("_own"))
+        calls = calls.join(named, F.col("model") == F.col("_model"), "left")
+        limit = F.coalesce(F.when(F.col("_own") != 0, F.col("_own")), limit)
+    columns = calls.select("task_id", "id", "cost", "created_at", limit.alias("budget"))
+    return _stateful(columns, "task_id", BudgetAlert(ttl_ms), schema, ttl_ms=ttl_ms)
 
 
-def st_task_progress(stream: DataFrame) -> DataFrame:
+def st_task_progress(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Progress per task from a stream of item states (task_id, item_index, status, updated_at).
 
     Update mode: a task's row comes again whenever one of its items moves. The state holds each
-    item's latest status and the counts, so a micro-batch costs only the items it touches.
+    item's latest status and the counts, so a micro-batch costs only the items it touches; it ends `ttl_ms` after the
+    last change, if that is given.
     """
     schema = (
         "task_id string, total bigint, succeeded bigint, failed bigint, awaiting_review bigint, "
         "cancelled bigint"
     )
     columns = stream.select("task_id", "item_index", "status", "updated_at")
-    counts = _stateful(columns, "task_id", TaskProgress(), schema, "Update")
+    counts = _stateful(columns, "task_id", TaskProgress(ttl_ms), schema, "Update", ttl_ms)
     counts = counts.withColumnRenamed("awaiting_review", "awaiting")
     finished = F.col("succeeded") + F.col("failed") + F.col("awaiting") + F.col("cancelled")
     counts = counts.withColumn("finished", finished)

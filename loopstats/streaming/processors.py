@@ -48,19 +48,23 @@ class ModelHealth(StatefulProcessor):
 
 
 class BudgetAlert(StatefulProcessor):
-    """First call at which a task's spend reaches the budget."""
+    """First call at which a task's spend reaches the budget of that call; a budget of 0 is none.
 
-    def __init__(self, budget: float):
-        self.budget = budget
+    A task's state ends `ttl_ms` after its last call; None: never.
+    """
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.spent = handle.getValueState("spent", "spent double, alerted boolean")
+        self.spent = handle.getValueState("spent", "spent double, alerted boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         calls = _in_order(rows)
         before, alerted = self.spent.get() if self.spent.exists() else (0.0, False)
         total = before + calls["cost"].fillna(0.0).cumsum()
-        over = total[total.round(6) >= self.budget].round(6)
+        reached = (calls["budget"] > 0) & (total.round(6) >= calls["budget"])
+        over = total[reached].round(6)
         self.spent.update((float(total.iloc[-1]), bool(alerted or len(over))))
         if len(over) and not alerted:
             at = over.index[0]
@@ -78,14 +82,20 @@ class BudgetAlert(StatefulProcessor):
 
 
 class TaskProgress(StatefulProcessor):
-    """Latest status per item of a task, and the number of items in each status."""
+    """Latest status per item of a task, and the number of items in each status.
+
+    State ends `ttl_ms` after its last change, so that must outlast the longest task; None: never.
+    """
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
 
     COUNTED = ("succeeded", "failed", "awaiting_review", "cancelled")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.items = handle.getMapState("items", "item_index int", "status string, at timestamp")
+        self.items = handle.getMapState("items", "item_index int", "status string, at timestamp", self.ttl_ms)
         counts = ", ".join(f"{s} bigint" for s in ("total", *self.COUNTED))
-        self.counts = handle.getValueState("counts", counts)
+        self.counts = handle.getValueState("counts", counts, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         names = ("total", *self.COUNTED)

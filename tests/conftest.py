@@ -7,7 +7,6 @@ ROOT = Path(__file__).resolve().parents[1]
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
 from loopstats.session import build_session  # noqa: E402
-from loopstats.streaming.jobs import ROCKSDB  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -19,7 +18,6 @@ def spark():
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "4g",
-            "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -114,6 +114,36 @@ def test_budget_alert_is_the_first_crossing(spark, calls_dir, tmp_path):
     assert wanted and rows(got) == wanted
 
 
+def test_budgets_by_model_go_before_the_global_one(spark, tmp_path):
+    path = str(tmp_path / "calls")
+    rows = [(1, "a", "m1", 0.4, 1), (2, "a", "m2", 0.4, 2), (3, "a", "m1", 0.4, 3), (4, "b", "m3", 0.9, 1), (5, "b", "m3", 0.2, 2), (6, "c", "m2", 9.0, 1), (7, None, "m1", 9.0, 1)]
+    frame = spark.createDataFrame(rows, "id bigint, task_id string, model string, cost double, s bigint")
+    frame.withColumn("created_at", F.timestamp_seconds("s")).drop("s").coalesce(1).write.parquet(path)
+    budgets = spark.createDataFrame([("m1", 0.5), ("m2", 100.0), ("m3", 0.0)], "model string, budget_per_task double")
+    got = run(jobs.st_budget_alert(stream(spark, path), 1.0, budgets), "append", tmp_path, "model_alerts")
+    assert sorted((r.task_id, r.id, r.spent) for r in got.collect()) == [("a", 3, 1.2), ("b", 5, 1.1)]
+
+
+def test_state_ends(spark, tmp_path):
+    """Spend is forgotten when the task has been quiet for longer than its state lives."""
+    path = tmp_path / "late"
+    spark.conf.set(jobs.NO_DATA_BATCHES, "false")
+    for i in range(2):
+        frame = spark.createDataFrame([(i, "t", "m", 0.6)], "id bigint, task_id string, model string, cost double")
+        frame.withColumn("created_at", F.timestamp_seconds(F.col("id"))).coalesce(1).write.mode("append").parquet(str(path))
+        for ttl, name in ((1, "short"), (10**9, "long")):
+            alerts = jobs.st_budget_alert(stream(spark, str(path)), 1.0, ttl_ms=ttl)
+            query = alerts.writeStream.format("parquet").option("path", str(tmp_path / name)).option(
+                "checkpointLocation", str(tmp_path / f"ck-{name}")
+            ).trigger(availableNow=True).start()
+            query.awaitTermination(120)
+            assert query.exception() is None
+    schema = "task_id string, id bigint, spent double, created_at timestamp"
+    count = lambda name: spark.read.schema(schema).parquet(str(tmp_path / name)).count()
+    spark.conf.unset(jobs.NO_DATA_BATCHES)
+    assert (count("short"), count("long")) == (0, 1)
+
+
 def test_task_progress_equals_batch(spark, tmp_path):
     path = str(tmp_path / "in")
     moves = [
