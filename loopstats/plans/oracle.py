@@ -801,3 +801,23 @@ add("transition_audit", "", """WITH log AS (SELECT user_id::varchar AS entity_id
     FROM (SELECT *, lag(status) OVER (PARTITION BY entity_id ORDER BY ts, id) AS was FROM log)
     WHERE was IS NOT NULL AND was || '>' || status NOT IN ('pending_qc>passed', 'pending_qc>rejected',
         'pending_qc>awaiting_review', 'awaiting_review>passed', 'awaiting_review>rejected', 'passed>published')""")
+
+# --- batch forms of sources, sinks and streams ---------------------------------------------------------
+add("clean_calls", "priced", """SELECT id, round(prompt_tokens::double / 1000 * prompt_rate
+    + completion_tokens::double / 1000 * completion_rate, 6) AS cost,
+    CASE WHEN scored THEN '{"dimension_scores":{"kp_match":1}}' ELSE '{"k":' || (prompt_tokens // 10) || '}' END AS output_data
+    FROM priced""")
+add("cost_windows", "calls", """SELECT epoch_us(date_trunc('day', created_at)::timestamp) AS start,
+    epoch_us(date_trunc('day', created_at)::timestamp + INTERVAL 1 DAY) AS "end", model, round(sum(cost), 6) AS total_cost,
+    count(*) AS calls FROM calls GROUP BY ALL""")
+add("export_lines", "pool", """SELECT sha256('{"template_id":' || to_json(p.template_id) || ',"source":' || to_json(p.source)
+    || ',"purpose":' || to_json(purpose) || ',"knowledge_point":' || coalesce(to_json(knowledge_point), 'null')
+    || ',"payload":' || to_json(d.text) || ',"meta":{"qc_score":' || (p.doc_id % 101) || '}}') AS digest
+    FROM pool p JOIN documents d ON d.doc_id = p.doc_id""")
+add("screen_documents", "", """SELECT '/in/doc%20' || doc_id || ext AS path, 'doc ' || doc_id AS source_name, length, reason,
+    CASE WHEN reason = 'ok' THEN sha256(text) END AS digest
+    FROM (SELECT *, CASE WHEN length = 0 THEN 'empty' WHEN length > 20000 THEN 'too_large' WHEN ext = '.pdf' THEN 'no_parser'
+            WHEN ext = '.bin' THEN 'unsupported_extension' ELSE 'ok' END AS reason
+        FROM (SELECT doc_id, text, strlen(text) AS length,
+                CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.MD' WHEN 2 THEN '.pdf' ELSE '.bin' END AS ext
+            FROM documents))""")

@@ -17,8 +17,9 @@ from ..operators import (
     agreement, calibration, cost, governance, hygiene, knowledge, lifecycle, listing, quality, samples, validate,
 )
 from ..schemas import CONTENT_MOVES
-from ..sources import derive as d
+from ..sources import derive as d, documents, sinks
 from ..sources.tables import as_table
+from ..streaming import jobs
 from . import dashboards
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -882,3 +883,34 @@ def lifecycle_durations(s, p):
 @query
 def transition_audit(s, p):
     return lifecycle.transition_audit(d.status_log(s, p), CONTENT_MOVES)
+
+
+# --- batch forms of sources, sinks and streams ---------------------------------------------------------
+@query
+def clean_calls(s, p):
+    rows = jobs.clean_calls(d.trace_log(s, p), d.model_prices(s, p))
+    return rows.select("id", "cost", "output_data")
+
+
+@query
+def cost_windows(s, p):
+    return jobs.st_cost_windows(d.trace_log(s, p))
+
+
+@query
+def export_lines(s, p):
+    return sinks.export_lines(sinks.export_rows(d.sample_pool(s, p))).select(F.sha2("value", 256).alias("digest"))
+
+
+@query
+def screen_documents(s, p):
+    """The documents as files of four kinds, none above 20,000 bytes."""
+    kind = F.get(F.array(*map(F.lit, (".txt", ".MD", ".pdf", ".bin"))), (F.col("doc_id") % 4).cast("int"))
+    content = F.encode("text", "utf-8")
+    files = d.table(s, p, "documents").select(
+        F.concat(F.lit("/in/doc%20"), F.col("doc_id").cast("string"), kind).alias("path"),
+        F.octet_length("text").cast("bigint").alias("length"), content.alias("content"),
+    )
+    ok, rejected = documents.screen_documents(files, 20_000)
+    ok = ok.select("path", "source_name", "length", F.lit("ok").alias("reason"), F.sha2("text", 256).alias("digest"))
+    return ok.unionByName(rejected.withColumn("digest", F.lit(None).cast("string")))
