@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .licenses import COPYRIGHT, KNOWN, SPELLINGS
 from .mixing import SEED
+from .quality_rules import ERROR, GRID, RISK, RULES
 from .spot_signatures import ANCHORS, CHAIN
 from .url_rules import METHOD
 
@@ -181,7 +182,61 @@ SELECT page_id, host, path, rule, CASE
 FROM ruled
 """
 
+_RATIOS = ("n_symbols / nullif(word_chars, 0)", "n_dup_lines / nullif(n_lines, 0)", "n_repeat_words / nullif(n_words, 0)", "n_capitals / nullif(word_chars, 0)")
+_SHARE = f"{RISK / len(RULES)!r}::DOUBLE"
+
+QUALITY = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, {WORDS} AS w FROM documents
+), listed AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM docs
+), windows AS (
+  SELECT r, pos, CASE WHEN count(*) OVER w = 8 THEN list(word) OVER w END AS seq FROM listed
+  WINDOW w AS (PARTITION BY r ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)
+), judged AS (
+  SELECT r, pos, CASE WHEN seq IS NOT NULL AND count(*) OVER (PARTITION BY r, seq) > 1 THEN 1 ELSE 0 END AS again FROM windows
+), covered AS (
+  SELECT r, max(again) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c FROM judged
+), repeated AS (SELECT r, sum(c)::BIGINT AS n_repeat_words FROM covered GROUP BY r
+), lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs
+), full_lines AS (
+  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), measured AS (
+  SELECT doc_id, lang, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+         len(regexp_extract_all(text, '[A-Z]')) AS n_capitals
+  FROM docs LEFT JOIN repeated USING (r) LEFT JOIN full_lines USING (r)
+), valued AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+         {", ".join(f"coalesce({v}, 0.0) AS v{i}" for i, v in enumerate(_RATIOS))}
+  FROM measured
+), good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1
+), held AS (
+  SELECT lang, unnest([0, 1, 2, 3]) AS rule, unnest([v0, v1, v2, v3]) AS v FROM valued JOIN good USING (doc_id) WHERE NOT base_failed
+), grid AS (SELECT * FROM (VALUES {", ".join(f"({i}, {c!r}::DOUBLE)" for i, c in enumerate(GRID))}) g(step, c)
+), counts AS (
+  SELECT lang, rule, step, c, count(*) AS n, count(*) FILTER (WHERE v > c) AS x FROM held, grid GROUP BY ALL
+), tested AS (
+  SELECT *, CASE WHEN x >= n * {_SHARE} THEN 1.0::DOUBLE
+    ELSE list_sum(list_transform(range(x + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+                                                             + i * ln({_SHARE}) + (n - i) * ln(1 - {_SHARE})))) END AS p,
+    {ERROR!r}::DOUBLE / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM held)) * {len(RULES)}) AS level
+  FROM counts
+), stopped AS (SELECT *, min(step) FILTER (WHERE p > level) OVER (PARTITION BY lang, rule) AS stop FROM tested
+), cuts AS (
+  SELECT lang, {", ".join(f"min(c) FILTER (WHERE rule = {i}) AS c{i}" for i in range(len(RULES)))} FROM stopped
+  WHERE step < coalesce(stop, {len(GRID)}) GROUP BY lang
+), ruled AS (
+  SELECT v.*, CASE {" ".join(f"WHEN v{i} > c{i} THEN '{r}'" for i, r in enumerate(RULES))} END AS rejected_by
+  FROM valued v LEFT JOIN cuts ON v.lang IS NOT DISTINCT FROM cuts.lang
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rejected_by IS NULL AS kept, rejected_by
+FROM ruled
+"""
+
 SQL: dict[str, str] = {
+    "op3_quality_rules": QUALITY,
     "op2_license_digest": LICENSES,
     "op5_water_filling": MIXING,
     "op6_spot_signatures": SPOTS,
