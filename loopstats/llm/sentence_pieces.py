@@ -11,7 +11,7 @@ the SentencePiece library.
 Decoding joins the pieces' bytes, and takes the one space away that encoding puts before a text.
 
 Defined cases: null and empty texts have no pieces and decode to the empty text; text is not normalised, as the model
-has the identity; rows are encoded each; other columns are carried where `carry` names them.
+has the identity; U+2581 is the model's sign for a space and comes back as one; rows are encoded each; other columns are carried where `carry` names them.
 """
 
 from __future__ import annotations
@@ -20,14 +20,15 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
-#: Segments longer than this are merged with a queue, one by one; distinct characters handled at once.
-LONG, AT_ONCE = 256, 1 << 19
+#: Segments longer than this are merged with a queue, one by one; bytes of distinct segments, and of texts, at once.
+LONG, AT_ONCE, CHUNK = 256, 1 << 20, 1 << 23
 NONE = np.iinfo(np.int32).max
 
 
@@ -58,6 +59,9 @@ class Pieces:
                 self.raw.append(bytes([int(t[3:5], 16)]))
             else:
                 self.raw.append(t.replace(chr(SPACE), " ").encode() if ok else b"")
+        self.raw_size = np.array([*map(len, self.raw), 0], np.int64)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
         if (self.byte_ids < 0).any():
             raise ValueError("the model lacks byte pieces")
 
@@ -73,18 +77,19 @@ def load_pieces(path: str = MODEL) -> Pieces:
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Places of `text` in the order of the `depth` (or more) code points from there on."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    done = 1
+    rank = text.astype(np.int64) + 1
+    order, done = np.argsort(rank), 1
     while done < depth:
         ahead = np.zeros_like(rank)
-        ahead[:-done] = rank[done:] if done < len(rank) else 0
-        key = rank * (len(text) + 2) + ahead
-        order = np.argsort(key, kind="stable")
+        if done < len(rank):
+            ahead[:-done] = rank[done:]
+        key = rank * (int(rank.max(initial=0)) + 1) + ahead
+        order = np.argsort(key)
         step = np.append(0, np.diff(key[order]) != 0)
         rank = np.empty_like(rank)
         rank[order] = np.cumsum(step) + 1
         done *= 2
-    return np.argsort(rank, kind="stable")
+    return order
 
 
 def edges(text: np.ndarray, p: Pieces) -> np.ndarray:
@@ -116,8 +121,7 @@ def edges(text: np.ndarray, p: Pieces) -> np.ndarray:
     rows = np.repeat(np.arange(m), count)
     inner = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
     place = order[np.repeat(low, count) + inner]
-    by_place = np.argsort(place, kind="stable")
-    place, rows = place[by_place], rows[by_place]
+    # an edge's place and size are its cell, which is a sort by counting
     table = np.full((n, p.width + 1), -1, np.int32)
     table[place, p.sizes[rows]] = rows
     return table
@@ -186,32 +190,45 @@ def merged(text: np.ndarray, first: np.ndarray, table: np.ndarray, p: Pieces) ->
     return starts, np.diff(np.append(starts, len(text)))
 
 
-def encode_segments(segments: list[str], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the pieces of all segments, and where each segment's begin (and the end). Spaces are written as U+2581."""
-    lengths = np.array([len(s) for s in segments], np.int64)
-    text = np.frombuffer("".join(segments).encode("utf-32-le"), np.int32)
+def encode_segments(text: np.ndarray, lengths: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pieces of segments, and where each segment's begin (and the end).
+
+    `text`: the code points of all segments, spaces as U+2581; `lengths`: how many each has.
+    """
     first = np.append(0, np.cumsum(lengths))
     # one sign that no piece has stands behind every segment
-    wide = np.zeros(len(text) + len(segments), np.int32)
-    at = np.arange(len(text)) + np.repeat(np.arange(len(segments)), lengths)
+    wide = np.zeros(len(text) + len(lengths), np.int32)
+    at = np.arange(len(text)) + np.repeat(np.arange(len(lengths)), lengths)
     wide[at] = text
     table = edges(wide, p)[at]
     starts, sizes = merged(text, first, table, p)
     row = table[starts, sizes]
-    ids = np.where(row >= 0, p.ids[row], -1)
+    code = text[starts]
+    ids = np.where(row >= 0, p.ids[row], np.where(code < 128, p.byte_ids[code & 127], -1))
+    longer = np.flatnonzero(ids < 0)
+    raw = [list(chr(c).encode()) for c in code[longer].tolist()]
     count = np.ones(len(starts), np.int64)
-    for i in np.flatnonzero(ids < 0):
-        count[i] = len(chr(text[starts[i]]).encode())
+    count[longer] = [len(x) for x in raw]
     out = np.repeat(ids, count)
     begin = np.append(0, np.cumsum(count))
-    for i in np.flatnonzero(ids < 0):
-        out[begin[i] : begin[i + 1]] = p.byte_ids[list(chr(text[starts[i]]).encode())]
+    for i, x in zip(longer, raw):
+        out[begin[i] : begin[i + 1]] = p.byte_ids[x]
     return out, begin[np.searchsorted(starts, first)]
 
 
+def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs pool[start:start + size], one behind the other."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.arange(total) + np.repeat(start - (ends - size), size)]
+
+
 def encode_texts(column: pa.Array, p: Pieces) -> pa.ListArray:
     """Ids of each text of a column."""
     raw, offsets = C.text_bytes(column)
+    if chr(SPACE).encode() in raw.tobytes():
+        column = pa.array([t and t.replace(chr(SPACE), " ") for t in column.to_pylist()], pa.string())
+        raw, offsets = C.text_bytes(column)
     n = len(column)
     # a space before each text that is not empty
     sizes = np.diff(offsets)
@@ -228,26 +245,28 @@ def encode_texts(column: pa.Array, p: Pieces) -> pa.ListArray:
     value = _segment_hashes(buffer, start)
     _, one, which = np.unique(value, return_index=True, return_inverse=True)
     stop = np.append(start[1:], len(buffer))
-    whole = buffer.tobytes()
-    distinct = [whole[a:b].decode().replace(" ", chr(SPACE)) for a, b in zip(start[one].tolist(), stop[one].tolist())]
-    parts, counts, low = [], [], 0
-    lengths = np.cumsum([len(s) + 1 for s in distinct]) if distinct else np.zeros(0, np.int64)
-    while low < len(distinct):
-        high = max(low + 1, int(np.searchsorted(lengths, (lengths[low - 1] if low else 0) + AT_ONCE, "right")))
-        ids, begin = encode_segments(distinct[low:high], p)
-        parts.append(ids)
-        counts.append(np.diff(begin))
+    size = (stop - start)[one]
+    parts = []
+    low, ends = 0, np.cumsum(size)
+    while low < len(one):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + AT_ONCE, "right")))
+        own = _gather(buffer, start[one[low:high]], size[low:high])
+        text = np.frombuffer(own.tobytes().decode().encode("utf-32-le"), np.int32).copy()
+        text[text == 32] = SPACE
+        heads = np.append(0, np.cumsum((own & 0xC0) != 0x80))
+        lengths = np.diff(heads[np.append(0, np.cumsum(size[low:high]))])
+        ids, begin = encode_segments(text, lengths, p)
+        parts.append((ids, np.diff(begin)))
         low = high
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    begin = np.append(0, np.cumsum(count))
-    each = count[which] if len(which) else np.zeros(0, np.int64)
+    ids = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.int32)
+    count = np.concatenate([n for _, n in parts]) if parts else np.zeros(0, np.int64)
+    begin = np.append(0, np.cumsum(count))[:-1]
+    each = count[which]
     ends = np.cumsum(each)
-    total = int(ends[-1]) if len(ends) else 0
-    take = np.arange(total) - np.repeat(ends - each, each) + np.repeat(begin[which] if len(which) else each, each)
+    taken = _gather(ids, begin[which], each)
     text_of = np.searchsorted(start, starts_at)
     edges_ = np.append(0, ends)[text_of]
-    return pa.ListArray.from_arrays(pa.array(edges_.astype(np.int32)), pa.array(ids[take].astype(np.int32)))
+    return pa.ListArray.from_arrays(pa.array(edges_.astype(np.int32)), pa.array(taken.astype(np.int32)))
 
 
 def _segment_hashes(buffer: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -256,14 +275,40 @@ def _segment_hashes(buffer: np.ndarray, start: np.ndarray) -> np.ndarray:
     return words.hash if words else np.zeros(0, np.uint64)
 
 
+def decode_bytes(ids: pa.ListArray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the texts of lists of ids, and the offsets of the rows; ids outside the model give nothing."""
+    flat = pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = np.where((flat >= 0) & (flat < len(p.raw)), flat, len(p.raw))
+    size = p.raw_size[flat]
+    n = pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(n))]
+    raw = _gather(p.raw_bytes, p.raw_start[flat], size)
+    # the one space before each text goes
+    has = np.flatnonzero(np.diff(ends) > 0)
+    lead = ends[:-1][has]
+    lead, has = lead[raw[lead] == 32], has[raw[lead] == 32]
+    keep = np.ones(len(raw), bool)
+    keep[lead] = False
+    gone = np.zeros(len(n), np.int64)
+    gone[has] = 1
+    return raw[keep], ends - np.append(0, np.cumsum(gone))
+
+
 def decode_ids(ids: pa.ListArray, p: Pieces) -> list[str]:
-    """Texts of lists of ids; ids outside the model give nothing, bytes that are no UTF-8 the sign U+FFFD."""
-    raw, n, out = p.raw, len(p.raw), []
-    for row in ids.to_pylist():
-        joined = b"".join([raw[i] for i in row if 0 <= i < n]) if row else b""
-        text = joined.decode(errors="replace")
-        out.append(text[1:] if text[:1] == " " else text)
-    return out
+    """Texts of lists of ids; bytes that are no UTF-8 give the sign U+FFFD."""
+    raw, ends = decode_bytes(ids, p)
+    whole = raw.tobytes()
+    return [whole[a:b].decode(errors="replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def round_trips(ids: pa.ListArray, text: pa.Array, p: Pieces) -> np.ndarray:
+    """Whether the bytes of each text come back; null is the empty text."""
+    raw, ends = decode_bytes(ids, p)
+    wanted, offsets = C.text_bytes(text)
+    same = np.diff(ends) == np.diff(offsets)
+    if np.array_equal(ends, offsets) and np.array_equal(raw, wanted):
+        return same
+    return np.array([s and np.array_equal(raw[a:b], wanted[c:d]) for s, a, b, c, d in zip(same, ends, ends[1:], offsets, offsets[1:])], bool)
 
 
 def encoded(docs: DataFrame, carry: list[str], pieces: Pieces, check: bool = True) -> DataFrame:
@@ -276,12 +321,12 @@ def encoded(docs: DataFrame, carry: list[str], pieces: Pieces, check: bool = Tru
     def run(batches):
         p = shared.value
         for batch in batches:
-            for a, b in C.chunks(batch.column(0), 1 << 22):
+            for a, b in C.chunks(batch.column(0), CHUNK):
                 text = batch.column(0).slice(a, b - a)
                 ids = encode_texts(text, p)
                 columns = [batch.column(i + 1).slice(a, b - a) for i in range(len(others))] + [ids, ids.value_lengths().cast(pa.int64())]
                 if check:
-                    columns.append(pa.array([t == (u or "") for t, u in zip(decode_ids(ids, p), text.to_pylist())]))
+                    columns.append(pa.array(round_trips(ids, text, p)))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
     return docs.select(F.col("text").cast("string").alias("__text"), *others).mapInArrow(run, T.StructType(fields))
