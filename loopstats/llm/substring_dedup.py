@@ -5,7 +5,8 @@ share of the suffixes is extended by a word, up to the length that counts as a r
 prefixes are chosen from a bounded sample, which moves only the borders of groups. Inside a group suffixes are sorted,
 which is the order of the leaves of its subtree; an internal node of depth `size` or more is a run of suffixes that
 share `size` words, and its first suffix belongs to the least document. The other documents' words under it go. A node
-is known by 64-bit fingerprints of its prefix and of its `size` words; sorted groups are read as a stream.
+is known by its group (prefixes are folded into 65,536) and the 64-bit fingerprint of its `size` words; sorted groups
+are read as a stream.
 
 Only suffixes that can repeat are sent. Of the five-word runs inside a window of `size` words the one with the least
 hash is its minimizer; equal windows have equal ones, so windows whose minimizer occurs in one document only are out.
