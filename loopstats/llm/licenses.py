@@ -99,26 +99,25 @@ def known_table(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -
     return rows.select("license", F.sha2(_flat(canonical(F.col("body"))), 256).alias("digest")).distinct()
 
 
-def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame, folder: str) -> DataFrame:
     """(doc_id, digest, license, licenses): the licence that the whole text is, and all that it, a paragraph or a line is.
 
-    `known` is small if it comes from the list here, and is then broadcast by its measured size; a larger table of
-    digests is joined by shuffle. Findings are gathered by id; texts do not move.
+    Texts are read and brought into form once; only their digests are kept. `known` is small if it comes from the list
+    here, and is then broadcast by its measured size; a larger table of digests is joined by shuffle. Findings are
+    gathered by id; texts do not move.
     """
     shaped = docs.select("doc_id", canonical(F.col("text")).alias("c")).select(
         "doc_id", _flat(F.col("c")).alias("whole"), F.split("c", r"\n *\n").alias("paragraphs"), F.split("c", "\n").alias("lines")
     )
     digest = lambda c: F.sha2(c, 256)
     pieces = F.filter(F.transform(F.concat("paragraphs", "lines"), _flat), lambda c: (c != "") & (c != F.col("whole")))
-    units = F.transform(F.array_distinct(pieces), digest)
-    rows = shaped.select("doc_id", F.when(F.col("whole") != "", digest(F.col("whole"))).alias("digest"), units.alias("units"))
-    looked = rows.select(
-        "doc_id", F.explode(F.concat(F.array(F.struct(F.col("digest").alias("d"), F.lit(True).alias("all"))),
-                                     F.transform("units", lambda u: F.struct(u.alias("d"), F.lit(False).alias("all"))))).alias("u")
-    ).select("doc_id", F.col("u.d").alias("d"), F.col("u.all").alias("all"))
-    hits = looked.join(known, looked.d == known.digest).groupBy(F.col("doc_id").alias("hit_id")).agg(
-        F.min(F.when(F.col("all"), F.col("license"))).alias("license"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses")
+    units = F.transform(F.array_distinct(pieces), lambda c: F.unhex(digest(c)))
+    rows = C.cut(shaped.select("doc_id", F.when(F.col("whole") != "", digest(F.col("whole"))).alias("digest"), units.alias("units")), folder, "digests")
+    entire = rows.where("digest is not null").select("doc_id", F.unhex("digest").alias("d"), F.lit(True).alias("entire"))
+    parts = rows.select("doc_id", F.explode("units").alias("d")).withColumn("entire", F.lit(False))
+    listed = known.select("license", F.unhex("digest").alias("d"))
+    hits = entire.union(parts).join(listed, "d").groupBy(F.col("doc_id").alias("hit_id")).agg(
+        F.min(F.when(F.col("entire"), F.col("license"))).alias("license"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses")
     )
-    plain = docs.select("doc_id", _flat(canonical(F.col("text"))).alias("whole"))
-    plain = plain.select("doc_id", F.when(F.col("whole") != "", digest(F.col("whole"))).alias("digest"))
-    return plain.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select("doc_id", "digest", "license", "licenses")
+    found = rows.select("doc_id", "digest").join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    return found.select("doc_id", "digest", "license", "licenses")

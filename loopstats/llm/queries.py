@@ -27,7 +27,7 @@ def op1_dart_minhash(spark, sf_dir):
 
 @query
 def op2_license_digest(spark, sf_dir):
-    return licenses.scan(C.table(spark, sf_dir, "documents"), licenses.known_table(spark))
+    return licenses.scan(C.table(spark, sf_dir, "documents"), licenses.known_table(spark), C.scratch(spark))
 
 
 @query

@@ -1,12 +1,12 @@
 import cases
-from loopstats.llm import licenses as N
+from loopstats.llm import common as C, licenses as N
 
 MIT = N.KNOWN[15][1]
 
 
 def found(spark, texts):
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
-    got = N.scan(cases.frame(spark, rows, clashes=True), N.known_table(spark)).collect()
+    got = N.scan(cases.frame(spark, rows, clashes=True), N.known_table(spark), C.scratch(spark)).collect()
     assert len(got) == len(rows)
     return {r.doc_id: (r.license, r.licenses) for r in got}
 
@@ -32,6 +32,6 @@ def test_notices_as_lines(spark):
 
 def test_awkward_rows(spark):
     rows = cases.edge_rows()
-    got = N.scan(cases.frame(spark, rows, clashes=True), N.known_table(spark)).collect()
+    got = N.scan(cases.frame(spark, rows, clashes=True), N.known_table(spark), C.scratch(spark)).collect()
     assert len(got) == len(rows) and all(r.license is None and r.licenses is None for r in got)
-    assert N.scan(cases.empty(spark), N.known_table(spark)).count() == 0
+    assert N.scan(cases.empty(spark), N.known_table(spark), C.scratch(spark)).count() == 0
