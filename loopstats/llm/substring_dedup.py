@@ -84,8 +84,8 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def _cores(docs: DataFrame, size: int, core: int) -> DataFrame:
-    """(doc_id, k1, cores): the distinct minimizers of each text. They are as large as a third of the text, and cheap to
-    make, so they are made again where they are needed rather than stored."""
+    """(doc_id, cores): the distinct minimizers of each text. They are as large as a third of the text, and cheap to
+    make, so they are made again where they are needed rather than stored or shuffled."""
 
     def run(batches):
         for batch in batches:
@@ -103,10 +103,9 @@ def _cores(docs: DataFrame, size: int, core: int) -> DataFrame:
                 rows, low = rows[new], low[new]
                 offsets = np.searchsorted(rows, np.arange(b - a + 1)).astype(np.int32)
                 cores = pa.ListArray.from_arrays(pa.array(offsets), pa.array(low.view(np.int64)))
-                k1 = pa.array(np.ascontiguousarray(_digests(words)[:, 0]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), k1, cores], ["doc_id", "k1", "cores"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), cores], ["doc_id", "cores"])
 
-    return docs.mapInArrow(run, "doc_id long, k1 long, cores array<long>")
+    return docs.mapInArrow(run, "doc_id long, cores array<long>")
 
 
 def choose_prefixes(docs: DataFrame, size: int, share: float = SHARE, sample: int = SAMPLE) -> list[np.ndarray]:
@@ -151,8 +150,11 @@ def repeats(docs: DataFrame, folder: str, size: int = SIZE, core: int = CORE) ->
     """
     keys = C.cut(_keys(docs), folder, "keys").where(F.col("n_words") >= size)
     firsts = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
-    copies = C.cut(keys.join(firsts, ["k1", "k2"]).where("doc_id > least").select("doc_id", "k1", "n_words"), folder, "copies")
-    cores = _cores(docs, size, core).join(copies.select("doc_id", "k1").hint("merge"), ["doc_id", "k1"], "left_anti")
+    tagged = C.cut(keys.join(firsts, ["k1", "k2"]).select("doc_id", "n_words", (F.col("doc_id") > F.col("least")).alias("copy")), folder, "tagged")
+    copies = tagged.where("copy").select("doc_id", "n_words")
+    gone = tagged.groupBy("doc_id").agg(F.min("copy").alias("copy")).where("copy").select("doc_id")
+    # a merge join at every size; it reads the exchange that the other joins by id read
+    cores = _cores(docs.join(gone.hint("merge"), docs.id == gone.doc_id, "left_anti"), size, core)
     cores = cores.select("doc_id", F.explode("cores").alias("core"))
     shared = cores.groupBy("core").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("core")
     wanted = cores.join(shared, "core").groupBy("doc_id").agg(F.collect_set("core").alias("cores"))
@@ -231,7 +233,7 @@ def without_repeats(docs: DataFrame, folder: str, size: int = SIZE, core: int =
 
     Texts are dealt by id once: the columns are renamed, so that both joins read one and the same exchange.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("words"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("words"))
     named = docs.where("id is not null")
     marks = repeats(named, folder, size, core).groupBy("doc_id").agg(
         F.collect_list("at").alias("at"), F.collect_list("n").alias("n")
