@@ -24,11 +24,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one with the least id."""
+    """One document of each class: the one with the least id.
+
+    Texts without any element (null or '') are one class here: line dedup leaves every member of a family of ten or
+    more equal copies as ''.
+    """
     folder = common.scratch(spark)
     classes = dart_minhash.near_duplicates(docs, folder)
     gone = common.cut(classes.where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")), folder, "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*DOCUMENTS)
+    bare = F.coalesce(F.octet_length("text"), F.lit(0)) == 0
+    least = docs.where(bare).agg(F.min("doc_id")).first()[0]
+    one = ~bare | F.col("doc_id").eqNullSafe(F.lit(least).cast("long"))
+    return docs.where(one).join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*DOCUMENTS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,3 +76,15 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     cases.empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_emptied_documents_are_one_class(spark):
+    text = " ".join(f"same{j}" for j in range(30))
+    rows = [(i, text, "en", "s", len(text)) for i in range(20, 40)] + [(50, "alone " + text, "en", "s", 1), (9, None, "en", "s", 0), (60, "", "en", "s", 0)]
+    stage = dict(pipeline.STAGES)
+    clean = C.cut(stage["line_dedup"](spark, cases.frame(spark, rows), ""), C.scratch(spark), "a")
+    assert clean.where("text = ''").count() == 22
+    got = {r.doc_id: r.text for r in stage["near_duplicates"](spark, clean, "").collect()}
+    assert got == {9: "", 50: "alone " + text}
+    raw = stage["near_duplicates"](spark, cases.frame(spark, rows[:2] + rows[-2:]), "").collect()
+    assert sorted(r.doc_id for r in raw) == [9, 20]
