@@ -21,7 +21,27 @@ from . import common as C
 
 #: Fixed values: (name, verdict).
 BASE = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: (name, verdict, expression over host + path, literal tokens): spam, adult and gambling hosts, and machine pages.
+#: Words that block a host in which one of them is a whole piece of a label, by topic.
+WORDS = {
+    "adult": (
+        "adult adults camgirl camgirls erotic erotica escort escorts fetish hardcore hentai milf nsfw nude nudes porn porno pornos "
+        "sex sexcam sexcams sexy stripper strippers xxx"
+    ),
+    "gambling": (
+        "baccarat bet bets betting bingo blackjack bookie bookies bookmaker bookmakers casino casinos gamble gambling jackpot "
+        "jackpots lotto lottery poker roulette slots sportsbet sportsbook wager wagers"
+    ),
+    "ads": (
+        "ad adclick adclicks adnetwork ads adserv adserver adservers adsrv adsystem adtrack advert advertising adverts affiliate "
+        "affiliates banner banners clicktrack doubleclick popunder popup popups sponsored tracker trackers tracking trk"
+    ),
+    "spam": (
+        "ambien cialis counterfeit levitra meds payday phentermine pills replica replicas spam steroids tramadol valium viagra "
+        "weightloss xanax"
+    ),
+}
+#: (name, verdict, expression over host + path, literal tokens): advertising and tracking, spam, adult and gambling hosts,
+#: and machine pages.
 METHOD = (
     ("spam-farm", "block", r"^([^/]*\.)?spam-farm\.", ("spam", "farm")),
     ("cheap-pills", "block", r"^([^/]*\.)?cheap-pills\.", ("cheap", "pills")),
@@ -31,6 +51,7 @@ METHOD = (
     ("ads-path", "block", r"^[^/]*/([^/]*/)*ads/", ("ads",)),
     ("login", "block", r"^[^/]*/([^/]*/)*wp-login\.php", ("wp", "login", "php")),
     ("cgi", "block", r"^[^/]*/cgi-bin/", ("cgi", "bin")),
+    *((f"{topic}:{w}", "block", rf"^([^/]*[.-])?{w}([.:/\s-]|$)", (w,)) for topic, words in WORDS.items() for w in words.split()),
 )
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 TOKEN = "[^a-z0-9]+"

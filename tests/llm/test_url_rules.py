@@ -61,3 +61,20 @@ def test_no_rules_and_no_rows(spark, folder):
     none = U.rule_table(spark).limit(0)
     assert [tuple(r) for r in U.judge_urls(pages, none, folder, "block").collect()] == [(1, "a.net", "/", None, "block")]
     assert U.judge_urls(pages.limit(0), U.rule_table(spark), C.scratch(spark)).count() == 0
+
+
+def test_words_of_each_topic_on_other_hosts(spark, folder):
+    bad = [
+        "http://adult-films.example.info/", "http://best.nude-pics.info/a", "http://live-xxx", "http://bets.info", "http://www.my-betting-tips.info/",
+        "http://poker:8080/", "http://eu-roulette.info/x", "http://x-ads.info/", "http://ads-eu.cdn.info/", "http://tracking.shop.info/p", "http://web-banners.info/",
+        "http://buy-viagra-now.info/", "http://replica.watches.info/", "http://AD.info/",
+    ]
+    good = [
+        "http://alphabets.info/", "http://adulthood.info/", "http://essex.info/", "http://downloads.info/", "http://loads-of.info/", "http://pokerface.info/",
+        "http://news.info/bets/poker-ads.html", "http://respawn.info/", "http://betsy-ross.info/", "http://x.info?bets.y", "http://add.info/",
+    ]
+    pages = spark.createDataFrame(list(enumerate(bad + good)), "page_id bigint, url string")
+    got = {r.page_id: r.verdict for r in U.judge_urls(pages, U.rule_table(spark), folder).collect()}
+    assert [got[i] for i in range(len(got))] == ["block"] * len(bad) + ["allow"] * len(good)
+    assert all(r.token in r.rule for r in spark.read.parquet(f"{folder}/index").where("rule like '%:%'").collect())
+    assert len({n for n, *_ in U.METHOD}) == len(U.METHOD)
