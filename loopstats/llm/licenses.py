@@ -10,13 +10,17 @@ an id gets the findings of all rows of that id; a null id counts as an id; an em
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import common as C
 
-#: Known licence texts and notices, by SPDX identifier.
+#: Full licence texts and standard notices, one a line; a licence has a line for each common printing of it.
+TEXTS = Path(__file__).with_name("license_texts.jsonl")
+#: Known licence texts and notices, by SPDX identifier; more are in the file.
 KNOWN = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -65,6 +69,7 @@ KNOWN = (
         "FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
         "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
+    *((x["license"], x["text"]) for x in map(json.loads, TEXTS.read_text("utf-8").splitlines())),
 )
 #: A line that is a copyright statement, with comment marks before it; not one that merely begins with the word.
 COPYRIGHT = r"(?m)^[ \t#*/;!-]*(copyright[ \t]*(\(c\)|©|[0-9]{4}|by\b|:)|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*$"
@@ -94,9 +99,11 @@ def _flat(c: Column) -> Column:
 
 
 def known_table(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(license, digest)"""
-    rows = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(i).alias("license"), F.lit(t).alias("body")) for i, t in known))))
-    return rows.select("license", F.sha2(_flat(canonical(F.col("body"))), 256).alias("digest")).distinct()
+    """(license, digest); the digests are made first, so that no later plan carries the texts."""
+    bodies = spark.createDataFrame(list(known), "license string, body string")
+    rows = bodies.select("license", F.sha2(_flat(canonical(F.col("body"))), 256).alias("digest")).distinct().collect()
+    structs = (F.struct(F.lit(r.license).alias("license"), F.lit(r.digest).alias("digest")) for r in sorted(rows))
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def scan(docs: DataFrame, known: DataFrame, folder: str) -> DataFrame:

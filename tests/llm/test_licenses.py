@@ -35,3 +35,22 @@ def test_awkward_rows(spark):
     got = N.scan(cases.frame(spark, rows, clashes=True), N.known_table(spark), C.scratch(spark)).collect()
     assert len(got) == len(rows) and all(r.license is None and r.licenses is None for r in got)
     assert N.scan(cases.empty(spark), N.known_table(spark), C.scratch(spark)).count() == 0
+
+
+def test_full_texts_in_altered_form(spark):
+    full = {i: t for i, t in N.KNOWN if len(t) > 600}
+    need = {"BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense"}
+    assert need <= set(full)
+    texts = [(i, t) for i, t in N.KNOWN if len(t) > 600]
+    altered = [
+        lambda t: "Copyright (c) 2020 Someone\nAll rights reserved.\n\n" + t, lambda t: t.upper(),
+        lambda t: "\n".join(" * " + line for line in t.replace(",", " ,").split("\n")),
+    ]
+    got = found(spark, [f(t) for _, t in texts for f in altered] + [t + " More." for t in full.values()])
+    assert [got[i][0] for i in range(3 * len(texts))] == [i for i, _ in texts for _ in altered]
+    assert all(got[i][0] is None for i in range(3 * len(texts), len(got)))
+
+
+def test_a_digest_has_one_licence(spark):
+    rows = N.known_table(spark).collect()
+    assert len({r.digest for r in rows}) == len(rows)
