@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
     common as C, dart_minhash, licenses, line_dedup, mixing, quality_rules, sentence_pieces, spot_signatures,
-    substring_dedup, url_rules, weak_pii,
+    substring_dedup, token_counts, url_rules, weak_pii,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +75,8 @@ def op9_line_runs(spark, sf_dir):
 @query
 def op10_url_rules(spark, sf_dir):
     return url_rules.judge_urls(C.table(spark, sf_dir, "pages"), url_rules.rule_table(spark), C.scratch(spark))
+
+
+@query
+def op11_token_counts(spark, sf_dir):
+    return token_counts.token_counts(C.table(spark, sf_dir, "documents"), token_counts.load_model(), C.scratch(spark))
