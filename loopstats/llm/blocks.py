@@ -104,6 +104,20 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - (ends - size), size)
 
 
+def pack_bytes(entries: list[bytes]) -> bytes:
+    """Byte strings in their order; sorted ones take the least room."""
+    sizes, whole = pack(np.array([len(x) for x in entries], np.int64)), b"".join(entries)
+    body = pa.Codec("zstd", compression_level=1).compress(whole, asbytes=True) if whole else b""
+    return len(sizes).to_bytes(8, "little") + sizes + body
+
+
+def unpack_bytes(raw: bytes) -> list[bytes]:
+    n = int.from_bytes(raw[:8], "little")
+    ends = np.cumsum(unpack(raw[8 : 8 + n])).tolist()
+    whole = pa.Codec("zstd").decompress(raw[8 + n :], ends[-1], asbytes=True) if ends and ends[-1] else b""
+    return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+
 # --- texts cut before spaces ------------------------------------------------------------------------
 
 
@@ -189,22 +203,29 @@ def numbering() -> Iterator[int]:
         number += 1
 
 
-class Seen:
-    """Keys this task has met; forgets all beyond `most`, after which some are met again."""
-
-    def __init__(self, most: int = 1 << 22):
-        self.keys, self.most = np.zeros(0, np.uint64), most
-
-    def new(self, keys: np.ndarray) -> np.ndarray:
-        """Which of the sorted, distinct `keys` are met for the first time."""
-        at = np.searchsorted(self.keys, keys)
-        fresh = np.ones(len(keys), bool)
-        known = at < len(self.keys)
-        fresh[known] = self.keys[at[known]] != keys[known]
-        if len(self.keys) + fresh.sum() > self.most:
-            self.keys = np.zeros(0, np.uint64)
-        self.keys = np.union1d(self.keys, keys[fresh])
-        return fresh
+class Numbered:
+    """Distinct byte strings in the order a task met them, found by hash; equal hashes of other bytes are refused."""
+
+    def __init__(self):
+        self.key, self.place, self.entries = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+    def __len__(self) -> int:
+        return len(self.entries)
+
+    def numbers(self, key: np.ndarray, entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of `entries`, whose `key` are sorted and distinct, and which of them are new."""
+        at = np.searchsorted(self.key, key)
+        known = at < len(self.key)
+        known[known] = self.key[at[known]] == key[known]
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            self.place = np.insert(self.place, at[fresh], np.arange(len(self), len(self) + len(fresh)))
+            self.key = np.insert(self.key, at[fresh], key[fresh])
+            self.entries += [entries[i] for i in fresh.tolist()]
+        out = self.place[np.searchsorted(self.key, key)]
+        if [self.entries[i] for i in out.tolist()] != entries:
+            raise ValueError("two byte strings share a 64-bit hash")
+        return out, fresh
 
 
 def structs(batch: pa.RecordBatch, names: list[str]) -> pa.ListArray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    common as C, dart_minhash, licenses, line_dedup, mixing, quality_rules, sentence_pieces, spot_signatures,
+    alignment, common as C, dart_minhash, licenses, line_dedup, mixing, quality_rules, sentence_pieces, spot_signatures,
     substring_dedup, token_counts, url_rules, weak_pii,
 )
 
@@ -80,3 +80,8 @@ def op10_url_rules(spark, sf_dir):
 @query
 def op11_token_counts(spark, sf_dir):
     return token_counts.token_counts(C.table(spark, sf_dir, "documents"), token_counts.load_model(), C.scratch(spark))
+
+
+@query
+def op12_token_alignment(spark, sf_dir):
+    return alignment.alignment(C.table(spark, sf_dir, "documents"), alignment.Encoders.load(), C.scratch(spark))

@@ -61,9 +61,15 @@ def test_equal_hashes_of_other_bytes_are_seen(monkeypatch):
         s.distinct()
 
 
-def test_seen_keys_are_new_once():
-    seen = B.Seen(most=6)
-    met = [seen.new(np.array(x, np.uint64)).tolist() for x in ([1, 3], [1, 2, 3], [], [4, 5, 6])]
-    assert met == [[True, True], [False, True, False], [], [True, True, True]]
-    assert seen.new(np.array([1, 9], np.uint64)).tolist() == [False, True]
-    assert seen.new(np.array([1, 9], np.uint64)).sum() <= 2
+def test_numbered_strings():
+    known = B.Numbered()
+    met = [known.numbers(np.array(k, np.uint64), [b"%d" % x for x in k]) for k in ([1, 3], [1, 2, 3], [], [0, 2, 9])]
+    assert [(a.tolist(), b.tolist()) for a, b in met] == [([0, 1], [0, 1]), ([0, 2, 1], [1]), ([], []), ([3, 2, 4], [0, 2])]
+    assert known.entries == [b"1", b"3", b"2", b"0", b"9"]
+    with pytest.raises(ValueError):
+        known.numbers(np.array([3], np.uint64), [b"other"])
+
+
+def test_packed_strings_come_back():
+    for x in ([], [b""], [b"a", b"", b"bc\n"], [b"x%d" % i for i in range(500)]):
+        assert B.unpack_bytes(B.pack_bytes(x)) == x

@@ -18,10 +18,10 @@ def test_same_rows(spark, sf_dir, name):
 
 def test_all_are_registered():
     names = [n for n in contract.queries() if n in QUERIES or n == "pipeline"]
-    assert len(names) == 12 and {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 12)), "pipeline"}
+    assert len(names) == 13 and {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 13)), "pipeline"}
 
 
-@pytest.mark.parametrize("name", ["op1_dart_minhash", "op3_quality_rules", "op4_weak_pii", "op7_sentence_pieces", "op11_token_counts"])
+@pytest.mark.parametrize("name", ["op1_dart_minhash", "op3_quality_rules", "op4_weak_pii", "op7_sentence_pieces", "op11_token_counts", "op12_token_alignment"])
 def test_one_row_for_each_document(spark, sf_dir, name):
     rows = QUERIES[name](spark, sf_dir).select("doc_id").collect()
     assert sorted(r[0] for r in rows) == sorted(r[0] for r in C.table(spark, sf_dir, "documents").select("doc_id").collect())

@@ -42,7 +42,7 @@ def test_awkward_rows(spark, folder, model, library):
 
 
 def test_small_blocks_give_the_same(spark, folder, model, library, monkeypatch):
-    monkeypatch.setattr(B, "BYTES", 300)
+    monkeypatch.setattr(T, "BLOCK", 500)
     monkeypatch.setattr(B.cut_batch, "__defaults__", (300,))
     rows = cases.corpus(3, 120)
     got = T.token_counts(cases.frame(spark, rows).repartition(5), model, folder).collect()
@@ -56,7 +56,7 @@ def test_empty_table_and_refused_names(spark, folder, model):
         T.token_counts(cases.frame(spark, cases.edge_rows()), model, f"{folder}/x", ["n_tokens"])
 
 
-def test_only_keys_travel_to_the_pieces(spark, sf_dir, folder, model):
+def test_frequencies_stay_with_their_block(spark, sf_dir, folder, model):
     df = T.token_counts(C.table(spark, sf_dir, "documents"), model, folder)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert "text" not in plan and plan.count("MapInArrow") == 2
+    assert plan.count("MapInArrow") == 1 and plan.count("FlatMapGroupsInArrow") == 1 and "text" not in plan
