@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    alignment, common as C, dart_minhash, licenses, line_dedup, mixing, quality_rules, sentence_pieces, spot_signatures,
+    alignment, collocations, common as C, dart_minhash, licenses, line_dedup, mixing, quality_rules, sentence_pieces, spot_signatures,
     substring_dedup, token_counts, url_rules, weak_pii,
 )
 
@@ -85,3 +85,8 @@ def op11_token_counts(spark, sf_dir):
 @query
 def op12_token_alignment(spark, sf_dir):
     return alignment.alignment(C.table(spark, sf_dir, "documents"), alignment.Encoders.load(), C.scratch(spark))
+
+
+@query
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(C.table(spark, sf_dir, "documents"), C.scratch(spark))

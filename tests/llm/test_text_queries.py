@@ -18,7 +18,7 @@ def test_same_rows(spark, sf_dir, name):
 
 def test_all_are_registered():
     names = [n for n in contract.queries() if n in QUERIES or n == "pipeline"]
-    assert len(names) == 13 and {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 13)), "pipeline"}
+    assert len(names) == 14 and {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 14)), "pipeline"}
 
 
 @pytest.mark.parametrize("name", ["op1_dart_minhash", "op3_quality_rules", "op4_weak_pii", "op7_sentence_pieces", "op11_token_counts", "op12_token_alignment"])
