@@ -238,14 +238,14 @@ FROM ruled
 
 COLLOCATIONS = rf"""
 WITH pieces AS (
-  SELECT coalesce(lang, 'und') AS lang, list_filter(regexp_split_to_array(p, '[ \t]+'), x -> x <> '') AS w
+  SELECT coalesce(lang, 'und') AS lang, list_filter(regexp_split_to_array(p, '[ \t]+'), lambda x: x <> '') AS w
   FROM (
     SELECT lang, unnest(regexp_split_to_array(
       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
     FROM documents
   )
 ), places AS (
-  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), i -> w[i:i + k - 1])) AS p
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS p
   FROM pieces, (VALUES (1), (2), (3)) sizes(k) WHERE len(w) >= k
 ), f AS (SELECT lang, p, k, count(*) AS c FROM places GROUP BY ALL
 ), totals AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
@@ -254,15 +254,15 @@ WITH pieces AS (
   SELECT lang, p, max(c) AS most
   FROM (SELECT lang, p[1:2] AS p, c FROM often WHERE k = 3 UNION ALL SELECT lang, p[2:3], c FROM often WHERE k = 3) GROUP BY ALL
 ), cuts AS (
-  SELECT lang, p, c AS a, k, unnest(range(1, k)) AS at FROM often
+  SELECT lang, p, c AS a, k, unnest(range(1, k)) AS after FROM often
 ), scored AS (
-  SELECT x.lang, x.p, x.a, x.at, l.c AS l, r.c AS r,
+  SELECT x.lang, x.p, x.a, x.after, l.c AS l, r.c AS r,
          ((1000000::HUGEINT * x.a * x.a) // (l.c::HUGEINT * r.c))::BIGINT AS score
   FROM cuts x
-  JOIN f l ON l.lang = x.lang AND l.p = x.p[1:x.at]
-  JOIN f r ON r.lang = x.lang AND r.p = x.p[x.at + 1:x.k]
+  JOIN f l ON l.lang = x.lang AND l.p = x.p[1:x.after]
+  JOIN f r ON r.lang = x.lang AND r.p = x.p[x.after + 1:x.k]
 ), lowest AS (
-  SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, at) AS o FROM scored
+  SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, after) AS o FROM scored
 ), ranked AS (
   SELECT s.lang, array_to_string(s.p, ' ') AS phrase, s.a, s.l, s.r, s.score
   FROM lowest s LEFT JOIN held h ON h.lang = s.lang AND h.p = s.p
