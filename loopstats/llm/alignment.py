@@ -35,7 +35,9 @@ from . import blocks as B, common as C
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_group_links")
 MADE = (*COUNTS, "n_best", "count_sum", "groups", "groups_sha256")
 #: Segments that a task remembers with their alignment; with more it starts anew.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
+#: Segments that the libraries encode at once.
+AT_ONCE = 1 << 13
 
 
 class Encoders:
@@ -201,12 +203,13 @@ class Memory:
             self._clear()
         out, fresh = self.known.numbers(key, segments)
         if len(fresh):
-            made = Aligned([segments[i] for i in fresh.tolist()], self.encoders)
-            self.groups += made.groups
-            self.counts = np.concatenate([self.counts, made.counts], 1)
-            self.valid = np.append(self.valid, made.valid)
-            self.pair_first = np.append(self.pair_first, self.pair_first[-1] + made.pair_first[1:])
-            self.pair = np.append(self.pair, made.pair)
+            made = [Aligned([segments[i] for i in fresh[a : a + AT_ONCE].tolist()], self.encoders) for a in range(0, len(fresh), AT_ONCE)]
+            self.groups += [x for m in made for x in m.groups]
+            self.counts = np.concatenate([self.counts, *(m.counts for m in made)], 1)
+            self.valid = np.concatenate([self.valid, *(m.valid for m in made)])
+            links = np.concatenate([np.diff(m.pair_first) for m in made])
+            self.pair_first = np.append(self.pair_first, self.pair_first[-1] + np.cumsum(links))
+            self.pair = np.concatenate([self.pair, *(m.pair for m in made)])
         return out
 
 
