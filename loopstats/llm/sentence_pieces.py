@@ -17,19 +17,24 @@ has the identity; U+2581 is the model's sign for a space and comes back as one;
 from __future__ import annotations
 
 import heapq
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from . import common as C
+from . import blocks as B, common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
-#: Segments longer than this are merged with a queue, one by one; bytes of distinct segments, and of texts, at once.
-LONG, AT_ONCE, CHUNK = 256, 1 << 20, 1 << 23
+#: Segments longer than this are merged with a queue, one by one; bytes of distinct segments in one suffix array.
+LONG, AT_ONCE = 256, 1 << 20
+#: Bytes of texts that are put together at once (longer texts are cut), and that share a search; segments remembered.
+CHUNK, WINDOW, REMEMBERED = 1 << 20, 1 << 23, 1 << 18
 NONE = np.iinfo(np.int32).max
+#: Numbers in one step of a gathering.
+STEP = 1 << 18
 
 
 class Pieces:
@@ -59,8 +64,8 @@ class Pieces:
                 self.raw.append(bytes([int(t[3:5], 16)]))
             else:
                 self.raw.append(t.replace(chr(SPACE), " ").encode() if ok else b"")
-        self.raw_size = np.array([*map(len, self.raw), 0], np.int64)
-        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
+        self.raw_size = np.array([*map(len, self.raw), 0], np.int32)
+        self.raw_start = np.cumsum(self.raw_size, dtype=np.int32) - self.raw_size
         self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
         if (self.byte_ids < 0).any():
             raise ValueError("the model lacks byte pieces")
@@ -77,19 +82,17 @@ def load_pieces(path: str = MODEL) -> Pieces:
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Places of `text` in the order of the `depth` (or more) code points from there on."""
-    rank = text.astype(np.int64) + 1
+    rank = text.astype(np.int32) + np.int32(1)
     order, done = np.argsort(rank), 1
     while done < depth:
-        ahead = np.zeros_like(rank)
+        key = rank * (np.int64(rank.max(initial=0)) + 1)
         if done < len(rank):
-            ahead[:-done] = rank[done:]
-        key = rank * (int(rank.max(initial=0)) + 1) + ahead
+            key[:-done] += rank[done:]
         order = np.argsort(key)
-        step = np.append(0, np.diff(key[order]) != 0)
-        rank = np.empty_like(rank)
-        rank[order] = np.cumsum(step) + 1
+        key = key[order]
+        rank[order] = np.append(1, 1 + np.cumsum(key[1:] != key[:-1], dtype=np.int32))[: len(order)]
         done *= 2
-    return order
+    return order.astype(np.int32)
 
 
 def edges(text: np.ndarray, p: Pieces) -> np.ndarray:
@@ -118,63 +121,70 @@ def edges(text: np.ndarray, p: Pieces) -> np.ndarray:
 
     low = bound(False)
     count = bound(True) - low
-    rows = np.repeat(np.arange(m), count)
-    inner = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
-    place = order[np.repeat(low, count) + inner]
     # an edge's place and size are its cell, which is a sort by counting
-    table = np.full((n, p.width + 1), -1, np.int32)
-    table[place, p.sizes[rows]] = rows
+    table = np.full((n, p.width + 1), -1, np.int16 if m < 1 << 15 else np.int32)
+    ends = np.cumsum(count)
+    a = 0
+    while a < m:  # so many pieces at once that their edges, or those of one, are about STEP
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + STEP, "right")))
+        rows = np.repeat(np.arange(a, b), count[a:b])
+        table[order[B.ranges(low[a:b], count[a:b])], p.sizes[rows]] = rows
+        a = b
     return table
 
 
-def _merge_long(start: int, stop: int, table: np.ndarray, p: Pieces) -> list[int]:
-    """Symbol starts of one long segment, with a queue of merges."""
+def _merge_long(start: int, stop: int, table: np.ndarray, p: Pieces) -> np.ndarray:
+    """Symbol starts of one long segment, with a queue of merges: rank, place and size in one number each."""
     n = stop - start
-    after, before, alive, size = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n, [1] * n
-    queue: list[tuple[int, int, int]] = []
+    after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+    alive, size = bytearray(b"\1") * n, bytearray(b"\1") * n
+    bits = n.bit_length()
+    two = table[start : stop - 1, 2] if p.width > 1 else np.full(n - 1, -1)
+    first = np.flatnonzero(two >= 0)
+    queue = np.sort(((p.rank[two[first]].astype(np.int64) << bits | first) << 8) | 2).tolist()  # a sorted list is a heap
 
     def offer(i: int) -> None:
         if i >= 0 and after[i] < n:
             total = size[i] + size[after[i]]
             row = table[start + i, total] if total <= p.width else -1
             if row >= 0:
-                heapq.heappush(queue, (int(p.rank[row]), i, total))
+                heapq.heappush(queue, ((int(p.rank[row]) << bits | i) << 8) | total)
 
-    for i in range(n - 1):
-        offer(i)
     while queue:
-        _, i, total = heapq.heappop(queue)
+        top = heapq.heappop(queue)
+        i, total = (top >> 8) & ((1 << bits) - 1), top & 255
         if not alive[i] or after[i] >= n or size[i] + size[after[i]] != total:
             continue
         j = after[i]
-        alive[j], size[i], after[i] = False, total, after[j]
+        alive[j], size[i], after[i] = 0, total, after[j]
         if after[j] < n:
             before[after[j]] = i
         offer(before[i])
         offer(i)
-    return [start + i for i in range(n) if alive[i]]
+    return start + np.flatnonzero(np.frombuffer(bytes(alive), np.uint8))
 
 
-def merged(text: np.ndarray, first: np.ndarray, table: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes of the symbols when no merge is left. `first`: starts of the segments, and the end."""
+def merged(first: np.ndarray, table: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the symbols when no merge is left. `first`: starts of the segments, and the end; a row of
+    `table` stands for each place, and one more behind each segment."""
     size = np.diff(first)
-    symbols = np.arange(len(text))
-    segment = np.repeat(np.arange(len(size)), size)
+    n = int(first[-1])
     done = []
-    for s in np.flatnonzero(size > LONG):
-        done.append(np.array(_merge_long(first[s], first[s + 1], table, p), np.int64))
-    symbols = symbols[size[segment] <= LONG]
+    for s in np.flatnonzero(size > LONG):  # the rows of segment s begin s rows later
+        done.append(_merge_long(int(first[s] + s), int(first[s + 1] + s), table, p) - s)
+    segment = np.repeat(np.arange(len(size)), size)
+    symbols = np.flatnonzero(size[segment] <= LONG)
     ends = first[1:]
     while len(symbols):
         own = segment[symbols]
-        nxt = np.append(symbols[1:], len(text))
+        nxt = np.append(symbols[1:], n)
         last = np.append(own[1:] != own[:-1], True)
-        stop = np.append(nxt[1:], len(text))
+        stop = np.append(nxt[1:], n)
         stop = np.where(np.append(last[1:], True), ends[own], stop)  # the neighbour is the segment's last symbol
         total = stop - symbols
         ok = ~last & (total <= p.width)
         row = np.full(len(symbols), -1, np.int32)
-        row[ok] = table[symbols[ok], total[ok]]
+        row[ok] = table[symbols[ok] + own[ok], total[ok]]
         rank = np.where(row >= 0, p.rank[row], NONE)
         head = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         best = np.minimum.reduceat(rank, head)
@@ -187,7 +197,7 @@ def merged(text: np.ndarray, first: np.ndarray, table: np.ndarray, p: Pieces) ->
         keep[hit + 1] = False
         symbols = symbols[keep]
     starts = np.sort(np.concatenate(done)) if done else np.zeros(0, np.int64)
-    return starts, np.diff(np.append(starts, len(text)))
+    return starts, np.diff(np.append(starts, n))
 
 
 def encode_segments(text: np.ndarray, lengths: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -198,18 +208,19 @@ def encode_segments(text: np.ndarray, lengths: np.ndarray, p: Pieces) -> tuple[n
     first = np.append(0, np.cumsum(lengths))
     # one sign that no piece has stands behind every segment
     wide = np.zeros(len(text) + len(lengths), np.int32)
-    at = np.arange(len(text)) + np.repeat(np.arange(len(lengths)), lengths)
-    wide[at] = text
-    table = edges(wide, p)[at]
-    starts, sizes = merged(text, first, table, p)
-    row = table[starts, sizes]
+    inside = np.ones(len(wide), bool)
+    inside[first[1:] + np.arange(len(lengths))] = False
+    wide[inside] = text
+    table = edges(wide, p)
+    starts, sizes = merged(first, table, p)
+    row = table[starts + np.searchsorted(first, starts, "right") - 1, sizes]
     code = text[starts]
     ids = np.where(row >= 0, p.ids[row], np.where(code < 128, p.byte_ids[code & 127], -1))
     longer = np.flatnonzero(ids < 0)
     raw = [list(chr(c).encode()) for c in code[longer].tolist()]
     count = np.ones(len(starts), np.int64)
     count[longer] = [len(x) for x in raw]
-    out = np.repeat(ids, count)
+    out = np.repeat(ids, count).astype(np.int32)
     begin = np.append(0, np.cumsum(count))
     for i, x in zip(longer, raw):
         out[begin[i] : begin[i + 1]] = p.byte_ids[x]
@@ -217,67 +228,124 @@ def encode_segments(text: np.ndarray, lengths: np.ndarray, p: Pieces) -> tuple[n
 
 
 def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The runs pool[start:start + size], one behind the other."""
+    """The runs pool[start:start + size], one behind the other, written step by step."""
     ends = np.cumsum(size)
-    total = int(ends[-1]) if len(ends) else 0
-    return pool[np.arange(total) + np.repeat(start - (ends - size), size)]
-
-
-def encode_texts(column: pa.Array, p: Pieces) -> pa.ListArray:
+    out = np.empty(int(ends[-1]) if len(ends) else 0, pool.dtype)
+    a = low = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, low + STEP, "right")))
+        high = int(ends[b - 1])
+        out[low:high] = pool[start[a] : start[a] + size[a]] if b == a + 1 else pool[B.ranges(start[a:b], size[a:b])]
+        a, low = b, high
+    return out
+
+
+class Encoder:
+    """The ids of the segments a task has met."""
+
+    def __init__(self, p: Pieces):
+        self.p = p
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.ids, self.size, self.first = B.Numbered(), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode(self, columns: list[pa.Array]) -> list[pa.ListArray]:
+        """Ids of each text of each column; the distinct new segments of all columns share their suffix arrays."""
+        if len(self.known) > REMEMBERED:
+            self._clear()
+        met = []
+        for column in columns:
+            cut = B.Segments(column)
+            key, one, which = cut.distinct()
+            number, _ = self.known.numbers(key, cut.bytes_of(one))
+            met.append((number.astype(np.int32)[which], cut.first))
+        self._learn()
+        out = []
+        for number, first in met:
+            each = self.size[number]
+            taken = _gather(self.ids, self.first[number], each)
+            ends = np.append(0, np.cumsum(each))[first]
+            out.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(taken)))
+        return out
+
+    def _learn(self) -> None:
+        new = self.known.entries[len(self.size) :]
+        ends = np.cumsum([len(x) for x in new]) if new else np.zeros(0, np.int64)
+        low, parts, sizes = 0, [self.ids], [self.size]
+        while low < len(new):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + AT_ONCE, "right")))
+            own = [x.decode() for x in new[low:high]]
+            text = np.frombuffer("".join(own).encode("utf-32-le"), np.int32).copy()
+            text[text == 32] = SPACE
+            ids, begin = encode_segments(text, np.array([len(x) for x in own]), self.p)
+            parts.append(ids)
+            sizes.append(np.diff(begin))
+            low = high
+        self.ids, self.size = np.concatenate(parts), np.concatenate(sizes)
+        self.first = np.cumsum(self.size) - self.size
+
+
+def parts_of(text: str, most: int) -> list[str]:
+    """A long text as parts of about `most` bytes, each but the first without the space it began with.
+
+    The library puts a space before a text, so the ids of the parts, one behind the other, are the text's.
+    """
+    raw, cuts, at = text.encode(), [], most
+    while at < len(raw) - 1:
+        at = raw.find(b" ", at)
+        if at < 0 or at >= len(raw) - 1:
+            break
+        if raw[at - 1] != 32:
+            cuts.append(at)
+            at += most
+        else:
+            at += 1
+    return [raw[a:b].decode() for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(raw)])]
+
+
+def _in_parts(column: pa.Array) -> tuple[pa.Array, np.ndarray | None]:
+    """The texts with long ones cut, and how many parts each has; nothing where none is long."""
+    sizes = np.diff(C.text_bytes(column)[1])
+    if not len(sizes) or sizes.max() <= CHUNK:
+        return column, None
+    parts = [parts_of((t or "").replace(chr(SPACE), " "), CHUNK) if n > CHUNK else [t] for t, n in zip(column.to_pylist(), sizes.tolist())]
+    return pa.array([x for p in parts for x in p], pa.large_string()), np.array([len(p) for p in parts])
+
+
+def encode_windows(column: pa.Array, encoder: Encoder):
+    """(start, stop, ids) of runs of rows: about CHUNK bytes in a run, or one long text; WINDOW bytes share a search."""
+    window, held = [], 0
+    for a, b in C.chunks(column, CHUNK):
+        column_, n = _in_parts(column.slice(a, b - a))
+        pieces = [column_] if n is None else [column_.slice(i, 1) for i in range(len(column_))]
+        window.append((a, b, n, len(pieces), pieces))
+        held += int(C.text_bytes(column_)[1][-1])
+        if held >= WINDOW:
+            yield from _encode_window(window, encoder)
+            window, held = [], 0
+    yield from _encode_window(window, encoder)
+
+
+def _encode_window(window: list, encoder: Encoder):
+    lists = iter(encoder.encode([x for w in window for x in w[4]]))
+    for a, b, n, count, _ in window:
+        mine = pa.concat_arrays([next(lists) for _ in range(count)])
+        if n is not None:
+            offsets = mine.offsets.to_numpy()[np.append(0, np.cumsum(n))]
+            mine = pa.ListArray.from_arrays(pa.array(offsets), mine.values)
+        yield a, b, mine
+
+
+def encode_texts(column: pa.Array, p: Pieces, encoder: Encoder | None = None) -> pa.ListArray:
     """Ids of each text of a column."""
-    raw, offsets = C.text_bytes(column)
-    if chr(SPACE).encode() in raw.tobytes():
-        column = pa.array([t and t.replace(chr(SPACE), " ") for t in column.to_pylist()], pa.string())
-        raw, offsets = C.text_bytes(column)
-    n = len(column)
-    # a space before each text that is not empty
-    sizes = np.diff(offsets)
-    shift = np.cumsum(sizes > 0)
-    buffer = np.full(len(raw) + int(shift[-1]) if n else 0, 32, np.uint8)
-    if len(raw):
-        buffer[np.arange(len(raw)) + np.repeat(shift, sizes)] = raw
-    starts_at = np.append(0, offsets[1:] + shift) if n else np.zeros(1, np.int64)
-    space = buffer == 32
-    cut = space.copy()
-    cut[1:] &= ~space[:-1]
-    cut[starts_at[:-1][sizes > 0]] = True
-    start = np.flatnonzero(cut)
-    value = _segment_hashes(buffer, start)
-    _, one, which = np.unique(value, return_index=True, return_inverse=True)
-    stop = np.append(start[1:], len(buffer))
-    size = (stop - start)[one]
-    parts = []
-    low, ends = 0, np.cumsum(size)
-    while low < len(one):
-        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + AT_ONCE, "right")))
-        own = _gather(buffer, start[one[low:high]], size[low:high])
-        text = np.frombuffer(own.tobytes().decode().encode("utf-32-le"), np.int32).copy()
-        text[text == 32] = SPACE
-        heads = np.append(0, np.cumsum((own & 0xC0) != 0x80))
-        lengths = np.diff(heads[np.append(0, np.cumsum(size[low:high]))])
-        ids, begin = encode_segments(text, lengths, p)
-        parts.append((ids, np.diff(begin)))
-        low = high
-    ids = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.int32)
-    count = np.concatenate([n for _, n in parts]) if parts else np.zeros(0, np.int64)
-    begin = np.append(0, np.cumsum(count))[:-1]
-    each = count[which]
-    ends = np.cumsum(each)
-    taken = _gather(ids, begin[which], each)
-    text_of = np.searchsorted(start, starts_at)
-    edges_ = np.append(0, ends)[text_of]
-    return pa.ListArray.from_arrays(pa.array(edges_.astype(np.int32)), pa.array(taken.astype(np.int32)))
-
-
-def _segment_hashes(buffer: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes between consecutive starts, in blocks of bytes."""
-    words = C.Words(buffer, np.append(start, len(buffer)), np.ones(256, bool)) if len(start) else None
-    return words.hash if words else np.zeros(0, np.uint64)
+    parts = [ids for _, _, ids in encode_windows(column, encoder or Encoder(p))]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
 
 def decode_bytes(ids: pa.ListArray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the texts of lists of ids, and the offsets of the rows; ids outside the model give nothing."""
-    flat = pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int32)
     flat = np.where((flat >= 0) & (flat < len(p.raw)), flat, len(p.raw))
     size = p.raw_size[flat]
     n = pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False)
@@ -320,10 +388,10 @@ def encoded(docs: DataFrame, carry: list[str], pieces: Pieces, check: bool = Tru
 
     def run(batches):
         p = shared.value
+        encoder = Encoder(p)
         for batch in batches:
-            for a, b in C.chunks(batch.column(0), CHUNK):
+            for a, b, ids in encode_windows(batch.column(0), encoder):
                 text = batch.column(0).slice(a, b - a)
-                ids = encode_texts(text, p)
                 columns = [batch.column(i + 1).slice(a, b - a) for i in range(len(others))] + [ids, ids.value_lengths().cast(pa.int64())]
                 if check:
                     columns.append(pa.array(round_trips(ids, text, p)))

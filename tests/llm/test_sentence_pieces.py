@@ -1,4 +1,8 @@
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -89,3 +93,39 @@ def test_awkward_rows(spark, pieces, library):
     assert all(r.round_trip for r in got.collect())
     none = cases.empty(spark)
     assert P.encoded(none, ["doc_id"], pieces).count() == 0 and P.decoded(P.encoded(none, ["doc_id"], pieces), pieces).count() == 0
+
+
+LONG_TEXTS = """
+import random, resource, sys
+import pyarrow as pa
+from loopstats.llm import sentence_pieces as P
+import sentencepiece
+p, rng = P.load_pieces(), random.Random(1)
+if sys.argv[1] == "words":
+    text = " ".join("".join(rng.choice(["th", "er", "in", "a", "st"]) for _ in range(rng.randrange(2, 6))) for _ in range(24_000_000 // 7))
+else:
+    text = "".join(rng.choice(["th", "er", "in", "on", "a", "e"]) for _ in range(1_800_000))[:3_000_000]
+column = pa.array([text])
+ids = P.encode_texts(column, p)
+assert P.round_trips(ids, column, p).tolist() == [True]
+peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+assert ids[0].as_py() == sentencepiece.SentencePieceProcessor(model_file=P.MODEL).encode(text)
+print(peak)
+"""
+
+
+@pytest.mark.parametrize("kind", ["words", "one word"])
+def test_memory_on_very_long_texts(kind):
+    done = subprocess.run([sys.executable, "-c", LONG_TEXTS, kind], capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(Path(__file__).resolve().parents[2])})
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 600  # MB, about 100 of which the interpreter and its libraries take
+
+
+def test_long_texts_in_parts(pieces, library, monkeypatch):
+    rng = random.Random(9)
+    every = ["".join(rng.choice(["the", " ", "  ", "é", "\n", "12", "日", "a ", "▁"]) for _ in range(rng.randrange(90))) for _ in range(300)] + ["a " * 20, " " * 50, "b" * 60 + " ", None]
+    for size in (8, 20):
+        monkeypatch.setattr(P, "CHUNK", size)
+        monkeypatch.setattr(P, "WINDOW", 3 * size)
+        monkeypatch.setattr(P, "REMEMBERED", 40)
+        assert P.encode_texts(pa.array(every), pieces).to_pylist() == [library.encode(t or "") for t in every]
