@@ -55,23 +55,25 @@ def test_binomial_tail_is_exact():
 
 
 def labelled(spark, good, bad, n):
-    """Texts of `lang` x with a share of symbols; good ones have fewer."""
+    """Texts of `lang` x with a share of symbol words, all of them different; every fourth text is a bad one."""
     rows, labels, rng = [], [], random.Random(9)
     for i in range(n):
         share = rng.choice(good if i % 4 else bad)
-        w = ["%" * 6 if j < share * 50 else f"a{i}b{j}" for j in range(50)]
+        w = [f"%%%%%%s{j}" if j < share * 50 else f"a{i}b{j}" for j in range(50)]
         rows.append((i, " ".join(w), "x" if i % 2 else None, "s", 1))
         labels.append((i, int(i % 4 > 0)))
+    assert not any(brute(r[1])[0] < 20 or 100 * brute(r[1])[4] > 30 * brute(r[1])[0] for r in rows)  # cutoffs alone decide
     return cases.frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int")
 
 
 def test_cutoffs_keep_the_risk(spark, folder):
     docs, labels = labelled(spark, [0, 0, 0.02], [0.4, 0.6], 4000)
     rows = Q.screen(docs, labels, folder).join(labels, "doc_id")
-    lost = rows.groupBy("lang", "quality").agg(F.avg((~F.col("kept")).cast("int")).alias("lost")).collect()
-    assert len(lost) == 3  # the bad texts are all of one stratum
+    lost = rows.groupBy("lang", "quality").agg(F.avg((~F.col("kept")).cast("int")).alias("lost"), F.max("base_failed").alias("base")).collect()
+    assert len(lost) == 3 and not any(r.base for r in lost)  # the bad texts are all of one stratum
     for r in lost:
-        assert r.lost <= Q.RISK if r.quality else r.lost > 0.95
+        assert r.lost <= Q.RISK if r.quality else r.lost == 1
+    assert {r.rejected_by for r in rows.where("quality = 0").collect()} == {"symbols"}
 
 
 def test_few_labels_reject_nothing(spark, folder):
@@ -80,9 +82,16 @@ def test_few_labels_reject_nothing(spark, folder):
 
 
 def test_noisy_good_texts_are_kept(spark, folder):
-    docs, labels = labelled(spark, [0, 0.4], [0.4, 0.6], 4000)
-    cut = {r.stratum: r.symbols for r in Q.choose_cutoffs(Q.with_metrics(docs, ["doc_id", "lang"]), labels, folder).collect()}
-    assert all(v is None or v >= 0.4 for v in cut.values())  # a share of 0.4 of the words is 0.38 of the characters
+    docs, labels = labelled(spark, [0, 0.4], [0.4, 0.9], 4000)
+    noisy = sum(brute("%%%%%%s1 " * 20 + "a1b1 " * 30)[2:3]) / 420  # about 0.3 of the characters of a noisy text
+    metrics = Q.with_metrics(docs, ["doc_id", "lang"])
+    cut = {r.stratum: r.symbols for r in Q.choose_cutoffs(metrics, labels, folder).collect()}
+    assert set(cut) == {"x", None} and all(v >= noisy for v in cut.values())
+    rows = Q.screen(docs, labels, C.scratch(spark)).join(labels, "doc_id").withColumn("share", F.round(F.expr("n_symbols / 6 / 50"), 1))
+    got = {(r.quality, r.share): (r.n, r.lost) for r in rows.groupBy("quality", "share").agg(F.count("*").alias("n"), F.sum((~F.col("kept")).cast("int")).alias("lost")).collect()}
+    assert set(got) == {(1, 0.0), (1, 0.4), (0, 0.4), (0, 0.9)}
+    for (quality, share), (n, lost) in got.items():  # noisy texts stay, good or bad; the very noisy ones go
+        assert n > 400 and lost == (n if share == 0.9 else 0)
 
 
 def test_awkward_rows(spark, folder):
