@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.rules import blank_to_null
+from ..sources.sinks import AppendLog
 from .listing import eligible_content, list_page
 
 
@@ -49,6 +50,12 @@ def sample_sync(
     )
 
 
+def sync_into(content: DataFrame, tasks: DataFrame, pool: AppendLog, run: str, source: str = "auto", purpose: str = "sft") -> bool:
+    """A sync that appends its samples to the pool, once for each run id."""
+    have = pool.read("item_id string")
+    return pool.append(sample_sync(content, tasks, have, source, purpose), run)
+
+
 def sync_counts(content: DataFrame, fresh: DataFrame, pool: DataFrame) -> DataFrame:
     """Samples added by a sync, and the pool's size after it."""
     added = fresh.agg(F.count("*").alias("n")).withColumn("part", F.lit("added"))

@@ -7,11 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..schemas import TABLES
+from .files import Folder
+from .sinks import AppendLog
 
 
 def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """One analytic table; a fixed schema, so no inference pass, and missing columns read as null."""
-    return spark.read.schema(TABLES[name]).parquet(f"{directory}/{name}")
+    """One analytic table; a fixed schema, so no inference pass, and missing columns read as null.
+
+    Of a table kept as an AppendLog only the entered runs are read.
+    """
+    path, schema = f"{directory}/{name}", TABLES[name]
+    if Folder(spark, path).exists("_manifest"):
+        return AppendLog(spark, path).read(schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def as_table(rows: DataFrame, name: str, as_of=None, key: Sequence[str] = (), **fixed) -> DataFrame:

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from loopstats.operators import knowledge
+from loopstats.operators import calibration, knowledge, samples
 from loopstats.schemas import TABLES
 from loopstats.sources import derive, documents, sinks, tables
 
@@ -110,8 +110,62 @@ def test_chunks_and_append(spark, tmp_path):
     sinks.write_chunks(rows, str(tmp_path / "chunks"))
     stored = spark.read.parquet(str(tmp_path / "chunks"))
     assert stored.filter("source_type = 'book'").count() == 2
-    for _ in range(2):
-        sinks.append(spark.range(3).toDF("id"), str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 6
     with pytest.raises(KeyError):
         tables.load(spark, str(tmp_path), "unknown")
+
+
+def test_a_run_is_appended_once(spark, tmp_path):
+    log = sinks.AppendLog(spark, str(tmp_path / "log"))
+    assert log.read("id bigint").count() == 0
+    assert [sinks.append(spark.range(3).toDF("id"), log.path, run) for run in ("2024-05-01", "a/b", "2024-05-01")] == [True, True, False]
+    assert sorted(r.id for r in log.read().collect()) == [0, 0, 1, 1, 2, 2]
+    assert list(log.runs()) == ["2024-05-01", "a/b"]
+
+
+def test_a_run_killed_before_its_entry_leaves_nothing(spark, tmp_path, monkeypatch):
+    log = sinks.AppendLog(spark, str(tmp_path / "log"))
+    log.append(spark.range(2).toDF("id"), "one")
+    broken = spark.range(4).select(F.when(F.col("id") < 3, F.col("id")).otherwise(F.raise_error(F.lit("killed")).cast("long")).alias("id"))
+    with pytest.raises(Exception, match="killed"):
+        log.append(broken, "two")
+    with monkeypatch.context() as m:  # the rows are written, the entry is not
+        m.setattr(log.files, "write", lambda *_, **__: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError):
+            log.append(spark.range(5).toDF("id"), "two")
+    assert log.read().count() == 2
+    assert log.append(spark.range(5).toDF("id"), "two") and not log.append(spark.range(5).toDF("id"), "two")
+    assert log.read().count() == 7
+    assert not log.sweep(keep=["two"])
+    assert len(log.sweep()) >= 1 and log.sweep() == [] and log.read().count() == 7
+
+
+def test_the_second_of_two_runs_at_once_is_dropped(spark, tmp_path):
+    log = sinks.AppendLog(spark, str(tmp_path / "log"))
+    seen = iter([False])
+    other = sinks.AppendLog(spark, log.path)
+    exists = log.files.exists
+    log.files.exists = lambda name: next(seen, None) if name.endswith("once.json") and not other.runs() else exists(name)
+
+    def meanwhile(batch):
+        other.append(spark.range(2).toDF("id"), "once")
+        return batch
+
+    rows = spark.range(9).toDF("id")
+    write = log.files.write
+    log.files.write = lambda *a, **k: (meanwhile(None), write(*a, **k))[1]
+    assert not log.append(rows, "once")
+    assert log.read().count() == 2 and other.sweep() == []
+
+
+def test_calibrations_and_samples_append_once(spark, sf_dir, tmp_path):
+    records, content, templates = derive.quality_record(spark, sf_dir), derive.content_item(spark, sf_dir), derive.quality_templates(spark, sf_dir)
+    fitted = tables.as_table(calibration.calibrate(records, content, templates), "quality_calibration", "2024-05-01", ["template_id"])
+    path = str(tmp_path / "quality_calibration")
+    assert sinks.append(fitted, path, "day 1") and not sinks.append(fitted, path, "day 1")
+    assert tables.load(spark, str(tmp_path), "quality_calibration").count() == fitted.count() > 0
+    pool = sinks.AppendLog(spark, str(tmp_path / "sample_pool"))
+    tasks = derive.generation_task(spark, sf_dir)
+    assert [samples.sync_into(content, tasks, pool, run) for run in ("a", "a", "b")] == [True, False, True]
+    rows = tables.load(spark, str(tmp_path), "sample_pool")
+    wanted = content.filter(F.col("status").isin("passed", "published")).count()
+    assert rows.count() == wanted == rows.select("item_id").distinct().count() > 0

@@ -5,7 +5,7 @@ from pyspark.sql import Window, functions as F
 
 from loopstats.operators import cost, lifecycle
 from loopstats.sources import derive as d
-from loopstats.sources.sinks import parquet_sink
+from loopstats.sources.sinks import Ledger, parquet_sink, replay, write_traces
 from loopstats.streaming import jobs
 
 
@@ -40,21 +40,10 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-def test_ingest_redacts_prices_and_brings_a_failed_batch_again(spark, sf_dir, calls_dir, tmp_path):
-    down, keep = [1], parquet_sink(str(tmp_path / "a"))
-
-    def once_broken(batch, batch_id):
-        if down and down.pop():
-            raise OSError("down")
-        keep(batch, batch_id)
-
-    sinks = {"a": once_broken, "b": parquet_sink(str(tmp_path / "b"))}
+def test_ingest_redacts_and_prices_for_every_sink(spark, sf_dir, calls_dir, tmp_path):
+    sinks = {n: parquet_sink(str(tmp_path / n)) for n in "ab"}
     prices = d.model_prices(spark, sf_dir)
-    start = lambda: jobs.st_trace_ingest(stream(spark, calls_dir), prices, sinks, str(tmp_path / "ck"))
-    with pytest.raises(Exception, match="batch 0 failed in a"):
-        start().awaitTermination(300)
-    assert not (tmp_path / "a").exists()
-    query = start()
+    query = jobs.st_trace_ingest(stream(spark, calls_dir), prices, sinks, str(tmp_path / "ck"))
     query.awaitTermination(300)
     assert query.exception() is None
     a, b = (spark.read.parquet(str(tmp_path / n)) for n in "ab")
@@ -63,6 +52,79 @@ def test_ingest_redacts_prices_and_brings_a_failed_batch_again(spark, sf_dir, ca
     assert a.select("output_data").first()[0] == '{"api_key":"[REDACTED]","x":"token=[REDACTED]"}'
 
 
+def numbers(spark, path, first, last):
+    """Files of ten rows, one for each number of the range."""
+    for i in range(first, last):
+        spark.range(10 * i, 10 * i + 10, numPartitions=1).write.mode("append").parquet(path)
+
+
+class Sink:
+    """Notes each batch it takes; refuses while it is down."""
+
+    def __init__(self, down=()):
+        self.down, self.took, self.tried = down, [], []
+
+    def __call__(self, batch, batch_id):
+        self.tried.append(batch_id)
+        if self.down is True or batch_id in self.down:
+            raise OSError("down")
+        self.took.append((batch_id, sorted(r.id for r in batch.collect())))
+
+
+def start(spark, tmp_path, sinks):
+    query = write_traces(stream(spark, str(tmp_path / "in")), sinks, str(tmp_path / "ck"))
+    query.awaitTermination(300)
+    assert query.exception() is None
+
+
+def test_a_dead_sink_stops_no_other(spark, tmp_path):
+    """Three starts with one sink down and one well; then the first recovers and gets what it missed, in order."""
+    well, dead, book = Sink(), Sink(down=True), Ledger(spark, str(tmp_path / "ck/sinks"))
+    for k in range(3):
+        numbers(spark, str(tmp_path / "in"), 2 * k, 2 * k + 2)
+        start(spark, tmp_path, {"well": well, "dead": dead})
+        assert [b for b, _ in well.took] == list(range(2 * k + 2)) and dead.took == []
+        assert book.waiting("dead") == list(range(2 * k + 2)) and book.waiting("well") == []
+    assert sorted(i for _, ids in well.took for i in ids) == list(range(60))
+    assert set(dead.tried) == {0}  # later batches wait behind the first
+    dead.down = (4,)
+    assert replay(spark, {"dead": dead, "well": well}, book.path) == {"dead": [4, 5], "well": []}
+    dead.down = ()
+    numbers(spark, str(tmp_path / "in"), 6, 7)
+    start(spark, tmp_path, {"well": well, "dead": dead})
+    assert [b for b, _ in dead.took] == list(range(7)) == [b for b, _ in well.took]
+    assert dict(dead.took) == dict(well.took) and book.waiting("dead") == []
+    assert not list((tmp_path / "ck/sinks/dead_letters").rglob("*.parquet"))
+
+
+def test_a_batch_that_comes_again_goes_where_it_is_missing(spark, tmp_path, monkeypatch):
+    """The stream ends at the second of two sinks, as its dead letters cannot be written either."""
+    numbers(spark, str(tmp_path / "in"), 0, 1)
+    first, later = Sink(), Sink(down=True)
+    with monkeypatch.context() as m:
+        m.setattr(Ledger, "put_aside", lambda *_: (_ for _ in ()).throw(OSError("no room")))
+        with pytest.raises(Exception, match="no room"):
+            start(spark, tmp_path, {"first": first, "later": later})
+    later.down = ()
+    start(spark, tmp_path, {"first": first, "later": later, "new": Sink()})
+    assert [b for b, _ in first.took] == [0] == [b for b, _ in later.took]
+
+
+def test_the_ledger_survives_odd_names_and_lost_entries(spark, tmp_path):
+    book = Ledger(spark, str(tmp_path / "book"))
+    name = "s3 / trace=log"
+    for batch_id in range(4):
+        assert not book.has(name, batch_id)
+        if batch_id % 2:
+            book.put_aside(name, batch_id, spark.range(batch_id))
+        else:
+            book.took(name, batch_id)
+        assert book.has(name, batch_id)
+    assert book.waiting(name) == [1, 3] and book.set_aside(name, 3).count() == 3
+    book.files.write("state/s3%20%2F%20trace%3Dlog/9.json.draft", "{")  # a draft that was never renamed
+    assert Ledger(spark, book.path).waiting(name) == [1, 3] and len(list((tmp_path / "book/state").rglob("*.json"))) == 2
+
+
 def test_replayed_batch_is_not_stored_twice(spark, tmp_path):
     emit = parquet_sink(str(tmp_path / "out"))
     for _ in range(2):
