@@ -26,7 +26,7 @@ inside a block, whose bytes are compared too (the job fails if they differ), and
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import blocks as B, common as C
 
-#: Bytes of text in a block; the least number of buckets; candidates in a shard, about.
-BLOCK, BUCKETS, SHARD = 1 << 24, 64, 1 << 20
+#: Bytes of text in a block; the least number of buckets; candidates in a shard, about, and in one part of its counts.
+BLOCK, BUCKETS, SHARD, PART = 1 << 24, 64, 1 << 20, 1 << 14
 LEAST, COVER, TOP = 10, 50, 2000
 BORDER = b".,;:!?\n\x0b\x0c\r"
 _BORDER = np.array([x in BORDER for x in range(256)])
@@ -279,7 +279,7 @@ def counted(runs: DataFrame, candidates: DataFrame, columns: list[str], length:
         out.append(_counts(runs, shared, columns))
         if then:
             more.append(then(shared, shard, n_shards))
-    return C.cut(_all(out).repartition(*columns).groupBy(*columns).agg(F.sum("f").alias("f")), folder, f"counts-{length}"), more
+    return C.cut(_all(out), folder, f"counts-{length}"), more
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:
@@ -290,22 +290,31 @@ def _all(frames: list[DataFrame]) -> DataFrame:
 
 
 def _counts(runs: DataFrame, shared, columns: list[str]) -> DataFrame:
-    """Each task's counts of a trie's sequences."""
+    """The counts of a trie's sequences: every task's vector, packed in parts of PART sequences, summed part by part."""
 
-    def run(batches):
+    def count(batches):
         trie, total = shared.value, None
         for batch in batches:
             for raw in batch.column(0):
                 _, which = trie.accepted(B.unpack(raw.as_py()))
                 n = np.bincount(which, minlength=len(trie.rows))
                 total = n if total is None else total + n
-        if total is not None:
-            hit = np.flatnonzero(total)
-            rows = trie.rows[hit]
-            parts = [(rows[:, 0] << 32) | rows[:, 1], *(rows[:, k] for k in range(2, trie.length))]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, parts), pa.array(total[hit])], [*columns, "f"])
+        for a in range(0, 0 if total is None else len(total), PART):
+            mine = total[a : a + PART]
+            if mine.any():
+                yield pa.RecordBatch.from_arrays([pa.array([a // PART], pa.int32()), pa.array([B.pack(mine)], pa.binary())], ["part", "counts"])
 
-    return runs.mapInArrow(run, ", ".join(f"{c} long" for c in (*columns, "f")))
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, total = shared.value, 0
+        for batch in batches:
+            for raw in batch.column("counts"):
+                total = total + B.unpack(raw.as_py())
+        hit = np.flatnonzero(total)
+        rows = trie.rows[hit + key[0].as_py() * PART]
+        parts = [(rows[:, 0] << 32) | rows[:, 1], *(rows[:, k] for k in range(2, trie.length))]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, parts), pa.array(total[hit])], [*columns, "f"])
+
+    return runs.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, ", ".join(f"{c} long" for c in (*columns, "f")))
 
 
 # --- candidates -------------------------------------------------------------------------------------

@@ -58,6 +58,7 @@ def texts(seed, n):
 def test_against_brute_force(spark, folder, monkeypatch, shard, block):
     monkeypatch.setattr(L, "SHARD", shard)
     monkeypatch.setattr(L, "BLOCK", block)
+    monkeypatch.setattr(L, "PART", 3 if block == 900 else 1 << 14)
     monkeypatch.setattr(B.cut_batch, "__defaults__", (block,))
     rows = texts(3, 500) + cases.edge_rows()
     docs = cases.frame(spark, rows, clashes=True).repartition(3)
