@@ -10,7 +10,7 @@ from ..functions.costing import call_cost, token_breakdown
 from ..functions.rules import blank_to_null
 from ..schemas import FLAT_PRICE_PER_1K
 from .listing import matching, time_range
-from .ordered import ordered_groups, running
+from .ordered import ordered_groups, running, since_reset
 
 
 def _zero_sum(name: str) -> Column:
@@ -299,15 +299,12 @@ def model_health(
     calls: DataFrame,
     threshold: int = 2,
     cooldown_seconds: int = 60) -> DataFrame:
-    """State of each model after each call: failures since its last success, health, cooldown.
-
-    Failures since the last success = position − position of the last success.
-    """
+    """State of each model after each call: failures since its last success, health, cooldown."""
     rows = calls.select("id", "model", "success", "created_at")
     groups = ordered_groups(rows, ["model"], ["created_at", "id"])
-    groups = running(groups, {"_position": ("sum", F.lit(1))})
-    groups = running(groups, {"_good": ("max", F.when(F.col("success"), F.col("_position")))})
-    failures = F.col("_position") - F.coalesce("_good", F.lit(0))
+    good = F.coalesce(F.col("success"), F.lit(False))
+    groups = since_reset(groups, "_failures", F.when(good, 0).otherwise(1).cast("long"), good)
+    failures = F.col("_failures")
     health = (
         F.when(failures == 0, "healthy").when(failures >= threshold, "unhealthy").otherwise("degraded")
     )

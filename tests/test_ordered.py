@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loopstats.operators import cost, governance, lifecycle, listing, quality
-from loopstats.operators.ordered import BLOCK, ordered_groups, running
+from loopstats.operators.ordered import BLOCK, ordered_groups, running, since_reset
 from loopstats.sources import derive as d
 
 
@@ -79,3 +79,58 @@ def test_null_keys_and_times_survive(spark):
     log = log.withColumns({"trace_id": F.lit("t"), "created_at": at})
     got = cost.attempt_number(log).groupBy("stage").agg(F.max("attempt").alias("n"), F.count_distinct("attempt").alias("d"))
     assert {(r.stage, r.n, r.d) for r in got.collect()} == {(None, 15, 15), ("a", 5, 5)}
+
+
+HOT = {
+    "one hour": lambda i: i % 3600 + 0.25 * (i % 4),
+    "one second": lambda i: i % 997 / 1000,
+    "one instant": lambda i: 5.0,
+    "no time": lambda i: None,
+}
+
+
+@pytest.mark.parametrize("case", HOT)
+def test_a_hot_key_spreads_evenly(spark, case):
+    """One key whose 24,000 rows share an hour, a second, an instant, or have no time."""
+    n = 24_000
+    data = [(i * 512, HOT[case](i), i % 5 == 0) for i in random.Random(3).sample(range(n), n)]
+    frame = spark.createDataFrame(data, "id bigint, s double, good boolean").withColumn("key", F.lit("k")).withColumn("at", F.timestamp_seconds("s"))
+    groups = ordered_groups(frame, ["key"], ["at", "id"], least=200)
+    blocks = [r["count"] for r in groups.rows.groupBy(BLOCK).count().collect()]
+    assert max(blocks) <= 200 and len(blocks) > 100
+    totals = running(groups, {"n": ("sum", F.lit(1)), "last": ("last", F.when(F.col("good"), F.col("id")))})
+    assert "Window" in totals.rows._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these rows would fit one task
+    tasks = totals.rows.groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = sorted(r["count"] for r in tasks)
+    assert len(sizes) == 4 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    rows = totals.result().orderBy(F.asc_nulls_first("at"), "id").collect()
+    assert [r.n for r in rows] == list(range(1, n + 1))
+    seen = None
+    for r in rows:
+        seen = r.id if r.good else seen
+        assert r["last"] == seen
+
+
+@pytest.mark.parametrize("least", [3, 1 << 16])
+def test_sums_since_a_reset(spark, least):
+    rng = random.Random(6)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(9), rng.randrange(90_000)]), i, rng.random() < 0.1) for i in range(400)]
+    frame = spark.createDataFrame(data, "key string, s bigint, id bigint, good boolean").withColumn("at", F.timestamp_seconds("s"))
+    groups = ordered_groups(frame, ["key"], ["at", "id"], least=least)
+    got = {r.id: r.open for r in since_reset(groups, "open", F.when(F.col("good"), 0).otherwise(1), F.col("good")).result().collect()}
+    for key in ("a", "b", None):
+        count = 0
+        for _, _, i, good in sorted((r for r in data if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+            count = 0 if good else count + 1
+            assert got[i] == count
+
+
+def test_cells_of_strings_and_dates(spark):
+    data = [(f"id{i % 40:03}x{i}", i % 4) for i in range(300)]
+    frame = spark.createDataFrame(data, "id string, d int").select("id", F.date_add(F.lit("2024-01-30").cast("date"), "d").alias("day"), F.lit(1).alias("k"))
+    groups = ordered_groups(frame, ["k"], ["day", "id"], least=20)
+    rows = running(groups, {"n": ("sum", F.lit(1))}).result().orderBy("day", "id").collect()
+    assert [r.n for r in rows] == list(range(1, 301))
+    assert groups.rows.select(BLOCK).distinct().count() > 4
