@@ -1,20 +1,13 @@
-"""Corpus jobs: chunking, indexing, exact cosine top-k, prompt context."""
+"""Corpus jobs: chunking, indexing, prompt context."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.chunking import chunk_array
 
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-QUERIES_PER_STEP = 512
-ROWS_PER_CELL = 50_000
-
 
 def chunk_text(
     docs: DataFrame,
@@ -60,167 +53,6 @@ def chunk_counts(chunks: DataFrame, doc_key: str = "doc_id") -> DataFrame:
     return chunks.groupBy(doc_key).agg(F.count("*").alias("chunks"))
 
 
-def _lengths(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Length of each vector; 0 for null."""
-    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False)
-
-
-def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    """Unit vectors of `width` numbers, one per row; a zero, missing or differently long vector, or one with a null
-    in it, is NaN and never matches."""
-    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    fits = _lengths(array) == width
-    matrix = np.full((len(array), width), np.nan)
-    if width and fits.any():
-        flat = array.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False)
-        matrix[fits] = flat.astype(np.float64).reshape(-1, width)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-
-
-def _candidates(
-    queries: pa.Table, q_unit: np.ndarray, chunks: pa.Table, k: int, filters: Sequence[str]
-) -> pa.Table:
-    """Per query every chunk at least as near as its k-th: k rows and the ties of the last."""
-    c_unit = _matrix(chunks["embedding"], q_unit.shape[1])
-    c_filters = [np.asarray(chunks[f].to_pylist(), object) for f in filters]
-    parts = []
-    for start in range(0, len(q_unit), QUERIES_PER_STEP):
-        stop = min(start + QUERIES_PER_STEP, len(q_unit))
-        sims = np.round(q_unit[start:stop] @ c_unit.T, 6)
-        sims[np.isnan(sims)] = -np.inf
-        for name, have in zip(filters, c_filters):
-            wanted = np.asarray(queries[name].slice(start, stop - start).to_pylist(), object)
-            free = np.array([w is None for w in wanted])
-            sims[~(free[:, None] | (wanted[:, None] == have[None, :]))] = -np.inf
-        if sims.shape[1] > k:
-            kth = np.partition(sims, -k, axis=1)[:, -k]
-            keep = (sims >= kth[:, None]) & np.isfinite(sims)
-        else:
-            keep = np.isfinite(sims)
-        q_at, c_at = np.nonzero(keep)
-        parts.append(
-            pa.table(
-                {
-                    "query_id": queries["id"].take(pa.array(q_at + start)),
-                    "chunk_id": chunks["id"].take(pa.array(c_at)),
-                    "similarity": pa.array(sims[q_at, c_at]),
-                }
-            )
-        )
-    return pa.concat_tables(parts)
-
-
-def _top(hits: pa.Table, k: int) -> pa.Table:
-    """The k nearest per query; equal similarities go by chunk id."""
-    ordered = hits.sort_by(
-        [("query_id", "ascending"), ("similarity", "descending"), ("chunk_id", "ascending")]
-    )
-    if not len(ordered):
-        return ordered
-    codes = ordered["query_id"].combine_chunks().dictionary_encode().indices.to_numpy()
-    first = np.r_[True, codes[1:] != codes[:-1]]
-    index = np.arange(len(codes))
-    rank = index - np.maximum.accumulate(np.where(first, index, 0))
-    return ordered.filter(pa.array(rank < k))
-
-
-def _search(
-    queries: pa.Table, batches: Iterable[pa.Table], k: int, filters: Sequence[str]
-) -> pa.Table | None:
-    """Vectors are compared with those of their own length."""
-    lengths, best = _lengths(queries["embedding"]), None
-    by_width = [queries.filter(pa.array(lengths == w)) for w in sorted(set(lengths.tolist()) - {0})]
-    units = [_matrix(own["embedding"], len(own["embedding"][0])) for own in by_width]
-    for chunks in batches:
-        if not len(chunks):
-            continue
-        found = [_candidates(own, unit, chunks, k, filters) for own, unit in zip(by_width, units)]
-        if found:
-            best = _top(pa.concat_tables(found if best is None else [best, *found]), k)
-    return best
-
-
-def knn_topk(
-    queries: DataFrame,
-    chunks: DataFrame,
-    k: int = 3,
-    filter_cols: Sequence[str] = ("knowledge_point", "tenant_id"),
-    min_similarity: float | None = None,
-    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-    rows_per_cell: int = ROWS_PER_CELL,
-) -> DataFrame:
-    """Exact cosine top-k: query_id, chunk_id, similarity, rank.
-
-    No pair table is ever built: tasks multiply blocks of vectors and pass on k rows per query.
-    - Queries whose measured size (all vectors and filter values) is below the limit are broadcast, and chunks are searched where
-      they are scanned, without a shuffle.
-    - Beyond it both sides are dealt into blocks of `rows_per_cell`, and every (query block,
-      chunk block) cell is one group of bounded size whatever the filter values' skew.
-    A null filter value of a query means no filter. Only vectors of equal length are compared; a null, zero or empty
-    vector finds nothing and is not found. Similarities are rounded to six digits and
-    ties go by chunk id, so the result does not depend on the partitioning.
-    """
-    filters = [c for c in filter_cols if c in queries.columns and c in chunks.columns]
-    columns = ["id", "embedding", *filters]
-    q, c = queries.select(*columns), chunks.select(*columns)
-    types = {f.name: f.dataType.simpleString() for f in q.schema.fields}
-    chunk_id = c.schema["id"].dataType.simpleString()
-    schema = f"query_id {types['id']}, chunk_id {chunk_id}, similarity double"
-
-    strings = [F.coalesce(F.sum(F.octet_length(F.col(f).cast("string"))), F.lit(0)) for f in filters]
-    measured = F.coalesce(F.sum(F.greatest(F.size("embedding"), F.lit(0))), F.lit(0)) * 8 + F.count(F.lit(1)) * 64
-    if q.select(sum(strings, measured)).first()[0] <= max_broadcast_bytes:
-        head = q.toArrow()
-        partial = _search_in_scan(c, head, k, filters, schema)
-    else:
-        partial = _search_in_cells(q, c, k, filters, schema, rows_per_cell)
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    hits = partial.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
-    if min_similarity is not None:
-        hits = hits.filter(F.col("similarity") >= min_similarity)
-    return hits
-
-
-def _search_in_scan(c: DataFrame, head: pa.Table, k: int, filters, schema: str) -> DataFrame:
-    shared = c.sparkSession.sparkContext.broadcast(head)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = (pa.Table.from_batches([b]) for b in batches)
-        best = _search(shared.value, tables, k, filters)
-        if best is not None:
-            yield from best.to_batches()
-
-    return c.mapInArrow(search, schema)
-
-
-def _search_in_cells(q: DataFrame, c: DataFrame, k: int, filters, schema: str, rows: int) -> DataFrame:
-    q_blocks, c_blocks = (max(1, -(-side.count() // rows)) for side in (q, c))
-
-    def deal(side: DataFrame, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
-        return side.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(own_blocks))).withColumn(
-            other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(other_blocks - 1).cast("bigint")))
-        )
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        best = _search(left, [right], k, filters)
-        return best if best is not None else empty
-
-    cells_q = deal(q, "_qb", q_blocks, "_cb", c_blocks).groupBy("_qb", "_cb")
-    cells_c = deal(c, "_cb", c_blocks, "_qb", q_blocks).groupBy("_qb", "_cb")
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    kinds = [part.split()[1] for part in schema.split(", ")[:2]]
-    empty = pa.table(
-        {
-            "query_id": pa.array([], arrow[kinds[0]]),
-            "chunk_id": pa.array([], arrow[kinds[1]]),
-            "similarity": pa.array([], pa.float64()),
-        }
-    )
-    return cells_q.cogroup(cells_c).applyInArrow(search, schema)
-
-
 def with_content(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits with their text; hits without text go, after the limit as in retrieval."""
     texts = chunks.select(F.col("id").alias("chunk_id"), "content")

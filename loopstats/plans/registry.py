@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import jsons, redaction, rules, vectors
 from ..operators import (
-    agreement, calibration, cost, governance, hygiene, knowledge, lifecycle, listing, quality, samples, validate,
+    agreement, calibration, cost, governance, hygiene, knowledge, lifecycle, listing, nearest, quality, samples,
+    validate,
 )
 from ..schemas import CONTENT_MOVES
 from ..sources import derive as d, documents, sinks
@@ -515,13 +516,13 @@ def chunk_counts(s, p):
 @query
 def knn_topk(s, p):
     vectors = d.knowledge_vectors(s, p)
-    return knowledge.knn_topk(vectors, vectors, 3, filter_cols=())
+    return nearest.knn_topk(vectors, vectors, 3, filter_cols=())
 
 
 @query
 def knn_topk_filtered(s, p):
     vectors = d.knowledge_vectors(s, p)
-    return knowledge.knn_topk(vectors, vectors, 3, filter_cols=["knowledge_point"], min_similarity=0.2)
+    return nearest.knn_topk(vectors, vectors, 3, filter_cols=["knowledge_point"], min_similarity=0.2)
 
 
 @query
@@ -541,7 +542,7 @@ def vectors_distance():
 
 def _contexts(s, p):
     chunks = d.knowledge_vectors(s, p)
-    hits = knowledge.with_content(knowledge.knn_topk(chunks, chunks, 3, filter_cols=()), chunks)
+    hits = knowledge.with_content(nearest.knn_topk(chunks, chunks, 3, filter_cols=()), chunks)
     return knowledge.rag_context(hits)
 
 

@@ -1,12 +1,14 @@
 """Chunking, retrieval, prompts and the sample pool."""
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loopstats.functions.chunking import split_text
 from loopstats.functions.vectors import cosine_distance
-from loopstats.operators import knowledge, samples
+from loopstats.operators import knowledge, nearest, samples
 
 
 def test_short_and_blank_texts():
@@ -79,8 +81,8 @@ def brute(queries, chunks, k, filters):
 
 
 @pytest.mark.parametrize("filters", [[], ["knowledge_point"], ["knowledge_point", "tenant_id"]])
-@pytest.mark.parametrize("limit", [1 << 26, 0])
-def test_knn_equals_brute_force(spark, filters, limit):
+@pytest.mark.parametrize("rows", [50_000, 9])
+def test_knn_equals_brute_force(spark, filters, rows):
     rng = np.random.default_rng(3)
     vec = lambda: [float(x) for x in rng.integers(-2, 3, 5)]  # many ties, some zero vectors
     point = lambda: "hot" if rng.random() < 0.5 else str(rng.integers(3))
@@ -91,7 +93,7 @@ def test_knn_equals_brute_force(spark, filters, limit):
     ]
     schema = "embedding array<float>, knowledge_point string, tenant_id string"
     q, c = spark.createDataFrame(queries, "id string, " + schema), spark.createDataFrame(chunks, "id bigint, " + schema)
-    hits = knowledge.knn_topk(q, c.repartition(5), 3, filters, max_broadcast_bytes=limit, rows_per_cell=32)
+    hits = nearest.knn_topk(q, c.repartition(5), 3, filters, rows_per_cell=rows, centres=12)
     got = sorted((r.query_id, r.chunk_id, r.similarity, r.rank) for r in hits.collect())
     assert got == brute(queries, chunks, 3, filters)
 
@@ -99,11 +101,44 @@ def test_knn_equals_brute_force(spark, filters, limit):
 def test_knn_threshold_and_empty_sides(spark):
     schema = "id bigint, embedding array<float>, content string"
     c = spark.createDataFrame([(1, [1.0, 0.0], "one"), (2, [0.0, 1.0], ""), (3, [-1.0, 0.0], "x")], schema)
-    hits = knowledge.knn_topk(c.limit(1), c, 3, min_similarity=0.0)
+    hits = nearest.knn_topk(c.limit(1), c, 3, min_similarity=0.0)
     assert {(r.chunk_id, r.similarity) for r in hits.collect()} == {(1, 1.0), (2, 0.0)}
     assert [r.content for r in knowledge.with_content(hits, c).collect()] == ["one"]
-    assert knowledge.knn_topk(c.limit(0), c).count() == 0
-    assert knowledge.knn_topk(c, c.limit(0)).count() == 0
+    assert nearest.knn_topk(c.limit(0), c).count() == 0
+    assert nearest.knn_topk(c, c.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["random", "clustered", "copies"])
+def test_knn_prunes_and_stays_exact(spark, kind):
+    """4,000 vectors of 24 numbers, each a query and a chunk, against one product of matrices."""
+    rng = np.random.default_rng(8)
+    n = 4000
+    vectors = rng.normal(size=(n, 24))
+    if kind != "random":
+        vectors = 8 * rng.normal(size=(40, 24))[rng.integers(0, 40, n)] + vectors
+    if kind == "copies":  # a third of all rows is one vector
+        vectors[: n // 3] = vectors[0]
+    frame = spark.createDataFrame(pd.DataFrame({"id": range(n), "embedding": list(vectors)}), "id long, embedding array<double>").repartition(4)
+    counter = spark.sparkContext.accumulator(0)
+    hits = nearest.knn_topk(frame, frame, 4, (), rows_per_cell=300, centres=100, products=counter).toPandas()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 6)
+    order = np.lexsort((np.broadcast_to(np.arange(n), (n, n)), -sims), axis=1)[:, :4]
+    wanted = np.take_along_axis(sims, order, axis=1)
+    hits = hits.sort_values(["query_id", "rank"])
+    assert np.abs(hits.similarity.to_numpy().reshape(n, 4) - wanted).max() < 2e-6
+    same = hits.chunk_id.to_numpy().reshape(n, 4) == order
+    assert same.mean() > 0.999  # the sixth digit of a product may fall either way
+    assert 0 < counter.value < (0.2 if kind == "clustered" else 1.1) * n * n
+
+
+def test_a_block_is_bounded(spark):
+    cells = nearest.Cells(pa.table({"id": [1], "embedding": pa.array([[1.0, 0.0]])}))
+    first = 2 * nearest.CENTRES
+    cells.lay_out([(first, 0, 3), (first, 1, 4), (first, 5, 25), (first, 9, 1)], 10)
+    assert cells.blocks[first] == [(0, 2, 0, 1, 7), (5, 6, 1, 3, 25), (9, 10, 4, 1, 1)] and cells.loose == {2: 5}
+    got = cells.block_of(np.array([first] * 6 + [-1]), np.array([0, 1, 5, 5, 5, 7, 0]), np.array([0, 1, 3, 4, 5, 0, 0], np.uint64))
+    assert got.tolist() == [0, 0, 1, 2, 3, 5, -1]
 
 
 def test_prompt(spark):
@@ -141,10 +176,10 @@ def test_chunks_in_sql(spark):
     assert sorted((r.id, r.chunk_index, len(r.content)) for r in rows.collect()) == [(1, 0, 10), (1, 1, 10), (1, 2, 9)]
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
-def test_vectors_of_other_lengths_or_none_never_match(spark, limit):
+@pytest.mark.parametrize("centres", [0, 1, 256])
+def test_vectors_of_other_lengths_or_none_never_match(spark, centres):
     schema = "id bigint, embedding array<float>"
     q = spark.createDataFrame([(1, None), (2, []), (3, [1.0, 0.0]), (4, [0.0, 1.0, 5.0]), (5, [0.0, 0.0])], schema).coalesce(1)
     c = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0, 5.0]), (3, [2.0]), (4, None), (5, [3.0, 4.0]), (6, [None, 1.0])], schema).coalesce(1)
-    got = knowledge.knn_topk(q, c, 3, (), max_broadcast_bytes=limit)
+    got = nearest.knn_topk(q, c, 3, (), centres=centres)
     assert sorted((r.query_id, r.chunk_id, r.similarity) for r in got.collect()) == [(3, 1, 1.0), (3, 5, 0.6), (4, 2, 1.0)]

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loopstats.operators import calibration, cost, hygiene, knowledge, listing, samples
+from loopstats.operators import calibration, cost, hygiene, knowledge, listing, nearest, samples
 from loopstats.sources import derive as d, sinks, tables
 
 
@@ -76,4 +76,4 @@ def test_partitioning_does_not_show(spark, sf_dir, parts):
     recs, content, t = d.quality_record(spark, sf_dir), d.content_item(spark, sf_dir), d.quality_templates(spark, sf_dir)
     assert rows(calibration.calibrate(cut(recs), cut(content), t)) == rows(calibration.calibrate(recs, content, t))
     vec = d.knowledge_vectors(spark, sf_dir)
-    assert rows(knowledge.knn_topk(vec, cut(vec), 3, ())) == rows(knowledge.knn_topk(vec, vec, 3, ()))
+    assert rows(nearest.knn_topk(vec, cut(vec), 3, ())) == rows(nearest.knn_topk(vec, vec, 3, ()))
