@@ -29,9 +29,9 @@ from . import blocks as B, common as C
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
 #: Segments longer than this are merged with a queue, one by one; bytes of distinct segments in one suffix array.
-LONG, AT_ONCE = 256, 1 << 20
+LONG, AT_ONCE = 256, 1 << 19
 #: Bytes of texts that are put together at once (longer texts are cut), and that share a search; segments remembered.
-CHUNK, WINDOW, REMEMBERED = 1 << 20, 1 << 23, 1 << 18
+CHUNK, WINDOW, REMEMBERED = 1 << 20, 1 << 23, 1 << 17
 NONE = np.iinfo(np.int32).max
 #: Numbers in one step of a gathering.
 STEP = 1 << 18
