@@ -10,7 +10,7 @@ from ..functions.costing import call_cost, token_breakdown
 from ..functions.rules import blank_to_null
 from ..schemas import FLAT_PRICE_PER_1K
 from .listing import matching, time_range
-from .ordered import ordered_groups, running, since_reset
+from .ordered import ordered_groups, previous, running, since_reset
 
 
 def _zero_sum(name: str) -> Column:
@@ -315,3 +315,18 @@ def model_health(
         health.alias("health_status"),
         F.when(failures >= threshold, until).alias("cooldown_until"),
     )
+
+
+def model_recoveries(calls: DataFrame, as_of, threshold: int = 2, cooldown_seconds: int = 60) -> DataFrame:
+    """The end of each cooldown: an unhealthy model is eligible again at `cooldown_until` if no call came before.
+
+    One row for each cooldown that ran out by the model's next call, or by `as_of` where none followed (null: only
+    those before a next call): model, failure_count, eligible_at.
+    """
+    states = model_health(calls, threshold, cooldown_seconds)
+    groups = ordered_groups(states, ["model"], ["created_at", "id"])
+    seen = previous(groups, "_p", ["failure_count", "cooldown_until"]).result()
+    ended = seen.filter(F.col("_p.cooldown_until") <= F.col("created_at")).select("model", "_p.failure_count", F.col("_p.cooldown_until").alias("eligible_at"))
+    last = states.groupBy("model").agg(F.max_by(F.struct("failure_count", "cooldown_until"), F.struct("created_at", "id")).alias("_p"))
+    quiet = last.filter(F.col("_p.cooldown_until") <= F.lit(as_of).cast("timestamp"))
+    return ended.unionByName(quiet.select("model", "_p.failure_count", F.col("_p.cooldown_until").alias("eligible_at")))

@@ -410,6 +410,11 @@ add("model_health", "calls", """SELECT id, model, success, epoch_us(created_at)
     CASE WHEN failures >= 2 THEN epoch_us(created_at) + 60000000 END AS cooldown_until
     FROM (SELECT *, count(*) FILTER (NOT success) OVER (PARTITION BY model, island ORDER BY created_at, id) AS failures
         FROM (SELECT *, sum(success::int) OVER (PARTITION BY model ORDER BY created_at, id) AS island FROM calls))""")
+add("model_recoveries", "calls", """SELECT model, failures AS failure_count, epoch_us(created_at) + 60000000 AS eligible_at
+    FROM (SELECT *, lead(created_at) OVER (PARTITION BY model ORDER BY created_at, id) AS later
+        FROM (SELECT *, count(*) FILTER (NOT success) OVER (PARTITION BY model, island ORDER BY created_at, id) AS failures
+            FROM (SELECT *, sum(success::int) OVER (PARTITION BY model ORDER BY created_at, id) AS island FROM calls)))
+    WHERE failures >= 2 AND epoch_us(created_at) + 60000000 <= epoch_us(coalesce(later, TIMESTAMP '2030-01-01'))""")
 
 # --- quality ------------------------------------------------------------------------------------
 add("quality_content_join", "records content", """SELECT r.id, r.item_id, c.template_id, r.source, r.score

@@ -258,6 +258,11 @@ def model_health(s, p):
     return cost.model_health(d.trace_log(s, p))
 
 
+@query
+def model_recoveries(s, p):
+    return cost.model_recoveries(d.trace_log(s, p), datetime(2030, 1, 1, tzinfo=timezone.utc))
+
+
 # --- quality ------------------------------------------------------------------------------------
 @query
 def quality_content_join(s, p):

@@ -65,24 +65,31 @@ def st_event_dedup(stream: DataFrame, watermark: str = "1 hour", key: str = "eve
 
 
 def _stateful(
-    stream: DataFrame, key: str, processor, schema: str, mode: str = "Append", ttl_ms: int | None = None
+    stream: DataFrame, key: str, processor, schema: str, mode: str = "Append", ttl_ms: int | None = None, time: str | None = None
 ) -> DataFrame:
     if stream.sparkSession.conf.get(STATE_STORE, None) != ROCKSDB:
         raise RuntimeError(f"set {STATE_STORE} to {ROCKSDB}, as build_session does")
     return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode="ProcessingTime" if ttl_ms else "None"
+        statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=time or ("ProcessingTime" if ttl_ms else "None")
     )
 
 
-def st_model_health(stream: DataFrame, threshold: int = 2, cooldown_seconds: int = 60) -> DataFrame:
-    """Health of each model after each call. The state is one counter per model; within a
-    micro-batch calls go in event-time order, across batches in arrival order."""
+def st_model_health(
+    stream: DataFrame, threshold: int = 2, cooldown_seconds: int = 60, watermark: str = "10 minutes"
+) -> DataFrame:
+    """Health of each model after each call, and a row `eligible` at the end of each cooldown.
+
+    That row (without id and success; created_at and cooldown_until are the end) comes when the watermark passes the end
+    and no call of the model did, by a timer, or before the row of a later call. The state is one counter and one cooldown per model;
+    within a micro-batch calls go in event-time order, across batches in arrival order; calls later than the watermark
+    are dropped.
+    """
     schema = (
         "id bigint, model string, success boolean, created_at timestamp, failure_count bigint, "
         "health_status string, cooldown_until timestamp"
     )
-    columns = stream.select("id", "model", "success", "created_at")
-    return _stateful(columns, "model", ModelHealth(threshold, cooldown_seconds), schema)
+    columns = stream.select("id", "model", "success", "created_at").withWatermark("created_at", watermark)
+    return _stateful(columns, "model", ModelHealth(threshold, cooldown_seconds), schema, time="EventTime")
 
 
 def st_budget_alert(

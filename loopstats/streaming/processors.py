@@ -1,4 +1,4 @@
-"""Stateful processors: a counter per model, a running spend per task."""
+"""Stateful processors: a counter and a cooldown per model, a running spend and the item states per task."""
 
 from __future__ import annotations
 
@@ -14,23 +14,42 @@ def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class ModelHealth(StatefulProcessor):
-    """Failures since the last success, per model."""
+    """Failures since the last success, per model, and the end of its cooldown.
+
+    The state is the number of failures and the cooldown at work. A timer stands at its end; a later call moves it
+    (another failure) or takes it away (a success). A call that comes after the end says so before its own row.
+    """
 
     def __init__(self, threshold: int, cooldown_seconds: int):
         self.threshold, self.cooldown = threshold, pd.Timedelta(seconds=cooldown_seconds)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.failures = handle.getValueState("failures", "n bigint")
+        self.handle = handle
+        self.state = handle.getValueState("health", "failures bigint, until bigint")  # until: microseconds, 0 for none
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         calls = _in_order(rows)
-        carried = self.failures.get()[0] if self.failures.exists() else 0
+        carried, until = self.state.get() if self.state.exists() else (0, 0)
         ok = calls["success"].astype(bool)
         run = (~ok).astype("int64").groupby(ok.cumsum()).cumsum()
         run = run + carried * (ok.cumsum() == 0)
-        self.failures.update((int(run.iloc[-1]),))
         sick = run >= self.threshold
+        cooldown = (calls["created_at"] + self.cooldown).where(sick)
         health = pd.Series("degraded", index=run.index).mask(run == 0, "healthy").mask(sick, "unhealthy")
+        # the cooldown that each call finds at work, and whether it has run out by then
+        found = cooldown.shift(1)
+        failed = run.shift(1)
+        if until:
+            found.iloc[0], failed.iloc[0] = _instant(until), carried
+            self.handle.deleteTimer(_timer(until))
+        over = (found <= calls["created_at"]).fillna(False)
+        last = cooldown.iloc[-1]
+        until = 0 if pd.isna(last) else int(last.value // 1000)
+        self.state.update((int(run.iloc[-1]), until))
+        if until:
+            self.handle.registerTimer(_timer(until))
+        if over.any():
+            yield _eligible(key[0], found[over], failed[over])
         yield pd.DataFrame(
             {
                 "id": calls["id"],
@@ -39,14 +58,45 @@ class ModelHealth(StatefulProcessor):
                 "created_at": calls["created_at"],
                 "failure_count": run,
                 "health_status": health,
-                "cooldown_until": (calls["created_at"] + self.cooldown).where(sick),
+                "cooldown_until": cooldown,
             }
         )
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        failures, until = self.state.get() if self.state.exists() else (0, 0)
+        if until and _timer(until) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.update((failures, 0))
+            yield _eligible(key[0], pd.Series([_instant(until)]), pd.Series([failures]))
+
     def close(self) -> None:
         pass
 
 
+def _instant(micros: int) -> pd.Timestamp:
+    return pd.Timestamp(micros * 1000)
+
+
+def _timer(micros: int) -> int:
+    """Timers are in milliseconds; the first not before the instant."""
+    return -(-micros // 1000)
+
+
+def _eligible(model, at: pd.Series, failures: pd.Series) -> pd.DataFrame:
+    """Rows without a call: the model may be called again from `created_at` on."""
+    n = len(at)
+    return pd.DataFrame(
+        {
+            "id": pd.array([None] * n, "Int64"),
+            "model": model,
+            "success": pd.array([None] * n, "boolean"),
+            "created_at": at.astype("datetime64[ns]").to_numpy(),
+            "failure_count": failures.astype("int64").to_numpy(),
+            "health_status": "eligible",
+            "cooldown_until": at.astype("datetime64[ns]").to_numpy(),
+        }
+    )
+
+
 class BudgetAlert(StatefulProcessor):
     """First call at which a task's spend reaches the budget of that call; a budget of 0 is none.
 

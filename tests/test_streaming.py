@@ -161,8 +161,43 @@ def test_event_dedup(spark, tmp_path):
 
 
 def test_model_health_equals_batch(spark, calls_dir, tmp_path):
-    got = run(jobs.st_model_health(stream(spark, calls_dir)), "append", tmp_path, "health")
-    assert rows(got) == rows(cost.model_health(spark.read.parquet(calls_dir)))
+    got = run(jobs.st_model_health(stream(spark, calls_dir), watermark="0 seconds"), "append", tmp_path, "health")
+    calls = spark.read.parquet(calls_dir)
+    assert rows(got.filter("id is not null")) == rows(cost.model_health(calls))
+    ended = got.filter("id is null")
+    newest = calls.agg(F.max("created_at")).first()[0]
+    wanted = rows(cost.model_recoveries(calls, newest))
+    assert wanted and rows(ended.select("model", "failure_count", F.col("created_at").alias("eligible_at"))) == wanted
+    assert {(r.success, r.health_status, r.cooldown_until == r.created_at) for r in ended.collect()} == {(None, "eligible", True)}
+
+
+def test_cooldowns_end_without_a_call(spark, tmp_path):
+    """Model a fails twice and is never called again; calls of b move the time on. c is called within its cooldown."""
+    path = str(tmp_path / "in")
+    batches = [
+        [(1, "a", False, 0), (2, "a", False, 10), (3, "c", False, 0), (4, "c", False, 20)],
+        [(5, "c", True, 50), (6, "b", True, 60)],
+        [(7, "b", True, 75)],
+        [(8, "b", False, 300), (9, "b", False, 301), (10, "b", False, 330), (11, "b", True, 500)],
+    ]
+    for batch in batches:
+        frame = spark.createDataFrame(batch, "id bigint, model string, success boolean, s bigint")
+        frame.withColumn("created_at", F.timestamp_seconds(F.col("s") + 1000)).drop("s").coalesce(1).write.mode("append").parquet(path)
+    emitted = []
+    query = (
+        jobs.st_model_health(stream(spark, path), watermark="0 seconds").writeStream
+        .foreachBatch(lambda df, i: emitted.extend((i, r.model, r.id, r.failure_count, r.health_status, r.created_at.timestamp() - 1000) for r in df.collect()))
+        .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(200)
+    assert query.exception() is None
+    ended = sorted((e for e in emitted if e[4] == "eligible"), key=lambda e: e[1])
+    assert [e[1:] for e in ended] == [("a", None, 2, "eligible", 70.0), ("b", None, 3, "eligible", 390.0)]
+    assert 2 <= ended[0][0] <= 3  # by the timer, when the time of b's call had passed the end
+    assert len(emitted) == 11 + 2
+    calls = spark.read.parquet(path)
+    twin = cost.model_recoveries(calls, calls.agg(F.max("created_at")).first()[0]).collect()
+    assert sorted((r.model, r.failure_count, r.eligible_at.timestamp() - 1000) for r in twin) == [("a", 2, 70.0), ("b", 3, 390.0)]
 
 
 def test_budget_alert_is_the_first_crossing(spark, calls_dir, tmp_path):
