@@ -160,41 +160,35 @@ def fit_weights(lenient: DataFrame, weights: DataFrame, alpha: float = 1.0) -> D
     ).select("template_id", "dim", "default_weight", F.col("fitted")[F.col("dim")].alias("weight"))
 
 
-#: Buckets of one step of p10_rank.
-STEPS = 4096
+#: The sketch of p10_rank tells ranks to one part in ACCURACY; its bracket is MARGIN such parts to either side.
+ACCURACY, MARGIN = 10_000, 10
 
 
 def p10_rank(df: DataFrame, value: str, by: str) -> DataFrame:
-    """Element number n div 10 (from 0) of the sorted values of each group, exactly.
+    """Element number n div 10 (from 0) of the sorted values of each group, exactly, in two passes.
 
-    No group is sorted whole, whatever its values: distinct values are counted in `STEPS` equal buckets between the
-    least and the greatest of the group, the counts tell the bucket that holds the rank, and that bucket is cut into as
-    many again. Only what is left after that is ranked. Each window sees a fixed number of rows per group.
+    The first pass counts each group and brackets the element by a mergeable quantile sketch. The second counts the
+    values inside the bracket one by one and those below it as one; running counts over them pick the element. The
+    bracket holds a 500th of a group (a group of fewer than ACCURACY values is its own), so no group is sorted whole.
+    Should a sketch ever miss, the job fails.
     """
-    group = Window.partitionBy(by)
-    left = df.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    n = left.groupBy(by).agg(F.sum("_n").alias("n")).select(by, "n", (F.floor(F.col("n") / 10) + 1).alias("_rank"))
-    for _ in range(2):
-        span = left.groupBy(by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-        step = F.coalesce(F.least(F.floor(share * STEPS), F.lit(STEPS - 1)), F.lit(0)).cast("int")
-        left = _with_group(left, span, by).withColumn("_bucket", step).drop("_lo", "_hi")
-        upto = F.sum("_n").over(group.orderBy("_bucket"))
-        counts = left.groupBy(by, "_bucket").agg(F.sum("_n").alias("_n")).withColumn("_before", upto - F.col("_n"))
-        holder = _with_group(counts, n, by).filter((F.col("_before") < F.col("_rank")) & (F.col("_before") + F.col("_n") >= F.col("_rank")))
-        n = holder.select(by, "n", (F.col("_rank") - F.col("_before")).alias("_rank"))
-        inside = holder.select(F.col(by).alias("_by"), F.col("_bucket").alias("_at"))
-        left = left.join(inside, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_bucket") == F.col("_at"))).select(by, "_v", "_n")
-    ranked = _with_group(left, n, by).withColumn("_upto", F.sum("_n").over(group.orderBy("_v")))
-    return ranked.filter(
-        (F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank"))
-    ).select(by, "n", F.col("_v").alias("p10"))
-
-
-def _with_group(rows: DataFrame, facts: DataFrame, by: str) -> DataFrame:
-    """`rows` with the facts of their group; null is a group."""
-    named = facts.withColumnRenamed(by, "_group")
-    return rows.join(named, F.col(by).eqNullSafe(F.col("_group"))).drop("_group")
+    rows = df.filter(F.col(value).isNotNull()).select(F.col(by).alias("_by"), F.col(value).alias("_v"))
+    far = MARGIN / ACCURACY
+    sketch = F.percentile_approx("_v", F.array(F.lit(0.1 - far), F.lit(0.1 + far)), F.lit(ACCURACY))
+    facts = rows.groupBy(F.col("_by").alias("_of")).agg(F.count("*").alias("n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), sketch.alias("_s"))
+    large = F.col("n") >= ACCURACY
+    facts = facts.select(
+        "_of", "n", F.when(large, F.col("_s")[0]).otherwise(F.col("_least")).alias("_lo"), F.when(large, F.col("_s")[1]).otherwise(F.col("_most")).alias("_hi")
+    )
+    known = rows.join(facts, F.col("_by").eqNullSafe(F.col("_of")))
+    side = F.when(F.col("_v") < F.col("_lo"), 0).when(F.col("_v") <= F.col("_hi"), 1).otherwise(2)
+    known = known.select("_by", "n", side.alias("_side"), F.when(side == 1, F.col("_v")).alias("_v"))
+    counts = known.groupBy("_by", "n", "_side", "_v").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_by").orderBy("_side", "_v"))
+    rank = F.floor(F.col("n") / 10) + 1
+    held = counts.withColumn("_upto", upto).filter((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank))
+    missed = F.raise_error(F.lit("p10_rank: the sketch's bracket does not hold the rank")).cast(df.schema[value].dataType)
+    return held.select(F.col("_by").alias(by), "n", F.when(F.col("_side") == 1, F.col("_v")).otherwise(missed).alias("p10"))
 
 
 def _dim_mean(dims: Column) -> Column:

@@ -187,6 +187,25 @@ def test_p10_is_the_exact_element(spark, n):
     assert calibration.p10_rank(df, "v", "g").first().p10 == sorted(values)[n // 10]
 
 
+@pytest.mark.parametrize("spread", ["even", "skewed", "few"])
+def test_p10_of_large_groups_uses_the_bracket(spark, spread):
+    """Groups above and below the sketch's accuracy, from many partitions; rows of the bracket alone are counted by value."""
+    value = {"even": "xxhash64(id) % 1000003", "skewed": "cast(pow(2, pmod(xxhash64(id), 600) / 10.0) as long)", "few": "pmod(xxhash64(id), 3)"}[spread]
+    df = spark.range(0, 70_000, numPartitions=7).selectExpr("if(id < 52347, 'large', if(id < 69000, 'middle', null)) g", f"cast({value} as double) v")
+    got = {r.g: (r.n, r.p10) for r in calibration.p10_rank(df, "v", "g").collect()}
+    values = {}
+    for r in df.collect():
+        values.setdefault(r.g, []).append(r.v)
+    assert got == {g: (len(v), sorted(v)[len(v) // 10]) for g, v in values.items()}
+
+
+def test_p10_reads_twice_and_joins_once(spark):
+    df = spark.range(100).selectExpr("id % 3 g", "id v")
+    plan = calibration.p10_rank(df, "v", "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 2 and plan.count("Join ") == 1 and plan.count("Window ") == 1
+
+
+
 def test_kappa(spark):
     def kappa(truth, pred):
         df = spark.createDataFrame(list(zip(truth, pred)), "t int, p int")
