@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.chunking import chunk_array
@@ -23,17 +24,60 @@ def chunk_text(
     return docs.select(*others, F.posexplode(chunks).alias("chunk_index", "content"))
 
 
+Embed = Callable[[list[str]], Sequence[Sequence[float]]]
+
+
+def embed_contents(
+    contents: DataFrame, embed: Embed, content: str = "content", known: DataFrame | None = None, batch: int = 256
+) -> DataFrame:
+    """(digest, embedding) of each distinct text, by a function that takes up to `batch` texts and gives as many vectors.
+
+    A text is sent once, however many rows hold it, and not at all if `known` (digest, embedding) has its digest; null
+    texts are left out. Texts meet by digest before the function sees them, so which task they are in, or that a task
+    runs again, does not matter as long as the function gives equal vectors for equal texts. A batch without a vector
+    for each of its texts fails.
+    """
+    digest = F.sha2(content, 256)
+    new = contents.filter(F.col(content).isNotNull()).groupBy(digest.alias("digest")).agg(F.any_value(content).alias("content"))
+    if known is not None:
+        new = new.join(known.select("digest"), "digest", "left_anti")
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for start in range(0, len(rows), batch):
+                part = rows.slice(start, batch)
+                made = embed(part.column(1).to_pylist())
+                if len(made) != len(part):
+                    raise ValueError(f"{len(made)} vectors for {len(part)} texts")
+                column = pa.array([[float(x) for x in v] for v in made], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), column], ["digest", "embedding"])
+
+    made = new.mapInArrow(vectors, "digest string, embedding array<float>")
+    return made if known is None else made.unionByName(known.select("digest", F.col("embedding").cast("array<float>").alias("embedding")))
+
+
 def index_documents(
     docs: DataFrame,
-    vectors: DataFrame,
+    vectors: DataFrame | None = None,
     doc_key: str = "doc_id",
     source_type: str = "document",
+    embed: Embed | None = None,
+    known: DataFrame | None = None,
     **chunking,
 ) -> DataFrame:
-    """Chunk rows ready for the chunk store, with their vectors and the document's tenant."""
+    """Chunk rows ready for the chunk store, with their vectors and the document's tenant.
+
+    Vectors come from `vectors` (doc_key, chunk_index, embedding), or from the batch function `embed`, which sees each
+    distinct content once (see embed_contents; `known` are vectors made before).
+    """
     chunks = chunk_text(docs, **chunking)
-    keyed = vectors.select(doc_key, "chunk_index", "embedding")
-    joined = chunks.join(keyed, [doc_key, "chunk_index"], "left")
+    if (vectors is None) == (embed is None):
+        raise ValueError("give either vectors or embed")
+    if embed is not None:
+        made = embed_contents(chunks, embed, known=known).withColumnRenamed("digest", "_digest")
+        joined = chunks.join(made, F.sha2("content", 256) == F.col("_digest"), "left").drop("_digest")
+    else:
+        joined = chunks.join(vectors.select(doc_key, "chunk_index", "embedding"), [doc_key, "chunk_index"], "left")
     optional = lambda c: F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c)
     return joined.select(
         F.sha2(F.concat_ws(":", F.col(doc_key).cast("string"), F.col("chunk_index").cast("string")), 256)

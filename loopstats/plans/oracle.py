@@ -597,6 +597,9 @@ add("index_documents", "", """SELECT sha256(c.doc_id || ':' || c.chunk_index) AS
     FROM chunks c JOIN documents d ON d.doc_id = c.doc_id
     LEFT JOIN embeddings e ON e.vec_id // 2 = c.doc_id AND e.vec_id % 2 = c.chunk_index""",
     _chunk_steps("greatest(n.start, n.done)"))
+add("index_embedded", "", """SELECT sha256(doc_id || ':' || chunk_index) AS id, doc_id, chunk_index::int AS chunk_index,
+    length(content) AS chars, length(content) - length(replace(content, 'e', '')) AS letters,
+    length(content) - length(replace(content, ' ', '')) AS spaces FROM chunks""", _chunk_steps("greatest(n.start, n.done)"))
 add("knn_topk", "knn", "SELECT query_id, chunk_id, similarity, rank FROM knn WHERE rank <= 3")
 add("knn_topk_filtered", "knn", """SELECT query_id, chunk_id, similarity, rank FROM (SELECT query_id, chunk_id, similarity,
     row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM knn WHERE same)

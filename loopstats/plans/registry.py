@@ -495,6 +495,19 @@ def chunk_text_reference(s, p):
     return _chunk_rows(knowledge.chunk_text(_documents(s, p), mode="reference"))
 
 
+def _letter_counts(texts):
+    """A stand-in for a model: how many characters a text has, and how many of two of them."""
+    return [(len(t), t.count("e"), t.count(" ")) for t in texts]
+
+
+@query
+def index_embedded(s, p):
+    docs = d.table(s, p, "documents").select("doc_id", "text")
+    rows = knowledge.index_documents(docs, embed=_letter_counts)
+    number = lambda i: F.col("embedding")[i].cast("long")
+    return rows.select("id", "doc_id", "chunk_index", number(0).alias("chars"), number(1).alias("letters"), number(2).alias("spaces"))
+
+
 @query
 def index_documents(s, p):
     vec = F.col("vec_id")

@@ -187,6 +187,25 @@ def write_chunks(chunks: DataFrame, path: str, mode: str = "append") -> None:
     chunks.hint("rebalance", "source_type").write.mode(mode).partitionBy("source_type").parquet(path)
 
 
+def write_bucketed(rows: DataFrame, name: str, path: str, key: str, buckets: int, mode: str = "append") -> None:
+    """A table in `buckets` files by hash of `key`, each sorted by it.
+
+    Tables with equal keys and numbers of buckets are joined and grouped by the key without an exchange, and a lookup
+    of one key reads one bucket: chunks and vectors by document, calls and items by task. Rows are dealt by the key
+    before they are written, so that a bucket is one file a run.
+    """
+    dealt = rows.repartition(buckets, key)
+    dealt.write.format("parquet").mode(mode).bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+
+
+def open_bucketed(spark: SparkSession, name: str, path: str, schema: StructType, key: str, buckets: int) -> DataFrame:
+    """A bucketed table of an earlier session, entered in this session's catalog; buckets are known by the files' names."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    place = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet LOCATION '{place}' CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS")
+    return spark.table(name)
+
+
 class AppendLog:
     """An append-only table in which every run's rows stand once.
 

@@ -59,6 +59,38 @@ def test_index_carries_tenant_and_vector(spark):
     ]
 
 
+def test_each_content_is_embedded_once(spark):
+    seen, batches = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        seen.add(len(texts))
+        batches.add(1)
+        return [[len(t), t.count("a")] for t in texts]
+
+    rows = [(i, ["same text", "other aa", None, "", "x" * 120][i % 5]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    got = knowledge.index_documents(docs, embed=embed, max_chars=50, overlap=0).select("doc_id", "chunk_index", "content", "embedding").collect()
+    assert len(got) == 40 * (1 + 1 + 3) and seen.value == 4  # the two halves of 50 x are one text
+    assert all(list(r.embedding) == [len(r.content), r.content.count("a")] for r in got)
+    chunks = knowledge.chunk_text(docs, max_chars=50, overlap=0)
+    first = knowledge.embed_contents(chunks.filter("length(content) < 10"), embed, batch=1).collect()
+    assert sorted(list(r.embedding) for r in first) == [[8.0, 2.0], [9.0, 1.0]] and batches.value >= 3
+    known, before = spark.createDataFrame(first, "digest string, embedding array<float>"), seen.value
+    every = knowledge.embed_contents(chunks, embed, known=known).collect()
+    assert len({r.digest for r in every}) == len(every) == 4 and seen.value == before + 2
+    # a task that runs again, in other partitions, gives the same rows
+    again = knowledge.embed_contents(chunks.repartition(3), embed, batch=3).collect()
+    assert {r.digest: list(r.embedding) for r in again} == {r.digest: list(r.embedding) for r in every}
+
+
+def test_a_batch_without_all_vectors_fails(spark):
+    texts = spark.range(1000).selectExpr("concat('text ', id) content")
+    with pytest.raises(Exception, match="1 vectors for"):
+        knowledge.embed_contents(texts, lambda texts: [[1.0]]).collect()
+    with pytest.raises(ValueError):
+        knowledge.index_documents(texts.withColumnRenamed("content", "text"))
+
+
 def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0]), ([1.0, 1.0], [2.0, 2.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
     got = [r[0] for r in df.select(F.round(cosine_distance(F.col("a"), F.col("b")), 9)).collect()]

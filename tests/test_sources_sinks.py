@@ -169,3 +169,37 @@ def test_calibrations_and_samples_append_once(spark, sf_dir, tmp_path):
     rows = tables.load(spark, str(tmp_path), "sample_pool")
     wanted = content.filter(F.col("status").isin("passed", "published")).count()
     assert rows.count() == wanted == rows.select("item_id").distinct().count() > 0
+
+
+def test_bucketed_tables_join_without_exchange(spark, sf_dir, tmp_path):
+    docs = derive.table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("source_name"))
+    chunks = knowledge.index_documents(docs, embed=lambda texts: [[len(t), 1.0] for t in texts]).drop("embedding")
+    vectors = docs.select("doc_id", F.length("text").alias("size"))
+    for frame, name in ((chunks, "kb_chunks"), (vectors, "kb_sizes")):
+        sinks.write_bucketed(frame, name, str(tmp_path / name), "doc_id", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table("kb_chunks").join(spark.table("kb_sizes"), "doc_id")
+        counts = joined.groupBy("doc_id").agg(F.count("*").alias("n"))
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan and "Bucketed: true" in plan
+        assert counts.agg(F.sum("n")).first()[0] == chunks.count()
+        one = spark.table("kb_chunks").filter("doc_id = 7")
+        one.collect()
+        read = [f.rsplit("_", 1)[1][:5] for f in one.select(F.input_file_name().alias("f")).distinct().toPandas()["f"]]
+        assert len(set(read)) == 1  # files of one bucket
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # else the plan does not say so
+        plan = spark.table("kb_chunks").filter("doc_id = 7")._jdf.queryExecution().executedPlan().toString()
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+        assert "SelectedBucketsCount: 1 out of 4" in plan
+        sinks.write_bucketed(vectors.limit(3), "kb_sizes", str(tmp_path / "kb_sizes"), "doc_id", 4)  # a second run appends
+        schema = spark.table("kb_chunks").schema
+        spark.sql("DROP TABLE kb_chunks")
+        again = sinks.open_bucketed(spark, "kb_again", str(tmp_path / "kb_chunks"), schema, "doc_id", 4)
+        both = again.join(spark.table("kb_sizes"), "doc_id")
+        assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+        assert again.count() == chunks.count() and spark.table("kb_sizes").count() == vectors.count() + 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("kb_chunks", "kb_sizes", "kb_again"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
