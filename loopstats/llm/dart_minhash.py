@@ -9,8 +9,11 @@ probability of their weighted Jaccard similarity; `bands` groups of `rows` coord
 checked exactly.
 
 Defined cases: a text without words is compared as one element, its whole bytes; null and empty texts are alike
-nothing and form classes of their own. A text of fewer than five words is one run. Rows that repeat an id share one
-class and come back as one. Rows without an id are left out of the search and come back as one with a null class.
+nothing and form classes of their own. A text of fewer than five words is one run. Rows that repeat an id come back as
+one; their texts, if they differ, are of one class, and each of them finds its near copies. Rows without an id take part
+and come back each, with the least id of their class, or null if no member has one. Ties in the choice of a
+representative go by id and hash of the text. An empty table gives no row. Other columns do not matter. A very long text
+is a chunk of its own: memory follows the longest text.
 """
 
 from __future__ import annotations
@@ -123,11 +126,12 @@ def band_keys(darts: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, key, bands): a digest of the text's elements in order, and its band keys; rows without element have nulls."""
+    """(doc_id, h, k1, k2, bands): a hash of the text, a digest of its words in order, and its band keys; rows without
+    element have nulls in the last three."""
 
     def run(batches):
         for batch in batches:
-            ids, text = batch.column(0), batch.column(1)
+            ids, text, h = batch.columns
             for a, b in C.chunks(text, CHUNK):
                 raw, offsets = C.text_bytes(text.slice(a, b - a))
                 row, value = elements(raw, offsets, size)
@@ -142,10 +146,11 @@ def signatures(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int
                     digest[bare] = C.mix(whole.hash[whole.first[:-1][bare]] ^ C.PLACES[50])[:, None]
                 out_bands = pa.array([list(x) if ok else None for x, ok in zip(keys.tolist(), has)], pa.list_(pa.int64()))
                 pair = [pa.array(np.ascontiguousarray(digest[:, i]).view(np.int64), mask=~has) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *pair, out_bands], ["doc_id", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), h.slice(a, b - a), *pair, out_bands], ["doc_id", "h", "k1", "k2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, k1 long, k2 long, bands array<long>"
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(
+        run, "doc_id long, h long, k1 long, k2 long, bands array<long>"
     )
 
 
@@ -250,28 +255,39 @@ def left_over(met: DataFrame, label: DataFrame, stars: DataFrame, centers: DataF
     ).select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, folder: str, similarity: float = SIMILARITY, size: int = SIZE, bands: int = BANDS, rows: int = ROWS
-) -> DataFrame:
-    """(doc_id, class_id) for every id: the least id of those it is linked with, over chains of near copies.
+#: The key of a row: its id (0 for none), whether it has none, the hash of its text.
+ROW = ("__id", "__bare", "__h")
+
+
+def _row_key(df: DataFrame, h) -> DataFrame:
+    return df.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__bare": F.col("doc_id").isNull(), "__h": h})
 
-    Equal texts are one before the search. Of each bucket the member that meets most others is compared with all
-    the rest, which is linear in the bucket and joins nearly everything; then only those pairs of one bucket are
-    compared that lie in different components and can be alike (`left_over`). No link that a bucket holds is lost and
-    no class is expanded to pairs.
+
+def classes(
+    docs: DataFrame, folder: str, similarity: float = SIMILARITY, size: int = SIZE, bands: int = BANDS, rows: int = ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """(signed, named): the digest (k1, k2) of each row, and of each digest its class `c` and the class's least id.
+
+    Texts of one digest are one before the search, known by a number of their own and not by an id, as an id may have
+    several texts or be missing. Of each bucket the member that meets most others is compared with all the rest, which
+    is linear in the bucket and joins nearly everything; then only those pairs of one bucket are compared that lie in
+    different components and can be alike (`left_over`). No link that a bucket holds is lost and no class is expanded
+    to pairs.
     """
     signed = C.cut(signatures(docs, size, bands, rows), folder, "signatures")
-    reps = signed.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")
-    )
-    reps = C.cut(reps, folder, "texts")
+    full = signed.where("k1 is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "h")).alias("r")
+    reps = full.groupBy("k1", "k2").agg(first, F.any_value("bands").alias("bands"))
+    # numbers that are written, so that they stay
+    reps = C.cut(reps.select("k1", "k2", "r.doc_id", "r.h", "bands", F.monotonically_increasing_id().alias("rep")), folder, "texts")
     keyed = reps.select(F.explode("bands").alias("band"), "rep")
     shared = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = C.cut(keyed.join(shared, "band"), folder, "buckets")
-    # a merge join at every size: the ids grow with the table, and a plan that is tried small is the one that runs large
-    wanted = met.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted.hint("merge"), "doc_id")
-    texts = C.cut(texts.groupBy("doc_id").agg(F.min("text").alias("text")), folder, "candidates")
+    wanted = _row_key(reps.join(met.select("rep").distinct(), "rep"), F.col("h")).select(*ROW, "rep")
+    # a merge join at every size: the rows grow with the table, and a plan that is tried small is the one that runs large
+    text = F.col("text").cast("string")
+    texts = _row_key(docs.select("doc_id", text.alias("text")), F.xxhash64("text")).drop("doc_id").join(wanted.hint("merge"), list(ROW))
+    texts = C.cut(texts.groupBy(*ROW).agg(F.min("rep").alias("doc_id"), F.min("text").alias("text")).select("doc_id", "text"), folder, "candidates")
 
     score = met.groupBy("rep").agg(F.sum("n").alias("score"))
     best = F.max_by("rep", F.struct("score", -F.col("rep"))).alias("a")
@@ -283,11 +299,40 @@ def near_duplicates(
 
     pairs = C.cut(left_over(met, label, stars, centers, similarity), folder, "rest")
     more = compared(pairs, texts, size).where(alike(similarity, F.col("both"), F.col("n_a"), F.col("n_b"))).select("a", "b")
-    label = C.components(links.union(more), folder, "classes-1")
-
-    final = reps.select("k1", "k2", "rep").join(label, reps.rep == label.node, "left").select(
-        "k1", "k2", F.coalesce("class_id", "rep").alias("class_id")
-    )
-    return signed.select("doc_id", "k1", "k2").join(final, ["k1", "k2"], "left").groupBy("doc_id").agg(
-        F.when(F.col("doc_id").isNotNull(), F.coalesce(F.min("class_id"), F.col("doc_id"))).alias("class_id")
-    )
+    label = C.components(links.union(more).union(_texts_of_one_id(full, reps)), folder, "classes-1")
+    named = reps.select("k1", "k2", "rep", "doc_id").join(label, reps.rep == label.node, "left")
+    named = named.select("k1", "k2", F.coalesce("class_id", "rep").alias("c"), "doc_id")
+    least = named.groupBy(F.col("c").alias("of")).agg(F.min("doc_id").alias("least"))
+    return signed, named.join(least, F.col("c") == F.col("of")).select("k1", "k2", "c", "least")
+
+
+def _texts_of_one_id(full: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between the texts of an id that has several."""
+    key = F.struct("k1", "k2")
+    several = full.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi")
+    of_id = full.join(several.select("doc_id"), "doc_id").select("doc_id", "k1", "k2").distinct().join(reps.select("k1", "k2", "rep"), ["k1", "k2"])
+    least = of_id.groupBy(F.col("doc_id").alias("of")).agg(F.min("rep").alias("a"))
+    return of_id.join(least, F.col("doc_id") == F.col("of")).where("a <> rep").select("a", F.col("rep").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, folder: str, **search) -> DataFrame:
+    """(doc_id, class_id) for every id, and for every row without one: the least id of those it is linked with, over
+    chains of near copies. `search`: similarity, size, bands, rows."""
+    signed, named = classes(docs, folder, **search)
+    found = signed.where("k1 is not null").select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", F.col("least").alias("class_id"))
+    every = found.union(signed.where("k1 is null").select("doc_id", "doc_id"))
+    by_id = every.where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    return by_id.union(every.where("doc_id is null"))
+
+
+def one_of_each(docs: DataFrame, folder: str, **search) -> DataFrame:
+    """One row of each class, all columns: that of the least id (rows without one come last), then the least hash of the
+    text. Null and empty texts are one class here. Of equal rows one stays."""
+    signed, named = classes(docs, folder, **search)
+    rows = signed.where("k1 is not null").join(named, ["k1", "k2"]).select("c", "doc_id", "h")
+    rows = rows.union(signed.where("k1 is null").select(F.lit(-1).cast("long"), "doc_id", "h"))
+    keep = rows.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "h")).alias("r")).select("r.doc_id", "r.h")
+    keep = C.cut(_row_key(keep, F.col("h")).select(*ROW), folder, "kept")
+    kept = _row_key(docs, F.xxhash64(F.col("text").cast("string"))).join(keep.hint("merge"), list(ROW))
+    one = F.min(F.struct(*docs.columns)).alias("r")  # rows of equal id and text meet here, without another exchange
+    return kept.groupBy(*ROW).agg(one).select("r.*")

@@ -110,25 +110,38 @@ def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
     return [docs.where(first), *rest]
 
 
-def drop_lines(docs: DataFrame, folder: str, least: int = MIN_DOCUMENTS, batches: int = BATCHES) -> DataFrame:
+def batches_of_texts(docs: DataFrame, n: int) -> list[DataFrame]:
+    """`n` batches by hash of the text, which stands for the id: equal texts are in one batch, as one document."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    return [texts.where(F.pmod("doc_id", F.lit(n)) == i) for i in range(n)]
+
+
+def drop_lines(
+    docs: DataFrame, folder: str, least: int = MIN_DOCUMENTS, batches: int = BATCHES, distinct_texts: bool = False
+) -> DataFrame:
     """All columns of `docs`, the text without lines whose key is in `least` documents, and n_lines, n_dropped.
 
+    With `distinct_texts` documents of equal texts count as one, so that copies do not make each other's lines frequent.
     Each document meets the hashes of its own frequent lines only: those come from a join of hashes, never of texts,
     with the frequent ones, and a text is moved once, to the list of its id.
     """
     store = LineRuns(docs.sparkSession, f"{folder}/runs")
-    for batch in batches_of(docs, batches):
-        store.add(hashes_of(batch), settled=least)
+    for batch in batches_of_texts(docs, batches) if distinct_texts else batches_of(docs, batches):
+        hashes = hashes_of(batch)
+        store.add(hashes.distinct() if distinct_texts else hashes, settled=least)
     frequent = C.cut(store.frequent(least), folder, "frequent")
-    bad = hashes_of(docs).join(frequent, "h", "left_semi").groupBy(F.col("doc_id").alias("__line_id")).agg(
+    # rows are known by id and text, so that those without an id do not gather; rows that should share a key by chance
+    # would share their frequent lines, which takes none away that is not frequent
+    row = F.xxhash64("doc_id", "text")
+    bad = hashes_of(docs.select(row.alias("doc_id"), "text")).join(frequent, "h", "left_semi").groupBy(F.col("doc_id").alias("__line_id")).agg(
         F.collect_set("h").alias("__line_bad")
     )
     every = lines(F.col("text"))
     kept = F.filter(every, lambda line: ~F.coalesce(F.array_contains(F.col("__line_bad"), F.unhex(line_hash(line))), F.lit(False)))
     kept = F.when(F.col("__line_bad").isNull(), every).otherwise(kept)
     n_lines = F.size(every).cast("long")
-    out = docs.drop("n_lines", "n_dropped").join(bad, F.col("doc_id").eqNullSafe(F.col("__line_id")), "left")
+    out = docs.drop("n_lines", "n_dropped").withColumn("__line_row", row).join(bad, F.col("__line_row") == F.col("__line_id"), "left")
     out = out.select("*", n_lines.alias("n_lines"), kept.alias("__line_kept"))
     return out.withColumns(
         {"text": F.array_join("__line_kept", "\n"), "n_dropped": F.col("n_lines") - F.size("__line_kept")}
-    ).drop("__line_id", "__line_bad", "__line_kept")
+    ).drop("__line_id", "__line_row", "__line_bad", "__line_kept")

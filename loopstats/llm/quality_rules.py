@@ -30,8 +30,6 @@ GRID = (0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03)
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 RULES = ("symbols", "dup_lines", "repeats", "capitals")
-#: Strata up to this many are broadcast; beyond, cutoffs are joined by shuffle.
-BROADCAST_STRATA = 10_000
 
 
 def _table(chars: str) -> np.ndarray:
@@ -172,8 +170,6 @@ def choose_cutoffs(metrics: DataFrame, labels: DataFrame, folder: str, risk: flo
 def judged(metrics: DataFrame, cutoffs: DataFrame, lang: str = "lang") -> DataFrame:
     """`metrics` with base_failed, kept and the first rule that rejects (null: none)."""
     named = cutoffs.select(F.col("stratum").alias("__stratum"), *(F.col(r).alias(f"__{r}") for r in RULES))
-    if named.count() <= BROADCAST_STRATA:
-        named = F.broadcast(named)
     rows = metrics.join(named, F.col(lang).cast("string").eqNullSafe(F.col("__stratum")), "left")
     over = F.coalesce(*(F.when(v > F.col(f"__{r}"), F.lit(r)) for r, v in rule_values().items()))
     rows = rows.withColumns({"base_failed": base_failed(), "rejected_by": over})

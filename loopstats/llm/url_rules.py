@@ -40,14 +40,8 @@ WORDS = {
         "weightloss xanax"
     ),
 }
-#: (name, verdict, expression over host + path, literal tokens): advertising and tracking, spam, adult and gambling hosts,
-#: and machine pages.
+#: (name, verdict, expression over host + path, literal tokens): advertising paths, machine pages, and hosts by word.
 METHOD = (
-    ("spam-farm", "block", r"^([^/]*\.)?spam-farm\.", ("spam", "farm")),
-    ("cheap-pills", "block", r"^([^/]*\.)?cheap-pills\.", ("cheap", "pills")),
-    ("casino", "block", r"^([^/]*[.-])?casino[.-]", ("casino",)),
-    ("porn", "block", r"^([^/]*[.-])?(porn|xxx)[.-]", ()),
-    ("ads-host", "block", r"^([^/]*\.)?(ads|adserver)\.", ()),
     ("ads-path", "block", r"^[^/]*/([^/]*/)*ads/", ("ads",)),
     ("login", "block", r"^[^/]*/([^/]*/)*wp-login\.php", ("wp", "login", "php")),
     ("cgi", "block", r"^[^/]*/cgi-bin/", ("cgi", "bin")),

@@ -10,9 +10,10 @@ def key(line):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
 
 
-def brute(rows, least):
+def brute(rows, least, distinct=False):
     split = [(r[1] or "").split("\n") for r in rows]
-    times = Counter(k for lines in split for k in {key(x) for x in lines} if k)
+    counted = [text.split("\n") for text in {r[1] or "" for r in rows}] if distinct else split
+    times = Counter(k for lines in counted for k in {key(x) for x in lines} if k)
     return [(r[0], len(x), sum(times[key(y)] >= least for y in x), "\n".join(y for y in x if times[key(y)] < least)) for r, x in zip(rows, split)]
 
 
@@ -27,6 +28,15 @@ def test_against_brute_force(spark, folder, least, batches):
     assert result(got) == sorted(brute(rows, least), key=repr)
 
 
+@pytest.mark.parametrize("least,batches", [(3, 4), (2, 1)])
+def test_copies_count_once(spark, folder, least, batches):
+    rows = cases.corpus(22, 200) + [(1000 + i, "a family\nof equal texts\nwith a line\nShared line, the same everywhere", "en", "s", 0) for i in range(20)] + cases.edge_rows() * 2
+    got = L.drop_lines(cases.frame(spark, rows).repartition(3), folder, least, batches, distinct_texts=True)
+    wanted = brute(rows, least, True)
+    assert result(got) == sorted(wanted, key=repr)
+    assert all(r[3] == "a family\nof equal texts\nwith a line" for r in wanted if (r[0] or 0) >= 1000)
+
+
 def test_awkward_rows(spark, folder):
     rows = cases.edge_rows() * 2
     docs = cases.frame(spark, rows, clashes=True)

@@ -40,7 +40,7 @@ def test_rules_are_filed_under_their_rarest_token(spark, folder):
     pages = spark.createDataFrame([(i, f"http://w{i}.example.com/de/") for i in range(30)] + [(99, "http://q.example.net/en/")], "page_id bigint, url string")
     U.judge_urls(pages, U.rule_table(spark), folder).collect()
     index = {r.rule: r.token for r in spark.read.parquet(f"{folder}/index").collect()}
-    assert index["example.net/en/"] in ("en", "net") and index["example.com/de/"] in ("com", "de", "example") and index["porn"] == ""
+    assert index["example.net/en/"] in ("en", "net") and index["example.com/de/"] in ("com", "de", "example") and all(index.values())  # no rule runs on every URL
 
 
 def test_every_token_is_in_every_match():
