@@ -18,24 +18,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts without lines that ten documents or more have."""
-    rows = line_dedup.drop_lines(docs.select(*DOCUMENTS), common.scratch(spark))
+    """The texts without lines that ten different texts or more have.
+
+    Equal texts count as one here: copies, of which the next stage leaves one, would else empty each other.
+    """
+    rows = line_dedup.drop_lines(docs.select(*DOCUMENTS), common.scratch(spark), distinct_texts=True)
     return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(*DOCUMENTS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one with the least id.
-
-    Texts without any element (null or '') are one class here: line dedup leaves every member of a family of ten or
-    more equal copies as ''.
-    """
-    folder = common.scratch(spark)
-    classes = dart_minhash.near_duplicates(docs, folder)
-    gone = common.cut(classes.where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")), folder, "gone")
-    bare = F.coalesce(F.octet_length("text"), F.lit(0)) == 0
-    least = docs.where(bare).agg(F.min("doc_id")).first()[0]
-    one = ~bare | F.col("doc_id").eqNullSafe(F.lit(least).cast("long"))
-    return docs.where(one).join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*DOCUMENTS)
+    """One row of each class: that of the least id. Null and empty texts are one class; of equal rows one stays."""
+    return dart_minhash.one_of_each(docs.select(*DOCUMENTS), common.scratch(spark))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
