@@ -822,10 +822,9 @@ add("export_lines", "pool", """SELECT sha256('{"template_id":' || to_json(p.temp
     || ',"purpose":' || to_json(purpose) || ',"knowledge_point":' || coalesce(to_json(knowledge_point), 'null')
     || ',"payload":' || to_json(d.text) || ',"meta":{"qc_score":' || (p.doc_id % 101) || '}}') AS digest
     FROM pool p JOIN documents d ON d.doc_id = p.doc_id""")
-add("screen_documents", "", """SELECT '/in/doc%20' || doc_id || ext AS path, 'doc ' || doc_id AS source_name, length, reason,
+add("screen_documents", "", """SELECT '/in/' || replace(name, ' ', '%20') || ext AS path, name AS source_name, length, reason,
     CASE WHEN reason = 'ok' THEN sha256(text) END AS digest
-    FROM (SELECT *, CASE WHEN length = 0 THEN 'empty' WHEN length > 20000 THEN 'too_large' WHEN ext = '.pdf' THEN 'no_parser'
-            WHEN ext = '.bin' THEN 'unsupported_extension' ELSE 'ok' END AS reason
-        FROM (SELECT doc_id, text, strlen(text) AS length,
-                CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.MD' WHEN 2 THEN '.pdf' ELSE '.bin' END AS ext
-            FROM documents))""")
+    FROM (SELECT *, CASE WHEN length = 0 THEN 'empty' WHEN length > 10485760 THEN 'too_large'
+            WHEN ext = '.html' THEN 'unsupported_extension' ELSE 'ok' END AS reason
+        FROM (SELECT 'doc ' || doc_id AS name, text, strlen(text) AS length, CASE lang WHEN 'fr' THEN '.MD' ELSE '.txt' END AS ext FROM documents
+            UNION ALL SELECT 'page' || page_id, html, strlen(html), '.html' FROM pages))""")

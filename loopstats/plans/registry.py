@@ -923,13 +923,11 @@ def export_lines(s, p):
 
 @query
 def screen_documents(s, p):
-    """The documents as files of four kinds, none above 20,000 bytes."""
-    kind = F.get(F.array(*map(F.lit, (".txt", ".MD", ".pdf", ".bin"))), (F.col("doc_id") % 4).cast("int"))
-    content = F.encode("text", "utf-8")
-    files = d.table(s, p, "documents").select(
-        F.concat(F.lit("/in/doc%20"), F.col("doc_id").cast("string"), kind).alias("path"),
-        F.octet_length("text").cast("bigint").alias("length"), content.alias("content"),
-    )
-    ok, rejected = documents.screen_documents(files, 20_000)
+    """The documents as text files (`.MD` for French ones) beside the web pages, whose kind is not taken."""
+    kind = F.when(F.col("lang") == "fr", ".MD").otherwise(".txt")
+    texts = d.table(s, p, "documents").select(F.concat(F.lit("/in/doc%20"), F.col("doc_id").cast("string"), kind).alias("path"), F.col("text"))
+    pages = d.table(s, p, "pages").select(F.concat(F.lit("/in/page"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
+    files = texts.unionByName(pages).select("path", F.octet_length("text").cast("bigint").alias("length"), F.encode("text", "utf-8").alias("content"))
+    ok, rejected = documents.screen_documents(files)
     ok = ok.select("path", "source_name", "length", F.lit("ok").alias("reason"), F.sha2("text", 256).alias("digest"))
     return ok.unionByName(rejected.withColumn("digest", F.lit(None).cast("string")))

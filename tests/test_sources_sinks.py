@@ -57,6 +57,13 @@ def test_empty_and_nameless_files(spark):
     assert {(r.source_name, r.reason) for r in rejected.collect()} == {("empty", "empty"), (".txt", "unsupported_extension")}
 
 
+def test_small_limit(spark):
+    rows = [(f"/x/{n}.txt", n, b"y" * n) for n in (19, 20, 21)] + [("/x/22.bin", 22, b"y" * 22)]
+    ok, rejected = documents.screen_documents(spark.createDataFrame(rows, "path string, length bigint, content binary"), 20)
+    assert sorted(r.source_name for r in ok.collect()) == ["19", "20"]
+    assert {(r.source_name, r.reason) for r in rejected.collect()} == {("21", "too_large"), ("22", "too_large")}
+
+
 def test_size_guard_is_pushed_down(spark, tmp_path, capsys):
     (tmp_path / "a.txt").write_bytes(b"x")
     ok, rejected = documents.read_documents(spark, str(tmp_path))
