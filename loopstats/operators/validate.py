@@ -8,9 +8,11 @@ maximum, nested objects and arrays.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 VIOLATION = "array<struct<path:string,keyword:string,message:string,input:string>>"
 # variant type names per JSON type; decimals without a fraction are integers too
@@ -230,27 +232,172 @@ def validate_payload(df: DataFrame, payload: str, schema: Mapping) -> DataFrame:
     return _with_violations(df, payload, schema, at_parent=False).withColumn("valid", F.size("violations") == 0)
 
 
+#: A node of a schema: where its value stands, and what it must be. Nodes below an array are relative to its elements.
+NODE = (
+    "struct<id:int,base:int,items:int,path:string,member:string,parent:string,label:string,gap:string,missing:string,"
+    "kinds:array<string>,type_message:string,enum_texts:array<string>,enum_numbers:array<double>,enum_message:string,"
+    "bounds:array<struct<keyword:string,most:double,message:string>>>"
+)
+_BOUNDS = (
+    ("minLength", "at least %s characters"), ("maxLength", "at most %s characters"), ("minItems", "at least %s items"),
+    ("maxItems", "at most %s items"), ("minimum", "at least %s"), ("maximum", "at most %s"),
+)
+
+
+def schema_nodes(schema: Mapping, at_parent: bool = False) -> list[tuple]:
+    """The nodes of a schema in the order in which they are checked; `base` is the number of the array they are below.
+
+    A name with both kinds of quotes has no path; it is found as a `member` of its parent, and may have none itself.
+    """
+    nodes: list[list] = []
+
+    def add(node: Mapping, base: int, path: str | None, member: str | None, parent: str | None, label: str, gap: str, missing: str | None) -> None:
+        names = node.get("type", [])
+        kinds = [n for n in ([names] if isinstance(names, str) else names) if n in _KINDS]
+        enum = node.get("enum")
+        is_number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
+        own = [len(nodes), base, None, path, member, parent, label, gap, missing, kinds, "expected " + " or ".join(kinds)]
+        own += [None, None, None] if enum is None else [
+            [_variant_text(v) for v in enum if not is_number(v)], [float(v) for v in enum if is_number(v)], "one of " + json.dumps(enum, ensure_ascii=False)
+        ]
+        nodes.append([*own, [(k, float(node[k]), text % node[k]) for k, text in _BOUNDS if k in node]])
+        required = node.get("required") or []
+        for name in _members(node):
+            where = f"{label}.{name}" if label else name
+            quote = next((q for q in "'\"" if q not in name), None)
+            if path is None:
+                raise ValueError(f"{label}: a name with both kinds of quotes has members")
+            below = None if quote is None else f"{path}[{quote}{name}{quote}]"
+            add(node.get("properties", {}).get(name, {}), base, below, name if quote is None else None, path, where, label if at_parent else where, f"missing {name}" if name in required else None)
+        if isinstance(node.get("items"), Mapping) and node["items"]:
+            nodes[own[0]][2] = number = len(nodes)
+            nodes.append([number, -2, *[None] * (len(own) + 2)])  # takes the place of the elements in the order
+            add(node["items"], number, "$", None, None, "", "", None)
+
+    add(schema, -1, "$", None, None, "", "", None)
+    return [tuple(n) for n in nodes if n[1] != -2]
+
+
+def _depth(nodes: Sequence[tuple]) -> int:
+    """Arrays within arrays."""
+    level, inside = {-1: 0}, {}
+    for n in nodes:
+        if n[2] is not None:
+            inside[n[2]] = n[1]
+    for number in sorted(inside):
+        level[number] = level[inside[number]] + 1
+    return max(level.values())
+
+
+def compiled_schemas(templates: DataFrame, schema: str = "output_schema", key: str = "template_id", at_parent: bool = False) -> DataFrame:
+    """(key, nodes, depth): the schema of each template as data. Of several schemas of a key the first by text counts."""
+    kind = T.StructType([templates.select(key).schema[0], *T.StructType.fromDDL(f"nodes array<{NODE}>, depth int").fields])
+
+    def compile_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [schema_nodes(json.loads(text), at_parent) for text in batch.column(1).to_pylist()]
+            names = [f.name for f in kind["nodes"].dataType.elementType.fields]
+            rows = [[dict(zip(names, n[:-1]), bounds=[dict(zip(("keyword", "most", "message"), b)) for b in n[-1]]) for n in nodes] for nodes in made]
+            arrow = to_arrow_schema(kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, arrow.field("nodes").type), pa.array([_depth(n) for n in made], pa.int32())], kind.names)
+
+    return templates.where(F.col(schema).isNotNull()).groupBy(key).agg(F.min(schema).alias("text")).mapInArrow(compile_all, kind)
+
+
+def _found(value: Column, node: Column) -> Column:
+    """Value of a node of `value`, by path or as a member of its parent."""
+    by_name = F.try_variant_get(F.try_variant_get(value, node["parent"], "variant"), "$", "map<string,variant>")[node["member"]]
+    return F.when(node["path"].isNull(), by_name).otherwise(F.try_variant_get(value, node["path"], "variant"))
+
+
+def _instances(nodes: Column, value: Column, base: Column, label: Column, order: Column) -> Column:
+    """The nodes of one base over one value: node, value, parent's value, label, place in the order."""
+
+    def instance(node: Column) -> Column:
+        under = lambda c: F.when(label == "", c).when(c == "", label).otherwise(F.concat(label, F.lit("."), c))
+        return F.struct(
+            node.alias("node"), _found(value, node).alias("value"),
+            F.when(node["missing"].isNotNull(), F.try_variant_get(value, node["parent"], "variant")).alias("parent"),
+            under(node["label"]).alias("label"), under(node["gap"]).alias("gap"), F.array_append(order, node["id"]).alias("order"), order.alias("base"),
+        )
+
+    return F.transform(F.filter(nodes, lambda n: n["base"] == base), instance)
+
+
+def _elements(nodes: Column, found: Column) -> Column:
+    """The instances within the elements of the arrays among `found`."""
+
+    def of_array(x: Column) -> Column:
+        items = F.when(x["node"]["items"].isNotNull() & _is(x["value"], F.schema_of_variant(x["value"]), "array"), F.try_variant_get(x["value"], "$", "array<variant>"))
+        number = x["node"]["items"]
+
+        def of_element(element: Column, i: Column) -> Column:
+            return _instances(nodes, element, number, _child(x["label"], i.cast("string")), F.concat(x["base"], F.array(number, i)))
+
+        return F.flatten(F.transform(F.coalesce(items, F.array().cast("array<variant>")), of_element))
+
+    return F.flatten(F.transform(found, of_array))
+
+
+def _checked(x: Column) -> Column:
+    """The violations of one instance."""
+    node, value = x["node"], x["value"]
+
+    def checks(v: Column, kind: Column) -> Column:
+        row = lambda keyword, message: F.array(F.struct(x["label"].alias("path"), keyword.alias("keyword"), message.alias("message"), F.to_json(v).alias("input"))).cast(VIOLATION)
+        number = F.when(_is(v, kind, "number"), F.try_variant_get(v, "$", "double"))
+        measure = {
+            "Length": F.length(F.when(_is(v, kind, "string"), F.try_variant_get(v, "$", "string"))).cast("double"),
+            "Items": F.size(F.when(_is(v, kind, "array"), F.try_variant_get(v, "$", "array<variant>"))).cast("double"),
+        }
+        fits = F.exists(node["kinds"], lambda k: F.coalesce(*(F.when(k == name, _is(v, kind, name)) for name in _KINDS), F.lit(False)))
+        wrong_kind = (F.size(node["kinds"]) > 0) & ~fits
+        listed = F.array_contains(node["enum_texts"], F.to_json(v)) | F.coalesce(F.array_contains(node["enum_numbers"], number), F.lit(False))
+
+        def bound(b: Column) -> Column:
+            k = b["keyword"]
+            m = F.when(k.endswith("Length"), measure["Length"]).when(k.endswith("Items"), F.when(measure["Items"] >= 0, measure["Items"])).otherwise(number)
+            outside = F.when(k.startswith("min"), m < b["most"]).otherwise(m > b["most"])
+            return F.when(F.coalesce(outside, F.lit(False)), row(k, b["message"])).otherwise(_none())
+
+        return F.concat(
+            F.when(wrong_kind, row(F.lit("type"), node["type_message"])).otherwise(_none()),
+            F.when(node["enum_message"].isNotNull() & ~listed, row(F.lit("enum"), node["enum_message"])).otherwise(_none()),
+            F.flatten(F.transform(node["bounds"], bound)),
+        )
+
+    parent = x["parent"]
+    lacks = node["missing"].isNotNull() & F.coalesce(_is(parent, F.schema_of_variant(parent), "object"), F.lit(False))
+    gap = F.struct(x["gap"].alias("path"), F.lit("required").alias("keyword"), node["missing"].alias("message"), F.to_json(parent).alias("input"))
+    absent = F.when(lacks, F.array(gap).cast(VIOLATION)).otherwise(_none())
+    return F.when(value.isNull(), absent).otherwise(_bind(value, checks))
+
+
 def validate_by_template(
     df: DataFrame, payload: str, templates: DataFrame, schema: str = "output_schema", key: str = "template_id",
-    at_parent: bool = False, most: int = 500,
+    at_parent: bool = False,
 ) -> DataFrame:
     """Adds `violations` and `valid` for payloads against the schema of their own template.
 
-    `templates` (key, schema text) is a dimension: its distinct schemas are read when the plan is built and each is
-    compiled once; rows take the branch of their template and are not shuffled. More than `most` schemas are refused.
-    Rows whose template is unknown or has no schema have no violations.
+    Schemas are data: each becomes an array of nodes, which is joined to the rows by template, so there may be any number
+    of them and the plan does not grow with it (only with the depth of arrays within arrays, the one figure that is read
+    when the plan is built). Rows whose template is unknown or has no schema have no violations.
     """
-    rows = templates.select(key, schema).where(F.col(schema).isNotNull()).distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} schemas; validate the templates in parts")
-    by_text: dict[str, list] = {}
-    for name, text in rows:
-        by_text.setdefault(text, []).append(name)
-    found = _none()
-    for text, names in sorted(by_text.items()):
-        found = F.when(F.col(key).isin(*names), violations(F.col(payload), json.loads(text), at_parent)).otherwise(found)
+    nodes = compiled_schemas(templates, schema, key, at_parent)
+    depth = nodes.agg(F.max("depth")).first()[0] or 0
+    rules = nodes.select(F.col(key).alias("_key"), F.col("nodes").alias("_nodes"))
+    rows = df.join(rules, F.col(key) == F.col("_key"), "left").withColumn("_doc", F.try_parse_json(payload))
+    no_order = F.array().cast("array<int>")
+    rows = rows.withColumn("_level0", _instances(F.col("_nodes"), F.col("_doc"), F.lit(-1), F.lit(""), no_order))
+    for i in range(depth):
+        rows = rows.withColumn(f"_level{i + 1}", _elements(F.col("_nodes"), F.col(f"_level{i}")))
+    each = [F.transform(f"_level{i}", lambda x: F.struct(x["order"].alias("order"), _checked(x).alias("v"))) for i in range(depth + 1)]
+    some = F.filter(F.concat(*each), lambda x: F.size(x["v"]) > 0)
+    found = F.flatten(F.transform(F.array_sort(some), lambda x: x["v"]))
+    found = F.when(F.col("_nodes").isNull(), _none()).when(F.col("_doc").isNull(), _broken(F.col(payload))).otherwise(found)
+    # tied to the task, so that Spark does not evaluate it again for filters on it
     once = F.when(F.spark_partition_id() >= 0, found)
-    return df.select("*", once.alias("violations")).withColumn("valid", F.size("violations") == 0)
+    return rows.select(*(df[c] for c in df.columns), once.alias("violations")).withColumn("valid", F.size("violations") == 0)
 
 
 def validate_params(df: DataFrame, params: str, schema: Mapping) -> DataFrame:

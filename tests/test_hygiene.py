@@ -199,5 +199,52 @@ def test_each_template_has_its_schema(spark):
     got = validate.validate_by_template(rows, "doc", templates).collect()
     bad = sorted((r.template_id, r.doc, [v.keyword for v in r.violations]) for r in got if not r.valid)
     assert bad == [(t, doc, [k]) for t in "ab" for doc, k in (("no", "json"), ("{}", "required"))] + [("c", "no", ["json"]), ("c", '{"x":"s"}', ["type"])]
+
+
+SCHEMAS = [
+    {"type": "object", "required": ["stem", "options"], "properties": {
+        "stem": {"type": "string", "minLength": 3, "maxLength": 6}, "level": {"enum": ["a", 2, True, None, {"k": [1]}]},
+        "options": {"type": "array", "minItems": 2, "maxItems": 3, "items": {"type": "object", "required": ["t"], "properties": {"t": {"type": "string"}, "n": {"type": ["integer", "null"], "minimum": 1, "maximum": 9}}}},
+        "meta": {"type": "object", "required": ["who"], "properties": {"who": {"type": "string"}, "deep": {"type": "object", "required": ["x"]}}}}},
+    {"type": "array", "minItems": 1, "items": {"type": "array", "items": {"type": "number", "maximum": 5}}},
+    {"type": "array", "items": {"type": "object", "required": ["rows"], "properties": {"rows": {"items": {"items": {"type": "string", "maxLength": 2}}}, "a.b": {"type": "null"}, "it's": {"type": "integer"}}}},
+    {"required": ["a"], "properties": {"b": {"type": "boolean"}, "it's \"x\"": {"type": "string"}}},
+    {},
+]
+DOCS = [
+    '{"stem":"abcd","options":[{"t":"x"},{"t":"y","n":3}],"level":2}', '{"stem":"ab","options":[{"t":1,"n":0},{},5,{"t":"z","n":null},{"n":10.5}],"level":"z"}',
+    '{"options":"none","meta":{"deep":{}}}', '{"stem":null,"options":[],"level":{"k":[1]},"meta":7}', '{"stem":"toolong!","options":[[],{"t":"q","n":"s"}],"level":null,"meta":{"who":"me","deep":{"x":1}}}',
+    "[]", "[[1,2],[7,\"s\"],3]", '[{"rows":[["a","bcd"],["efg",4]],"a.b":1,"it\'s":2.5},{},{"rows":"x","it\'s":3},4]', '{"a":1,"b":"x","it\'s \\"x\\"":4}', '{"b":true}', "3", "null", '"s"', "{broken", "", None,
+]
+
+
+@pytest.mark.parametrize("at_parent", [False, True])
+def test_schemas_as_data_find_what_compiled_ones_find(spark, at_parent):
+    templates = spark.createDataFrame([(str(i), json.dumps(x)) for i, x in enumerate(SCHEMAS)] + [("none", None)], "template_id string, output_schema string")
+    rows = spark.createDataFrame([(i, t, x) for t in [*map(str, range(len(SCHEMAS))), "none", None, "other"] for i, x in enumerate(DOCS)], "n int, template_id string, doc string")
+    got = validate.validate_by_template(rows, "doc", templates, at_parent=at_parent)
+    assert got.columns == ["n", "template_id", "doc", "violations", "valid"]
+    found = {(r.template_id, r.n): [tuple(v) for v in r.violations] for r in got.collect()}
+    some = 0
+    for t, schema in enumerate(SCHEMAS):
+        wanted = rows.filter(F.col("template_id") == str(t)).select("n", validate.violations(F.col("doc"), schema, at_parent).alias("v")).collect()
+        for r in wanted:
+            assert found[str(t), r.n] == [tuple(v) for v in r.v], (schema, DOCS[r.n])
+            some += len(r.v)
+    assert some > 60 and not any(found[t, i] for t in ("none", None, "other") for i in range(len(DOCS)))
+
+
+def test_five_thousand_schemas(spark):
+    text = """concat('{"type":"object","required":["f', id, '"],"properties":{"f', id, '":{"type":"integer","maximum":', id, '}}}')"""
+    templates = spark.range(5000).selectExpr("concat('t', id) template_id", f"{text} output_schema")
+    rows = spark.range(20_000).selectExpr("concat('t', id % 5000) template_id", """concat('{"f', id % 5000, '":', id % 5000 + if(id >= 10000, 1, 0), '}') doc""")
+    got = validate.validate_by_template(rows, "doc", templates)
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 60_000  # does not grow with the schemas
+    counts = {(r.valid, r.k): r["count"] for r in got.groupBy("valid", F.get("violations", F.lit(0))["keyword"].alias("k")).count().collect()}
+    assert counts == {(True, None): 10_000, (False, "maximum"): 10_000}
+
+
+def test_names_that_have_no_path(spark):
+    schema = {"properties": {"a'\"b": {"properties": {"c": {"type": "string"}}}}}
     with pytest.raises(ValueError):
-        validate.validate_by_template(rows, "doc", templates, most=1)
+        validate.schema_nodes(schema)
