@@ -1,12 +1,14 @@
 """Chunking, retrieval, prompts and the sample pool."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loopstats.functions.chunking import split_text
+from loopstats.functions.chunking import chunk_array, split_text
 from loopstats.functions.vectors import cosine_distance
 from loopstats.operators import knowledge, nearest, samples
 
@@ -59,6 +61,26 @@ def test_index_carries_tenant_and_vector(spark):
     ]
 
 
+@pytest.mark.parametrize("mode", ["progressive", "reference"])
+@pytest.mark.parametrize(("size", "overlap"), [(10, 3), (10, 0), (7, 6), (5, 5), (4, 9), (500, 50)])
+def test_the_fold_gives_what_the_loop_gives(spark, mode, size, overlap):
+    rng = random.Random(size * 10 + overlap)
+    texts = ["", None, "\n", " \u3000x\u2003 ", "a" * 23, "\n" * 30 + "b", "ab\n" * 20, "\U0001f600é\n日本" * 9]
+    texts += ["".join(rng.choice("ab \n\u00a0\U0001f600") for _ in range(rng.randrange(80))) for _ in range(150)]
+    texts += ["\n".join("x" * rng.randrange(12) for _ in range(rng.randrange(15))) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
+    got = df.select("i", chunk_array(F.col("t"), size, overlap, mode).alias("c"))
+    assert {r.i: r.c for r in got.collect()} == {i: split_text(t or "", size, overlap, mode) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("mode", ["progressive", "reference"])
+def test_chunks_of_all_documents_stay_in_the_jvm(spark, sf_dir, mode):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    got = docs.select("text", chunk_array(F.col("text"), mode=mode).alias("c"))
+    assert not any(word in got._jdf.queryExecution().executedPlan().toString() for word in ("Python", "Arrow", "Pandas"))
+    assert all(r.c == split_text(r.text or "", 500, 50, mode) for r in got.collect())
+
+
 def test_each_content_is_embedded_once(spark):
     seen, batches = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
 
