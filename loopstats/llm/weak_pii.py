@@ -1,8 +1,9 @@
 """Personal data by weak supervision.
 
 Candidates are found by plain expressions (`base`: e-mail, IP, card and phone in their strict forms) and by looser ones
-(written-out e-mail addresses, IPv6, cards of 15 digits, phone numbers without a plus, and cards and phone numbers
-whose strict form ran on into digits behind them and failed). Five labelers vote for (1),
+(written-out e-mail addresses, IPv6 also in its short form, cards of 15 digits, phone numbers without a plus or with 00,
+cards and phone numbers whose strict form ran on into digits behind them and failed, and credentials: long values of
+mixed signs behind a word like `token` or with a known beginning). Five labelers vote for (1),
 against (-1) or abstain (0) on every candidate: the strict expression, a check of its digits or parts, a gazetteer, the
 words before it, and whether it stands alone. Expectation-maximisation over the counts of vote patterns estimates how
 reliable each labeler is and how likely each pattern is personal data; these probabilities train a logistic classifier
@@ -27,7 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common as C
 
-KINDS = ("email", "ip", "card", "phone")
+#: The last kind has no strict form.
+KINDS = ("email", "ip", "card", "phone", "secret")
 #: Digit runs are entered at their first digit only: what fails there fails further on too.
 EMAIL_HEAD, EMAIL_TAIL = re.compile(r"[A-Za-z0-9._%+-]"), re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -35,25 +37,36 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOSE = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]++)+"),
-    "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+    "ip": re.compile(
+        r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"
+    ),
     "card": re.compile(
         r"(?<![0-9A-Za-z+.-])(?:[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}|[0-9]{16}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9A-Za-z]|[.-][0-9])"
     ),
     "phone": re.compile(
-        r"(?<![0-9A-Za-z+.-])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])"
+        r"(?<![0-9A-Za-z+.-])(?:00[1-9][0-9]{0,2}(?:[\x20.-]?[0-9]{1,4}){2,5}|(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4})(?![0-9A-Za-z])"
+    ),
+    "secret": re.compile(
+        r"(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd|bearer|authorization)[\"']?(?: ?[:=] ?| is | )[\"']?((?=[^\s\"']{0,64}?[0-9])[A-Za-z0-9+/_.-]{12,256}+=*)"
+        r"|(?<![A-Za-z0-9])((?:AKIA|gh[pousr]_|sk-|xox[abp]-)[A-Za-z0-9_-]{16,256}+)",
+        re.I,
     ),
 }
 #: Gazetteers: top-level domains, country codes, first digits of cards, words before a candidate.
 DOMAINS = set("com org net edu gov info de fr es uk eu io it nl ch at be pl us ca br ru jp cn in au".split())
+#: One and two digits as they are; of three digits the zones they begin with.
 COUNTRIES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49",
-             "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "98")
+             "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98", "21", "22", "23", "24", "25", "26", "29", "35", "37", "38", "42", "50", "53",
+             "58", "59", "67", "68", "69", "85", "88", "96", "97", "99")
 CARD_STARTS = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6011|65|35")
 CUES = {
     "email": re.compile(r"mail|contact|write|kontakt|correo|courriel", re.I),
     "ip": re.compile(r"\bip\b|address|host|server|adresse|direcci", re.I),
     "card": re.compile(r"card|visa|credit|karte|carte|tarjeta|payment", re.I),
     "phone": re.compile(r"phone|call|tel|fax|mobil|cell|numm?er|num[eé]r", re.I),
+    "secret": re.compile(r"key|secret|token|passw|pwd|bearer|authorization", re.I),
 }
+STARTS = re.compile(r"AKIA|gh[pousr]_|sk-|xox[abp]-|eyJ")
 AGAINST = re.compile(r"version|isbn|issn|order|serial|sku|part|commit|hash|section|\bv$", re.I)
 LABELERS, SHAPES, BEFORE = 5, 8, 32
 
@@ -101,15 +114,18 @@ def votes(kind: int, text: str, start: int, end: int, base: bool) -> tuple[int,
     before = text[max(0, start - BEFORE) : start]
     if kind == 0:
         last = re.split(r"[.\])\s]", found)[-1].lower()
-        check, gazetteer = 1 if last.isalpha() and 2 <= len(last) <= 24 else -1, 1 if last in DOMAINS else 0
+        check, gazetteer = 1 if last.isalpha() and 2 <= len(last) <= 24 else -1, 1 if last in DOMAINS or len(last) == 2 else 0  # two letters: a country
     elif kind == 1:
         parts = found.split(".")
         plain = len(parts) == 4 and all(p == str(int(p)) for p in parts if len(p) < 4)
         check, gazetteer = 1 if plain or ":" in found else -1, -1 if parts[0] in ("0", "127", "255") else 1
     elif kind == 2:
         check, gazetteer = 1 if _luhn(digits) else -1, 1 if CARD_STARTS.match(digits) else -1
+    elif kind == 4:
+        mixed = len(found) >= 16 and len(set(found)) >= 8 and any(c.isalpha() for c in found)
+        check, gazetteer = 1 if mixed and len(digits) >= 2 else -1, 1 if STARTS.match(found) else 0
     else:
-        known = digits.startswith(COUNTRIES) if found[0] == "+" else digits[0] in "23456789"
+        known = digits.startswith(COUNTRIES) if found[0] == "+" else digits[2:].startswith(COUNTRIES) if digits[:2] == "00" else digits[0] in "23456789"
         check, gazetteer = 1 if 8 <= len(digits) <= 15 else -1, 1 if known else -1
     cue = -1 if AGAINST.search(before) else 1 if CUES[KINDS[kind]].search(before) else 0
     alone = not (text[start - 1 : start].isalnum() if start else False) and not text[end : end + 1].isalnum()
@@ -124,7 +140,7 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, int]]:
     if any(d in text for d in "0123456789") or "at)" in text or "at]" in text:
         for k, name in enumerate(KINDS):
             for m in LOOSE[name].finditer(text):
-                found.append((k, *m.span(), False))
+                found.append((k, *m.span(m.lastindex or 0), False))
     out = []
     for k, a, b, base in found:
         pattern = 0
@@ -219,7 +235,8 @@ def found_spans(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def report(found: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans by kind, digest of the base spans, all spans as text, and how many were added."""
+    """doc_id, counts of base spans by kind, digest of the base spans, all spans as text, how many were added, how many
+    of these are credentials, and how many there are in all."""
     def one(s):
         name = F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)
         return F.concat_ws(":", name, s["start"].cast("string"), s["end"].cast("string"))
@@ -228,6 +245,8 @@ def report(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     n = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     return found.select(
-        "doc_id", *(n(k) for k in range(len(KINDS))), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"),
+        "doc_id", *(n(k) for k in range(len(KINDS) - 1)), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size(base)).cast("long").alias("n_added"),
+        F.size(F.filter("spans", lambda s: s["kind"] == len(KINDS) - 1)).cast("long").alias("n_secret"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
