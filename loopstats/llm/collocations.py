@@ -36,7 +36,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import blocks as B, common as C
 
 #: Bytes of text in a block; the least number of buckets; candidates in a shard, about, and in one part of its counts.
-BLOCK, BUCKETS, SHARD, PART = 1 << 24, 64, 1 << 20, 1 << 14
+BLOCK, BUCKETS, SHARD, PART = 1 << 23, 64, 1 << 20, 1 << 14
+#: Text positions whose states advance together.
+TOGETHER = 1 << 18
 LEAST, COVER, TOP = 10, 50, 2000
 BORDER = b".,;:!?\n\x0b\x0c\r"
 _BORDER = np.array([x in BORDER for x in range(256)])
@@ -214,16 +216,22 @@ class Trie:
             self.base[slot[offset[depth] :]] = np.arange(n)
 
     def accepted(self, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of `run` where a sequence begins, and which: all places advance together, digit by digit."""
+        """Places of `run` where a sequence begins, and which."""
+        parts = [self._accepted(run[a : a + TOGETHER + self.length - 1]) for a in range(0, len(run), TOGETHER)]
+        places = [p + i * TOGETHER for i, (p, _) in enumerate(parts)]
+        return np.concatenate([np.zeros(0, np.int64), *places]), np.concatenate([np.zeros(0, np.int32), *(w for _, w in parts)])
+
+    def _accepted(self, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All places of a stretch advance together, digit by digit; a sequence ends inside the stretch."""
         live = run != 0
         whole = live[: max(len(run) - self.length + 1, 0)].copy()
         for k in range(1, self.length):
             whole &= live[k : len(run) - self.length + 1 + k]
         place = np.flatnonzero(whole)
-        state = np.zeros(len(place), np.int64)
+        state = np.zeros(len(place), np.int32)
         for k in range(self.length):
             for shift in range(self.n_digits * 8 - 8, -8, -8):
-                ahead = self.base[state] + ((run[place + k] >> shift) & 255)
+                ahead = self.base[state] + ((run[place + k] >> shift) & 255).astype(np.int32)
                 on = self.check[ahead] == state
                 place, state = place[on], ahead[on]
         return place, self.base[state]

@@ -80,7 +80,9 @@ def test_no_rows_and_no_phrases(spark, folder):
     assert L.collocations(cases.frame(spark, cases.edge_rows()[:3]), f"{folder}/x").count() == 0
 
 
-def test_trie_accepts_its_sequences():
+@pytest.mark.parametrize("together", [1 << 18, 50])
+def test_trie_accepts_its_sequences(monkeypatch, together):
+    monkeypatch.setattr(L, "TOGETHER", together)
     rng = np.random.default_rng(5)
     for n_digits, most, length in ((1, 200, 2), (2, 3000, 2), (3, 1 << 20, 3), (1, 5, 3)):
         rows = np.unique(rng.integers(1, most, (4000, length)), axis=0)
