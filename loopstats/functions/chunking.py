@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
@@ -31,49 +32,13 @@ def split_text(text: str, max_chars: int, overlap: int, mode: str) -> list[str]:
         start, done = max(end - overlap, start + 1), end
 
 
-#: What str.strip() takes away.
-BLANKS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
-
-
 def chunk_array(c: Column, max_chars: int = 500, overlap: int = 50, mode: str = "progressive") -> Column:
-    """array<string> of chunks, by a fold in the JVM that gives what `split_text` gives.
-
-    The text is cut into blocks of `max_chars` once, so a window is read from two blocks whatever its place. The state
-    is the window's start, the last end, and the chunks so far. Progressive windows advance by `max_chars - overlap` in
-    two steps at least: behind a newline that ended a window, the next one begins beyond that window's reach. So the
-    number of steps is known before; in reference mode, and for an overlap as long as the window, it is the text's length.
-    """
+    """array<string> of chunks; each step depends on the last, so an Arrow batch function."""
     if mode not in ("progressive", "reference"):
         raise ValueError(f"unknown mode {mode}")
-    stride = max_chars - overlap if mode == "progressive" and overlap < max_chars else 0
-    text = F.btrim(F.coalesce(c.cast("string"), F.lit("")), F.lit(BLANKS))
-
-    def fold(p: Column) -> Column:
-        blocks, n = p["blocks"], p["n"]
-
-        def part(start: Column, length: Column) -> Column:
-            first = F.floor(start / max_chars).cast("int")
-            both = F.concat(F.coalesce(F.get(blocks, first), F.lit("")), F.coalesce(F.get(blocks, first + 1), F.lit("")))
-            return F.substring(both, start % max_chars + 1, length)
-
-        def step(state: Column, _: Column) -> Column:
-            start = state["start"]
-            end = start + max_chars
-            back = F.locate("\n", F.reverse(part(start, F.lit(max_chars))))
-            floor = start if mode == "reference" else F.greatest(start, state["done"])
-            stop = F.when(end >= n, n).when((back > 0) & (end - back > floor), end - back).otherwise(end)
-            piece = F.btrim(part(start, stop - start), F.lit(BLANKS))
-            pieces = F.when(piece != "", F.array_append(state["pieces"], piece)).otherwise(state["pieces"])
-            after = F.struct(
-                F.greatest(stop - overlap, start + 1).cast("int").alias("start"), stop.cast("int").alias("done"), (end >= n).alias("over"), pieces.alias("pieces")
-            )
-            return F.when(state["over"], state).otherwise(after)
 
-        begin = F.struct(F.lit(0).alias("start"), F.lit(0).alias("done"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("pieces"))
-        steps = 2 * F.ceil(n / stride).cast("int") + 2 if stride else n + 1
-        return F.aggregate(F.sequence(F.lit(1), steps), begin, step, lambda state: state["pieces"])
+    @F.pandas_udf("array<string>")
+    def chunks(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [] if t is None else split_text(t, max_chars, overlap, mode))
 
-    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{max_chars}}}"), F.lit(0))
-    # bound once per row by a transform over one element
-    bound = F.transform(F.array(F.struct(blocks.alias("blocks"), F.char_length(text).alias("n"))), fold)
-    return F.element_at(bound, 1)
+    return chunks(c)
