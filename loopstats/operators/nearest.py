@@ -307,7 +307,7 @@ def knn_topk(
     """Exact cosine top-k: query_id, chunk_id, similarity, rank.
 
     One plan at every size. The driver sees the centres (`centres` chunks, CENTRES at most), the number of chunks by cell
-    and step, and the number of visits by block, all of bounded size. A query goes to one group for each block that it
+    and step, and, for more queries than a group takes, the number of visits by block, all of bounded size. A query goes to one group for each block that it
     visits, a chunk to one group for each `rows_per_cell` queries that visit its block. `products` counts the similarities
     that the search computes, those with centres included.
 
@@ -321,8 +321,11 @@ def knn_topk(
     cells = Cells(c.filter(F.size("embedding") > 0).orderBy(F.xxhash64("id"), "id").limit(min(centres, CENTRES)).toArrow())
     cells.lay_out([tuple(r) for r in _steps(c, spark.sparkContext.broadcast(cells)).collect()], rows_per_cell)
     layout = spark.sparkContext.broadcast(cells)
-    visits = _queries_by_group(q, layout, None, k, filters, None).groupBy("block").count().collect()
-    groups = spark.sparkContext.broadcast({r["block"]: -(-r["count"] // rows_per_cell) for r in visits})
+    if q.count() <= rows_per_cell:  # no block can have more visits than one group takes
+        visits = dict.fromkeys(range(cells.n_blocks), 1)
+    else:
+        visits = dict(map(tuple, _queries_by_group(q, layout, None, k, filters, None).groupBy("block").count().collect()))
+    groups = spark.sparkContext.broadcast({block: -(-n // rows_per_cell) for block, n in visits.items()})
     kinds = {"query_id": q.schema["id"].dataType, "chunk_id": c.schema["id"].dataType, "similarity": T.DoubleType()}
     empty = to_arrow_schema(T.StructType([T.StructField(n, t) for n, t in kinds.items()])).empty_table()
 
