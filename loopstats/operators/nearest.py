@@ -22,6 +22,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 QUERIES_PER_STEP = 512
 #: Centres; steps of the angle; chunks or queries in a group; blocks at most, about (beyond, blocks grow instead).
 CENTRES, BINS, ROWS_PER_CELL, MOST_BLOCKS = 256, 256, 50_000, 1 << 16
+#: Chunks for each centre at least, as every visit of a block sends the query there.
+CELL = 512
 #: Similarities are compared after rounding to six digits, and a batch's products may differ in the last bits.
 SLACK = 2e-6
 
@@ -301,12 +303,12 @@ def knn_topk(
     filter_cols: Sequence[str] = ("knowledge_point", "tenant_id"),
     min_similarity: float | None = None,
     rows_per_cell: int = ROWS_PER_CELL,
-    centres: int = CENTRES,
+    centres: int | None = None,
     products: Accumulator | None = None,
 ) -> DataFrame:
     """Exact cosine top-k: query_id, chunk_id, similarity, rank.
 
-    One plan at every size. The driver sees the centres (`centres` chunks, CENTRES at most), the number of chunks by cell
+    One plan at every size. The driver sees the centres (`centres` chunks, by default one in CELL, CENTRES at most), the number of chunks by cell
     and step, and, for more queries than a group takes, the number of visits by block, all of bounded size. A query goes to one group for each block that it
     visits, a chunk to one group for each `rows_per_cell` queries that visit its block. `products` counts the similarities
     that the search computes, those with centres included.
@@ -318,6 +320,7 @@ def knn_topk(
     spark = chunks.sparkSession
     filters = [c for c in filter_cols if c in queries.columns and c in chunks.columns]
     q, c = (side.select("id", "embedding", *filters) for side in (queries, chunks))
+    centres = max(1, c.count() // CELL) if centres is None else centres
     cells = Cells(c.filter(F.size("embedding") > 0).orderBy(F.xxhash64("id"), "id").limit(min(centres, CENTRES)).toArrow())
     cells.lay_out([tuple(r) for r in _steps(c, spark.sparkContext.broadcast(cells)).collect()], rows_per_cell)
     layout = spark.sparkContext.broadcast(cells)
