@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.serializers import CloudPickleSerializer
 
 from loopstats.llm import common as C
 
@@ -65,3 +66,11 @@ def test_components(spark, folder):
 
 def test_mix_has_no_fixed_small_values():
     assert len(np.unique(C.mix(np.arange(1000, dtype=np.uint64)))) == 1000
+
+
+def test_word_hashing_travels_small():
+    """Its tables are made in the tasks, also when the driver has hashed words itself: they were 4 MB in every function."""
+    before = C.Words(*C.text_bytes(pa.array(["a b"]))).hash
+    data = CloudPickleSerializer().dumps(C.Words)
+    assert len(data) < 200_000
+    assert (CloudPickleSerializer().loads(data)(*C.text_bytes(pa.array(["a b"]))).hash == before).all()
