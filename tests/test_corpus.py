@@ -215,3 +215,18 @@ def test_vectors_of_other_lengths_or_none_never_match(spark, centres):
     c = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0, 5.0]), (3, [2.0]), (4, None), (5, [3.0, 4.0]), (6, [None, 1.0])], schema).coalesce(1)
     got = nearest.knn_topk(q, c, 3, (), centres=centres)
     assert sorted((r.query_id, r.chunk_id, r.similarity) for r in got.collect()) == [(3, 1, 1.0), (3, 5, 0.6), (4, 2, 1.0)]
+
+
+def test_a_query_moves_once_for_a_shelf_however_many_blocks_it_visits(spark):
+    """Nothing can be pruned here: 3,000 random vectors in 100 cells, each query visits them all. They moved 100 times."""
+    vectors = np.random.default_rng(4).normal(size=(3000, 24))
+    frame = spark.createDataFrame(pd.DataFrame({"id": range(3000), "embedding": list(vectors)}), "id long, embedding array<double>")
+    cells = nearest.Cells(frame.limit(100).toArrow())
+    cells.lay_out([tuple(r) for r in nearest._steps(frame, spark.sparkContext.broadcast(cells)).collect()], 600)
+    layout = spark.sparkContext.broadcast(cells)
+    groups = spark.sparkContext.broadcast(dict.fromkeys(cells.shelf.tolist(), 2))
+    moved = nearest._queries_by_group(frame, layout, groups, 3, (), None)
+    n, blocks = moved.selectExpr("count(*)", "sum(size(blocks))").first()
+    assert n <= 3000 * len(set(cells.shelf.tolist())) <= 3000 * 7 and blocks > 3000 * 60
+    moved = nearest._chunks_by_group(frame, layout, groups, None)
+    assert moved.count() == 6000 and moved.groupBy("shelf", "part").count().agg({"count": "max"}).first()[0] <= 700
