@@ -112,9 +112,9 @@ def judge_rounds_mean(rounds: DataFrame, templates: DataFrame) -> DataFrame:
     return means.withColumn("error", F.when(empty, "no valid dimension scores"))
 
 
-def template_defaults(templates: DataFrame) -> DataFrame:
-    """(template_id, weights, threshold) as a template's own rules and run configuration state
-    them; of rules with the same id the last one counts."""
+def own_weights() -> dict[str, Column]:
+    """`weights` and `threshold` over the columns of a template, as its own rules and run
+    configuration state them; of rules with the same id the last one counts."""
     rules = F.filter("quality_rules", lambda r: F.coalesce(r["id"], F.lit("")) != "")
     ids = F.array_distinct(F.transform(rules, lambda r: r["id"]))
 
@@ -123,11 +123,16 @@ def template_defaults(templates: DataFrame) -> DataFrame:
         return F.coalesce(last["weight"], F.lit(0.0))
 
     own = F.get_json_object("run_config", "$.quality_threshold").try_cast("double")
-    return templates.select(
-        F.col("type_id").alias("template_id"),
-        F.map_from_arrays(ids, F.transform(ids, weight)).alias("weights"),
-        F.coalesce(own, F.lit(QUALITY_THRESHOLD)).alias("threshold"),
-    )
+    return {
+        "weights": F.map_from_arrays(ids, F.transform(ids, weight)),
+        "threshold": F.coalesce(own, F.lit(QUALITY_THRESHOLD)),
+    }
+
+
+def template_defaults(templates: DataFrame) -> DataFrame:
+    """(template_id, weights, threshold) of each template: own_weights."""
+    own = own_weights()
+    return templates.select(F.col("type_id").alias("template_id"), *(c.alias(n) for n, c in own.items()))
 
 
 def _sum_over(names: Column, value) -> Column:

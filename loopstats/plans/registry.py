@@ -788,8 +788,7 @@ def version_snapshot(s, p):
 
 @query
 def quality_snapshot(s, p):
-    templates = d.question_template(s, p)
-    rows = governance.quality_snapshot(templates, quality.template_defaults(templates))
+    rows = governance.quality_snapshot(d.question_template(s, p))
     field = lambda path: F.get_json_object("snapshot", path)
     return rows.select(
         "type_id", field("$.template_hash").alias("template_hash"), field("$.model_name").alias("model_name"),

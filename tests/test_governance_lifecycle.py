@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from loopstats.functions import rules
-from loopstats.operators import governance, lifecycle
+from loopstats.operators import governance, lifecycle, quality
 from loopstats.schemas import CONTENT_MOVES
+from loopstats.sources import derive as d
 
 NOW = datetime(2024, 1, 2, tzinfo=timezone.utc)
 
@@ -191,3 +192,15 @@ def test_notifications(spark):
         "content:h:awaiting-review": ("content_awaiting_review", "内容 h 自动质检 65 分，处于灰区，等待人工裁决"),
     }
     assert lifecycle.notifications(tasks, records, content, due.select("event_id").union(existing)).count() == 0
+
+
+def test_quality_snapshot_joins_once_or_not_at_all(spark, sf_dir):
+    templates = d.question_template(spark, sf_dir)
+    own = governance.quality_snapshot(templates)
+    joined = governance.quality_snapshot(templates, quality.template_defaults(templates))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(own) and plan(joined).count("Join ") == 1  # two joins of the table with itself before
+    rows = sorted(map(tuple, own.collect()))
+    assert rows == sorted(map(tuple, joined.collect())) and len(rows) == templates.count()
+    none = governance.quality_snapshot(templates, quality.template_defaults(templates).limit(0)).first()
+    assert '"model_name":null,"threshold":null,"weights":null' in none.snapshot
