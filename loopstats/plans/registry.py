@@ -18,6 +18,7 @@ from ..operators import (
     validate,
 )
 from ..schemas import CONTENT_MOVES
+from ..session import BATCH_BYTES
 from ..sources import derive as d, documents, sinks
 from ..sources.tables import as_table
 from ..streaming import jobs
@@ -46,6 +47,7 @@ def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         # the tables hold instants without a zone; all of them are UTC
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set(*BATCH_BYTES)
         return flat(fn(spark, sf_dir))
 
     QUERIES[fn.__name__] = run

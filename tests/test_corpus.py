@@ -6,9 +6,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loopstats.functions.chunking import split_text
+from loopstats.functions.chunking import chunks_of, split_text
 from loopstats.functions.vectors import cosine_distance
 from loopstats.operators import knowledge, nearest, samples
+from loopstats.session import BATCH_BYTES
 
 
 def test_short_and_blank_texts():
@@ -230,3 +231,26 @@ def test_a_query_moves_once_for_a_shelf_however_many_blocks_it_visits(spark):
     assert n <= 3000 * len(set(cells.shelf.tolist())) <= 3000 * 7 and blocks > 3000 * 60
     moved = nearest._chunks_by_group(frame, layout, groups, None)
     assert moved.count() == 6000 and moved.groupBy("shelf", "part").count().agg({"count": "max"}).first()[0] <= 700
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """10,000 texts of 2 KB were one batch of 20 MB."""
+    from loopstats.plans.registry import QUERIES
+
+    spark.conf.unset(BATCH_BYTES[0])
+    QUERIES["chunk_text"](spark, "/root/testdata/sf0.001")
+    rows = spark.range(10_000, numPartitions=1).selectExpr("repeat('ab c', 500) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) < 6_000_000
+    assert knowledge.chunk_text(rows).count() == 10_000 * len(split_text("ab c" * 500, 500, 50, "progressive"))
+
+
+def test_chunks_of_many_texts():
+    texts = [None, "", *("a\nb " * n for n in range(300))]
+    got = chunks_of(pa.array(texts), 40, 5, "progressive").to_pylist()
+    assert got == [split_text(t or "", 40, 5, "progressive") for t in texts]
+    assert chunks_of(pa.array([], pa.string()), 40, 5, "reference").to_pylist() == []
